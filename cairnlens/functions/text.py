@@ -13,7 +13,7 @@ CONTROL = r"[\x00-\x1F\x7F]"
 CONTROL_BUT_BREAKS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 UNSAFE_DISPLAY = r"[\p{Cc}\p{Cf}\x{2028}\x{2029}]"
 BAD_ESCAPE = r"%([^0-9A-Fa-f]|[0-9A-Fa-f][^0-9A-Fa-f]|[0-9A-Fa-f]?$)"
-HTTP_URL = r"^[hH][tT][tT][pP][sS]?://[^/?#@:]+(:[0-9]*)?([/?#].*)?$"
+HTTP_URL = r"^[hH][tT][tT][pP][sS]?://(\[[0-9A-Fa-f:.]+\]|[^/?#@:\[\]]+)(:[0-9]*)?([/?#].*)?$"
 
 
 def _column(value: str | Column) -> Column:
@@ -307,3 +307,14 @@ def safe_json(value: str | Column) -> Column:
     """The text if it is JSON, else null."""
     text = _column(value)
     return F.when(F.try_parse_json(text).isNotNull(), text)
+
+
+def cut_plain(value: str | Column, maximum: int) -> Column:
+    """At most ``maximum`` bytes, ending at a character boundary."""
+    text = _column(value)
+    raw = text.cast("binary")
+    prefixes = [
+        F.try_validate_utf8(F.substring(raw, 1, maximum - back).cast("string"))
+        for back in range(4)
+    ]
+    return F.when(F.octet_length(text) <= maximum, text).otherwise(F.coalesce(*prefixes))
