@@ -136,8 +136,8 @@ VIEWS: dict[str, str] = {
                concat('blobs/sha256/', substr(sha2(text, 256), 1, 2), '/', sha2(text, 256))
                    AS storage_key,
                doc_id % 5 AS reference_count,
-               CASE doc_id % 4 WHEN 0 THEN 'available' WHEN 1 THEN 'staging' WHEN 2 THEN 'deleting'
-                    ELSE 'deleted' END AS state,
+               CASE doc_id % 7 WHEN 4 THEN 'staging' WHEN 5 THEN 'deleting' WHEN 6 THEN 'deleted'
+                    ELSE 'available' END AS state,
                TIMESTAMP '1999-01-01 00:00:00' + INTERVAL 1 DAY * (doc_id % 365) AS created_at
         FROM documents""",
     "store_inventory": """
