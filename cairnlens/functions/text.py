@@ -9,6 +9,10 @@ from cairnlens import vocab
 
 # --- fixed values: character classes -------------------------------------------
 SPACE = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SPACE_CHARACTERS = (
+    "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 CONTROL = r"[\x00-\x1F\x7F]"
 CONTROL_BUT_BREAKS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 UNSAFE_DISPLAY = r"[\p{Cc}\p{Cf}\x{2028}\x{2029}]"
@@ -22,7 +26,7 @@ def _column(value: str | Column) -> Column:
 
 def trim_space(value: str | Column) -> Column:
     """Remove every kind of Unicode space at both ends."""
-    return F.regexp_replace(_column(value), f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(_column(value), F.lit(SPACE_CHARACTERS))
 
 
 def cut_bytes(value: str | Column, maximum: int) -> Column:
@@ -260,7 +264,7 @@ def low_high_byte(value: str | Column) -> Column:
 
 def bounded_strings(values: str | Column, maximum_items: int, maximum_bytes: int) -> Column:
     """Trimmed, usable, distinct strings, the first ones in order."""
-    trimmed = F.transform(_column(values), trim_space)
+    trimmed = F.transform(_column(values), lambda x: trim_space(x))
     kept = F.filter(
         trimmed,
         lambda x: (x != "")
@@ -277,7 +281,7 @@ def merged_references(primary: str | Column, listed: str | Column, source: str |
         F.coalesce(_column(listed), F.array().cast("array<string>")),
         F.array(F.coalesce(_column(source), F.lit(""))),
     )
-    usable = F.filter(F.transform(every, http_url), lambda x: x != "")
+    usable = F.filter(F.transform(every, lambda x: http_url(x)), lambda x: x != "")
     return F.slice(F.array_distinct(usable), 1, vocab.REFERENCE_LIMIT)
 
 

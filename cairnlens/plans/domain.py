@@ -751,7 +751,7 @@ class Domain:
             return self.table(name)
         if name not in VIEWS:
             raise AttributeError(name)
-        sql = view_sql(name)
+        sql = view_sql(name).replace("\\", "\\\\")  # backslashes are plain text in the views
         for table in sorted(_base_tables(sql)):
             self.table(table).createOrReplaceTempView(table)
         return self.spark.sql(sql)
