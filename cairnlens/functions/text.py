@@ -24,6 +24,14 @@ def _column(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed one time.
+
+    Needed inside array lambdas, where repeated parts of an expression are not shared.
+    """
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def trim_space(value: str | Column) -> Column:
     """Remove every kind of Unicode space at both ends."""
     return F.btrim(_column(value), F.lit(SPACE_CHARACTERS))
@@ -49,14 +57,34 @@ def display_text(value: str | Column, maximum: int) -> Column:
     return F.when(~F.rlike(trimmed, F.lit(CONTROL_BUT_BREAKS)), cut_bytes(one_line, maximum))
 
 
+def display_text_once(value: Column, maximum: int) -> Column:
+    """``display_text`` for use inside array lambdas."""
+    return once(
+        trim_space(value),
+        lambda t: F.when(
+            ~F.rlike(t, F.lit(CONTROL_BUT_BREAKS)),
+            once(
+                F.regexp_replace(t, f"[{SPACE}]+", " "), lambda line: cut_bytes(line, maximum)
+            ),
+        ),
+    )
+
+
 def http_url(value: str | Column, maximum: int = vocab.REFERENCE_BYTES) -> Column:
     """A usable http(s) address without user info, else the empty string."""
-    url = trim_space(_column(value))
+    return _usable_url(trim_space(_column(value)), maximum)
+
+
+def _usable_url(url: Column, maximum: int) -> Column:
     usable = (
-        (F.octet_length(url) <= maximum)
+        F.startswith(F.lower(F.left(url, F.lit(4))), F.lit("http"))
+        & (F.octet_length(url) <= maximum)
+        & ~F.rlike(url, F.lit(f"[{SPACE}\\x00-\\x1F\\x7F]"))
         & F.rlike(url, F.lit(HTTP_URL))
-        & ~F.rlike(url, F.lit(f"[{SPACE}]|{CONTROL}"))
-        & ~F.rlike(F.regexp_extract(url, r"^([^?]*)", 1), F.lit(BAD_ESCAPE))
+        & (
+            ~F.contains(url, F.lit("%"))
+            | ~F.rlike(F.regexp_extract(url, r"^([^?]*)", 1), F.lit(BAD_ESCAPE))
+        )
     )
     scheme = F.lower(F.substring_index(url, ":", 1))
     rest = F.substr(url, F.char_length(scheme) + 1)
@@ -281,7 +309,10 @@ def merged_references(primary: str | Column, listed: str | Column, source: str |
         F.coalesce(_column(listed), F.array().cast("array<string>")),
         F.array(F.coalesce(_column(source), F.lit(""))),
     )
-    usable = F.filter(F.transform(every, lambda x: http_url(x)), lambda x: x != "")
+    trimmed = F.transform(every, lambda x: trim_space(x))
+    usable = F.filter(
+        F.transform(trimmed, lambda x: _usable_url(x, vocab.REFERENCE_BYTES)), lambda x: x != ""
+    )
     return F.slice(F.array_distinct(usable), 1, vocab.REFERENCE_LIMIT)
 
 
