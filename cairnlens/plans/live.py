@@ -32,6 +32,11 @@ def _event_stream(d):
     )
 
 
+def _run(d, stream):
+    # one state partition per core of the cluster
+    return live.run_available(stream, state_partitions=d.spark.sparkContext.defaultParallelism)
+
+
 @query("event_tail", """
 SELECT task_id, event_sequence, position FROM (
   SELECT task_id, event_sequence,
@@ -52,10 +57,8 @@ def _(d):
 def _(d):
     # every event is delivered twice
     twice = _event_stream(d).unionByName(_event_stream(d))
-    return live.run_available(
-        live.deduplicated(twice.select("task_id", "event_sequence", "created_at"), "60 days")
-        .select("task_id", "event_sequence")
-    )
+    fresh = live.deduplicated(twice.select("task_id", "event_sequence", "created_at"), "60 days")
+    return _run(d, fresh.select("task_id", "event_sequence"))
 
 
 @query("risk_alert_stream", """
@@ -68,7 +71,7 @@ def _(d):
 
 @query("stage_duration_stream", STAGE_DURATIONS)
 def _(d):
-    visits = live.run_available(live.stage_visits(_event_stream(d), EVENTS_AS_OF))
+    visits = _run(d, live.stage_visits(_event_stream(d), EVENTS_AS_OF))
     pairs = [(name, at) for at, name in enumerate(vocab.STAGE_NAMES, start=1)]
     return (
         visits.groupBy("stage")
@@ -91,18 +94,17 @@ walk AS (
   SELECT client, k, ts AS started, CASE WHEN failed THEN 1 ELSE 0 END AS failures,
          CAST(NULL AS TIMESTAMP) AS blocked, false AS burst, ts FROM attempts WHERE k = 1
   UNION ALL
-  SELECT a.client, a.k, CASE WHEN limited THEN w.started WHEN fresh THEN a.ts ELSE w.started END,
-    CASE WHEN limited THEN w.failures
-         ELSE CASE WHEN fresh THEN 0 ELSE w.failures END + CASE WHEN failed THEN 1 ELSE 0 END END,
-    CASE WHEN limited THEN w.blocked
-         WHEN failed AND CASE WHEN fresh THEN 0 ELSE w.failures END + 1 >= 3
-         THEN a.ts + INTERVAL 3 DAY END,
-    NOT limited AND failed AND CASE WHEN fresh THEN 0 ELSE w.failures END + 1 >= 3, a.ts
-  FROM (SELECT w.*, a.ts AS ats, a.failed, a.k AS ak,
+  SELECT client, ak, CASE WHEN limited THEN started WHEN fresh THEN ats ELSE started END,
+    CASE WHEN limited THEN failures
+         ELSE CASE WHEN fresh THEN 0 ELSE failures END + CASE WHEN failed THEN 1 ELSE 0 END END,
+    CASE WHEN limited THEN blocked
+         WHEN failed AND CASE WHEN fresh THEN 0 ELSE failures END + 1 >= 3
+         THEN ats + INTERVAL 3 DAY END,
+    NOT limited AND failed AND CASE WHEN fresh THEN 0 ELSE failures END + 1 >= 3, ats
+  FROM (SELECT w.client, w.started, w.failures, w.blocked, a.ts AS ats, a.failed, a.k AS ak,
           w.blocked IS NOT NULL AND w.blocked > a.ts AS limited,
           w.blocked IS NOT NULL OR w.started + INTERVAL 10 DAY <= a.ts AS fresh
-        FROM walk w JOIN attempts a ON a.client = w.client AND a.k = w.k + 1) w
-  JOIN attempts a ON a.client = w.client AND a.k = w.ak)
+        FROM walk w JOIN attempts a ON a.client = w.client AND a.k = w.k + 1))
 SELECT client, started AS window_started_at, ts AS blocked_at, blocked AS blocked_until,
        failures AS failure_count FROM walk WHERE burst""")
 def _(d):
@@ -112,7 +114,7 @@ def _(d):
         F.col("created_at").alias("attempted_at"),
         (F.col("event_type") == "error").alias("failed"),
     )
-    return live.run_available(live.failure_bursts(attempts, **BURST))
+    return _run(d, live.failure_bursts(attempts, **BURST))
 
 
 @query("stale_worker_stream", """
@@ -131,4 +133,4 @@ def _(d):
         F.when(F.col("s_acctbal") < 0, "stopped").otherwise("ready").alias("status"),
         (F.lit(EVENTS_AS_OF).cast("timestamp") - age).alias("last_checked_at"),
     )
-    return live.run_available(live.stale_workers(beats))
+    return _run(d, live.stale_workers(beats))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cairnlens import schemas, vocab
 from cairnlens.functions.keyed import ranked_per_key
-from cairnlens.functions.predicates import instant, recent
+from cairnlens.functions.predicates import recent
 from cairnlens.session import shared_folder
 from cairnlens.streaming.state import FailureBursts, StageVisits, WorkerFreshness
 
@@ -38,19 +38,31 @@ def tail_events(
     )
 
 
-def run_available(stream: DataFrame, folder: str | None = None) -> DataFrame:
-    """Process everything present and return what was written."""
+def run_available(
+    stream: DataFrame, folder: str | None = None, state_partitions: int | None = None
+) -> DataFrame:
+    """Process everything present and return what was written.
+
+    ``state_partitions`` fixes the number of state partitions of a new stateful
+    stream; a restarted one keeps the number in its checkpoint.
+    """
     spark = stream.sparkSession
     folder = folder or shared_folder(spark)
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", f"{folder}/rows")
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    if state_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:
+        query = (
+            stream.writeStream.format("parquet")
+            .outputMode("append")
+            .option("path", f"{folder}/rows")
+            .option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
@@ -87,11 +99,13 @@ def stage_visits(events: DataFrame, as_of) -> DataFrame:
     staged = events.filter(F.col("stage").isNotNull() & recent("created_at", as_of)).select(
         "task_id", "event_sequence", F.upper("stage").alias("stage"), "created_at"
     )
-    visits = staged.groupBy("task_id").transformWithStateInPandas(
+    # events later than the recent window behind the newest ones are out of scope anyway
+    timed = staged.withWatermark("created_at", f"{vocab.RECENT_HOURS} hours")
+    visits = timed.groupBy("task_id").transformWithStateInPandas(
         StageVisits(),
         "task_id BIGINT, stage STRING, started_at TIMESTAMP, completed_at TIMESTAMP",
         "append",
-        "processingTime",
+        "eventTime",
     )
     return visits.filter(
         F.col("stage").isin(vocab.STAGE_NAMES) & (F.col("completed_at") >= F.col("started_at"))
@@ -103,18 +117,20 @@ def failure_bursts(
     threshold: int = vocab.BURST_THRESHOLD,
     window_seconds: int = vocab.BURST_WINDOW_SECONDS,
     block_seconds: int = vocab.BURST_BLOCK_SECONDS,
+    delay: str = "1 hour",
 ) -> DataFrame:
     """Blocks started by clients whose failures reach the threshold in one window.
 
     ``attempts`` holds (client, attempt_id, attempted_at, failed).
     """
     _stateful(attempts.sparkSession)
-    return attempts.groupBy("client").transformWithStateInPandas(
+    timed = attempts.withWatermark("attempted_at", delay)
+    return timed.groupBy("client").transformWithStateInPandas(
         FailureBursts(threshold, window_seconds, block_seconds),
         "client BIGINT, window_started_at TIMESTAMP, blocked_at TIMESTAMP, "
         "blocked_until TIMESTAMP, failure_count BIGINT",
         "append",
-        "processingTime",
+        "eventTime",
     )
 
 
@@ -130,7 +146,3 @@ def stale_workers(
         "append",
         "eventTime",
     )
-
-
-def recent_only(events: DataFrame, as_of) -> DataFrame:
-    return events.filter(F.col("created_at") <= instant(as_of))

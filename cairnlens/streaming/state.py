@@ -12,6 +12,14 @@ from cairnlens import vocab
 RETENTION_MS = vocab.RECENT_HOURS * 3600 * 1000
 
 
+def _millis(at) -> int:
+    return int(pd.Timestamp(at).timestamp() * 1000)
+
+
+def _plain(at):
+    return None if at is None else pd.Timestamp(at).to_pydatetime()
+
+
 def _in_order(rows: Iterator[pd.DataFrame], column: str) -> pd.DataFrame:
     """One key's rows of one micro-batch; the trigger's file limit bounds them."""
     return pd.concat(list(rows), ignore_index=True).sort_values(column, kind="stable")
@@ -20,16 +28,19 @@ def _in_order(rows: Iterator[pd.DataFrame], column: str) -> pd.DataFrame:
 class StageVisits(StatefulProcessor):
     """Keeps the open stage of a task; a change of stage closes it.
 
-    The state lapses with the recent window, as older events are not looked at.
+    A timer drops the state of a task that stayed silent for the recent window, as
+    events that old are not looked at.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
         self._open = handle.getValueState(
-            "open", "sequence BIGINT, stage STRING, started_at TIMESTAMP", RETENTION_MS
+            "open", "sequence BIGINT, stage STRING, started_at TIMESTAMP, seen_at TIMESTAMP"
         )
 
     def handleInputRows(self, key, rows, timerValues):
-        state = self._open.get() if self._open.exists() else None
+        known = self._open.exists()
+        state = self._open.get() if known else None
         closed = []
         for row in _in_order(rows, "event_sequence").itertuples(index=False):
             if state is not None and row.event_sequence <= state[0]:
@@ -37,13 +48,23 @@ class StageVisits(StatefulProcessor):
             if state is None or row.stage != state[1]:
                 if state is not None:
                     closed.append((key[0], state[1], state[2], row.created_at))
-                state = (int(row.event_sequence), row.stage, row.created_at)
+                state = (int(row.event_sequence), row.stage, row.created_at, row.created_at)
             else:
-                state = (int(row.event_sequence), state[1], state[2])
-        if state is not None:
-            self._open.update((state[0], state[1], pd.Timestamp(state[2]).to_pydatetime()))
+                state = (int(row.event_sequence), state[1], state[2], row.created_at)
+        self._open.update((state[0], state[1], _plain(state[2]), _plain(state[3])))
+        if not known:
+            self._handle.registerTimer(_millis(state[3]) + RETENTION_MS)
         yield pd.DataFrame(closed, columns=["task_id", "stage", "started_at", "completed_at"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self._open.exists():
+            due = _millis(self._open.get()[3]) + RETENTION_MS
+            if due <= timerValues.getCurrentWatermarkInMs():
+                self._open.clear()
+            else:
+                self._handle.registerTimer(due)
+        yield pd.DataFrame([], columns=["task_id", "stage", "started_at", "completed_at"])
+
     def close(self) -> None:
         pass
 
@@ -52,23 +73,27 @@ class FailureBursts(StatefulProcessor):
     """Fixed window per client from its first attempt; a full window starts a block.
 
     Attempts during a block change nothing; the first one afterwards, or after the
-    window ended, opens a new window.
+    window ended, opens a new window. A timer forgets clients whose window and block
+    have passed.
     """
 
+    COLUMNS = ["client", "window_started_at", "blocked_at", "blocked_until", "failure_count"]
+
     def __init__(self, threshold: int, window_seconds: int, block_seconds: int):
         self.threshold = threshold
         self.window = pd.Timedelta(seconds=window_seconds)
         self.block = pd.Timedelta(seconds=block_seconds)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        lifetime = int((self.window + self.block).total_seconds() * 1000) + RETENTION_MS
+        self._handle = handle
         self._window = handle.getValueState(
-            "window", "started_at TIMESTAMP, failures BIGINT, blocked_until TIMESTAMP", lifetime
+            "window", "started_at TIMESTAMP, failures BIGINT, blocked_until TIMESTAMP"
         )
 
     def handleInputRows(self, key, rows, timerValues):
+        known = self._window.exists()
         started, failures, blocked = None, 0, None
-        if self._window.exists():
+        if known:
             started, failures, blocked = self._window.get()
         bursts = []
         for row in _in_order(rows, "attempt_id").itertuples(index=False):
@@ -82,13 +107,23 @@ class FailureBursts(StatefulProcessor):
                 if failures >= self.threshold:
                     blocked = now + self.block
                     bursts.append((key[0], started, now, blocked, failures))
-        plain = lambda at: None if at is None else pd.Timestamp(at).to_pydatetime()
-        if started is not None:
-            self._window.update((plain(started), int(failures), plain(blocked)))
-        yield pd.DataFrame(
-            bursts,
-            columns=["client", "window_started_at", "blocked_at", "blocked_until", "failure_count"],
-        )
+        self._window.update((_plain(started), int(failures), _plain(blocked)))
+        if not known:
+            self._handle.registerTimer(self._due(started, blocked))
+        yield pd.DataFrame(bursts, columns=self.COLUMNS)
+
+    def _due(self, started, blocked) -> int:
+        return _millis(blocked if blocked is not None else started + self.window)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self._window.exists():
+            started, _, blocked = self._window.get()
+            due = self._due(started, blocked)
+            if due <= timerValues.getCurrentWatermarkInMs():
+                self._window.clear()
+            else:
+                self._handle.registerTimer(due)
+        yield pd.DataFrame([], columns=self.COLUMNS)
 
     def close(self) -> None:
         pass
