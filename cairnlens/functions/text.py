@@ -17,21 +17,15 @@ CONTROL = r"[\x00-\x1F\x7F]"
 CONTROL_BUT_BREAKS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 UNSAFE_DISPLAY = r"[\p{Cc}\p{Cf}\x{2028}\x{2029}]"
 BAD_ESCAPE = r"%([^0-9A-Fa-f]|[0-9A-Fa-f][^0-9A-Fa-f]|[0-9A-Fa-f]?$)"
-HTTP_URL = r"^[hH][tT][tT][pP][sS]?://(\[[0-9A-Fa-f:.]+\]|[^/?#@:\[\]]+)(:[0-9]*)?([/?#].*)?$"
+URL_TAIL = r"[^\t\n\x0B\f\r \x00-\x1F\x7F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]*"
+URL_HOST = URL_TAIL.replace("[^", "[^/?#@:\\[\\]").replace("]*", "]+")
+HTTP_URL = rf"^(?:[hH][tT][tT][pP][sS]?)://(?:\[[0-9A-Fa-f:.]+\]|{URL_HOST})(?::[0-9]*)?(?:[/?#]{URL_TAIL})?$"
 
 
 def _column(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def once(value: Column, use) -> Column:
-    """``use(value)`` with the value computed one time.
-
-    Needed inside array lambdas, where repeated parts of an expression are not shared.
-    """
-    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
-
-
 def trim_space(value: str | Column) -> Column:
     """Remove every kind of Unicode space at both ends."""
     return F.btrim(_column(value), F.lit(SPACE_CHARACTERS))
@@ -57,19 +51,6 @@ def display_text(value: str | Column, maximum: int) -> Column:
     return F.when(~F.rlike(trimmed, F.lit(CONTROL_BUT_BREAKS)), cut_bytes(one_line, maximum))
 
 
-def display_text_once(value: Column, maximum: int) -> Column:
-    """``display_text`` for use inside array lambdas."""
-    return once(
-        trim_space(value),
-        lambda t: F.when(
-            ~F.rlike(t, F.lit(CONTROL_BUT_BREAKS)),
-            once(
-                F.regexp_replace(t, f"[{SPACE}]+", " "), lambda line: cut_bytes(line, maximum)
-            ),
-        ),
-    )
-
-
 def http_url(value: str | Column, maximum: int = vocab.REFERENCE_BYTES) -> Column:
     """A usable http(s) address without user info, else the empty string."""
     return _usable_url(trim_space(_column(value)), maximum)
@@ -77,9 +58,7 @@ def http_url(value: str | Column, maximum: int = vocab.REFERENCE_BYTES) -> Colum
 
 def _usable_url(url: Column, maximum: int) -> Column:
     usable = (
-        F.startswith(F.lower(F.left(url, F.lit(4))), F.lit("http"))
-        & (F.octet_length(url) <= maximum)
-        & ~F.rlike(url, F.lit(f"[{SPACE}\\x00-\\x1F\\x7F]"))
+        (F.octet_length(url) <= maximum)
         & F.rlike(url, F.lit(HTTP_URL))
         & (
             ~F.contains(url, F.lit("%"))
@@ -88,7 +67,10 @@ def _usable_url(url: Column, maximum: int) -> Column:
     )
     scheme = F.lower(F.substring_index(url, ":", 1))
     rest = F.substr(url, F.char_length(scheme) + 1)
-    return F.when(usable, F.concat(scheme, rest)).otherwise(F.lit(""))
+    usual = F.startswith(url, F.lit("http://")) | F.startswith(url, F.lit("https://"))
+    return F.when(
+        usable, F.when(usual, url).otherwise(F.concat(scheme, rest))
+    ).otherwise(F.lit(""))
 
 
 def report_target(artifact: str | Column, target: str | Column) -> Column:
