@@ -245,7 +245,7 @@ def multi_release_select(entries: DataFrame, flags: DataFrame, target_release: i
             (F.col("release") == 0)
             | (F.coalesce("multi_release", F.lit(False)) & (F.col("release") <= target_release))
         )
-        .filter(text.safe_member_path("logical_path"))
+        .filter((F.col("release") == 0) | text.safe_member_path("logical_path"))
         .drop("multi_release")
     )
     return first_per_key(
