@@ -17,7 +17,7 @@ CONTROL = r"[\x00-\x1F\x7F]"
 CONTROL_BUT_BREAKS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 UNSAFE_DISPLAY = r"[\p{Cc}\p{Cf}\x{2028}\x{2029}]"
 BAD_ESCAPE = r"%([^0-9A-Fa-f]|[0-9A-Fa-f][^0-9A-Fa-f]|[0-9A-Fa-f]?$)"
-URL_TAIL = r"[^\t\n\x0B\f\r \x00-\x1F\x7F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]*"
+URL_TAIL = r"[^\x00-\x20\x7F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]*"
 URL_HOST = URL_TAIL.replace("[^", "[^/?#@:\\[\\]").replace("]*", "]+")
 HTTP_URL = rf"^(?:[hH][tT][tT][pP][sS]?)://(?:\[[0-9A-Fa-f:.]+\]|{URL_HOST})(?::[0-9]*)?(?:[/?#]{URL_TAIL})?$"
 

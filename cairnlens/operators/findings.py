@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnlens import vocab
@@ -96,15 +96,9 @@ def run_publication_check(runs: DataFrame, findings: DataFrame) -> DataFrame:
 def truncate_per_task(df: DataFrame, order: list, limit: int, key: str = "task_id") -> DataFrame:
     """First ``limit`` rows of each task; ``truncated`` says whether more existed."""
     kept = ranked_per_key(df, [key], order, limit + 1, "position")
-    over = (
-        kept.filter(F.col("position") > limit).select(key, F.lit(True).alias("_more"))
-    )
-    return (
-        kept.filter(F.col("position") <= limit)
-        .join(over, key, "left")
-        .withColumn("truncated", F.coalesce("_more", F.lit(False)))
-        .drop("_more")
-    )
+    # at most limit + 1 rows per task are left, already gathered by task
+    last = F.max("position").over(Window.partitionBy(key))
+    return kept.withColumn("truncated", last > limit).filter(F.col("position") <= limit)
 
 
 def ordered_by_severity(findings: DataFrame, keys: list[str]) -> DataFrame:

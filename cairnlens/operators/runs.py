@@ -275,8 +275,9 @@ def project_rollup(runs: DataFrame, results: DataFrame) -> DataFrame:
             F.count_if(stored & (F.col("language") == name)).alias(f"_{name}")
             for name in ("java", "kotlin", "python")
         ],
-        F.count_distinct(language).alias("_languages"),
+        # one language only: smallest and largest agree, no distinct count needed
         F.min(language).alias("_language"),
+        F.max(language).alias("_last_language"),
         F.count_distinct(F.when(stored, F.col("storage_key"))).alias("source_file_count"),
         F.coalesce(F.sum(F.when(stored, F.col("size_bytes"))), F.lit(0)).alias("source_size_bytes"),
         F.min("created_at").alias("_first"),
@@ -291,7 +292,7 @@ def project_rollup(runs: DataFrame, results: DataFrame) -> DataFrame:
         .select(
             F.col("analyzer_run_id").alias("id"),
             kind.otherwise("bytecode").alias("source_kind"),
-            F.when(native, "c").when(F.col("_languages") == 1, F.col("_language"))
+            F.when(native, "c").when(F.col("_language") == F.col("_last_language"), F.col("_language"))
             .otherwise("mixed").alias("language"),
             F.when(F.col("run_status") == "partial", "partial")
             .when(F.col("_complete") == F.col("symbol_count"), "complete")
