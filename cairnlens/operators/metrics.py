@@ -277,6 +277,25 @@ def analyzer_status(
     )
 
 
+def required_minus_ready(registrations: DataFrame, workers: DataFrame, as_of) -> DataFrame:
+    """Worker kinds each registered analyzer still lacks a fresh heartbeat from."""
+    ready = (
+        readiness_fresh(workers, as_of)
+        .select(F.lower(trim_space("analyzer_name")).alias("analyzer_key"), "worker_kind")
+        .distinct()
+        .groupBy("analyzer_key")
+        # at most one entry per worker kind, a closed vocabulary
+        .agg(F.collect_list("worker_kind").alias("_ready"))
+    )
+    wanted = registrations.withColumn("analyzer_key", F.lower(trim_space("name")))
+    missing = F.array_except(
+        F.split("required_kinds", ","), F.coalesce("_ready", F.array().cast("array<string>"))
+    )
+    return wanted.join(ready, "analyzer_key", "left").select(
+        "name", F.array_sort(missing).alias("missing_kinds")
+    )
+
+
 def last_sequence(tasks: DataFrame, events: DataFrame) -> DataFrame:
     """Next free event sequence of every task."""
     highest = events.groupBy("task_id").agg(F.max("event_sequence").alias("highest"))

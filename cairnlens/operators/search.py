@@ -313,6 +313,19 @@ def source_fragments(functions: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
+def source_line_slices(functions: DataFrame, sources: DataFrame) -> DataFrame:
+    """Lines of each function cut from its project's text.
+
+    ``sources`` holds (project_id, text); lines count from 1, both ends inclusive.
+    """
+    lines = F.slice(
+        F.split("text", "\n"), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1
+    )
+    return functions.join(sources, "project_id").select(
+        "project_id", "result_id", F.array_join(lines, "\n").alias("fragment")
+    )
+
+
 def redacted_metadata(logs: DataFrame, column: str = "metadata_json") -> DataFrame:
     """Scalar metadata values by path with sensitive keys removed at every level.
 

@@ -17,6 +17,12 @@ from cairnlens.sources.tables import scan_table
 
 BLOB_COUNT = "(SELECT count(*) FROM documents)"
 
+
+def _blob(key: str) -> str:
+    """A blob for a key; two blobs of three are never referenced."""
+    return f"{key} % {BLOB_COUNT} - {key} % {BLOB_COUNT} % 3"
+
+
 VIEWS: dict[str, str] = {
     # one key per line item row; (l_orderkey, l_linenumber) alone is not unique
     "lines": """
@@ -48,8 +54,8 @@ VIEWS: dict[str, str] = {
         FROM events""",
     "tasks": f"""
         SELECT o_orderkey AS id,
-               CASE WHEN o_orderkey % 4 = 3 THEN o_orderkey - 1 ELSE o_orderkey END AS upload_id,
-               o_orderkey % {BLOB_COUNT} AS blob_id, o_custkey AS created_by,
+               CASE WHEN o_orderkey % 5 = 3 THEN o_orderkey - 1 ELSE o_orderkey END AS upload_id,
+               {_blob('o_orderkey')} AS blob_id, o_custkey AS created_by,
                concat('Sample ', o_orderkey,
                       CASE WHEN o_orderkey % 9 = 0 THEN ' 100%_done' ELSE '' END) AS name,
                CASE WHEN o_orderkey % 11 = 0 THEN NULL
@@ -111,7 +117,7 @@ VIEWS: dict[str, str] = {
                CAST(floor(o_totalprice) AS BIGINT) AS declared_size_bytes,
                CASE o_orderkey % 5 WHEN 0 THEN 'expired' WHEN 1 THEN 'cancelled'
                     ELSE 'completed' END AS status,
-               CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderkey % {BLOB_COUNT} END AS blob_id,
+               CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE {_blob('o_orderkey')} END AS blob_id,
                CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE concat('sha-', o_orderkey % 1000) END
                    AS actual_sha256,
                o_orderdate + INTERVAL 7 DAY AS expires_at, o_orderdate AS created_at,
@@ -176,7 +182,7 @@ VIEWS: dict[str, str] = {
         SELECT o_orderkey AS id, o_orderkey AS upload_id,
                CASE o_orderkey % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'running'
                     WHEN 2 THEN 'completed' ELSE 'deleting' END AS status,
-               o_orderkey % {BLOB_COUNT} AS source_blob_id,
+               {_blob('o_orderkey')} AS source_blob_id,
                CASE WHEN o_orderkey % 5 = 0 THEN o_orderdate END AS source_blob_released_at,
                o_orderdate AS created_at
         FROM orders WHERE o_orderkey % 3 = 1""",
@@ -191,7 +197,7 @@ VIEWS: dict[str, str] = {
                    AS size_bytes,
                concat('sha-', o_orderkey % 1000) AS sha256,
                'binary' AS detected_category, 'elf64' AS detected_format,
-               o_orderkey % {BLOB_COUNT} AS blob_id,
+               {_blob('o_orderkey')} AS blob_id,
                CASE WHEN o_orderkey % 12 = 0 THEN o_orderkey END AS derived_upload_id,
                CASE WHEN o_orderkey % 36 = 0 THEN o_orderkey END AS task_id,
                CASE WHEN o_orderkey % 18 = 0 THEN o_orderdate END AS blob_released_at
@@ -205,7 +211,7 @@ VIEWS: dict[str, str] = {
                     CASE l_partkey % 4 WHEN 0 THEN 'directory' WHEN 1 THEN 'encrypted'
                          WHEN 2 THEN 'nested_archive' ELSE 'unsupported_format' END END,
                CAST(floor(l_extendedprice) AS BIGINT), concat('sha-', l_partkey % 1000),
-               'binary', 'pe32', l_partkey % {BLOB_COUNT}, CAST(NULL AS BIGINT),
+               'binary', 'pe32', {_blob('l_partkey')}, CAST(NULL AS BIGINT),
                CAST(NULL AS BIGINT), CASE WHEN l_returnflag = 'R' THEN l_shipdate END
         FROM lines""",
     "batch_items": """
@@ -346,8 +352,7 @@ VIEWS: dict[str, str] = {
         FROM region""",
     "vulnerability_findings": """
         SELECT line_key AS id, l_orderkey AS task_id, l_orderkey AS analyzer_run_id,
-               CASE WHEN l_orderkey % 2 = 0 THEN l_orderkey % 5 ELSE l_suppkey % 6 END
-                   AS database_bundle_id,
+               CASE l_suppkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 5 END AS database_bundle_id,
                concat('/img/', l_linenumber) AS image_logical_path,
                concat('CVE-', l_partkey) AS vulnerability_id,
                CASE l_partkey % 5 WHEN 0 THEN 'UNKNOWN' WHEN 1 THEN 'LOW' WHEN 2 THEN 'MEDIUM'
@@ -469,7 +474,7 @@ VIEWS: dict[str, str] = {
         FROM customer JOIN nation ON c_nationkey = n_nationkey
              JOIN region ON n_regionkey = r_regionkey""",
     "blob_refs": f"""
-        SELECT 1000 + c_custkey AS file_node_id, c_custkey % {BLOB_COUNT} AS blob_id
+        SELECT 1000 + c_custkey AS file_node_id, {_blob('c_custkey')} AS blob_id
         FROM customer WHERE c_custkey % 3 = 0""",
     "call_edges": """
         SELECT l_suppkey AS caller, l_partkey % 150 AS callee FROM lineitem""",
@@ -753,5 +758,7 @@ class Domain:
             raise AttributeError(name)
         sql = view_sql(name).replace("\\", "\\\\")  # backslashes are plain text in the views
         for table in sorted(_base_tables(sql)):
-            self.table(table).createOrReplaceTempView(table)
+            # an own view name, so no view of the session is replaced
+            self.table(table).createOrReplaceTempView(f"cairnlens_{table}")
+            sql = re.sub(rf"\b(FROM|JOIN)(\s+){table}\b", rf"\1\2cairnlens_{table}", sql)
         return self.spark.sql(sql)

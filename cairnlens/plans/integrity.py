@@ -131,14 +131,12 @@ JOIN intake_profiles p ON p.source_parent_upload_id = a.upload_id
 JOIN uploads u ON u.id = p.upload_id
 LEFT JOIN archive_import_entries e ON e.archive_import_id = a.id
      AND e.logical_path = p.source_entry_path
-LEFT JOIN tasks t ON t.upload_id = u.id AND t.id % 5 < 3
+LEFT JOIN tasks t ON t.upload_id = u.id
 WHERE t.id IS NULL AND (e.id IS NULL OR e.status <> 'created')
   AND NOT (u.status = 'cancelled' OR (u.status = 'expired' AND u.blob_id IS NULL))""")
 def _(d):
-    # every upload has a task here, so tasks of some ids are treated as removed
     return retention.orphan_derived_uploads(
-        d.archive_imports, d.intake_profiles, d.uploads, d.archive_import_entries,
-        d.tasks.filter("id % 5 < 3"),
+        d.archive_imports, d.intake_profiles, d.uploads, d.archive_import_entries, d.tasks
     )
 
 
@@ -179,11 +177,10 @@ REFERENCES = """
  SELECT blob_id FROM archive_import_entries WHERE blob_released_at IS NULL)"""
 
 
-def _references(d, subset: str | None = None) -> DataFrame:
-    refs = retention.blob_references(
+def _references(d) -> DataFrame:
+    return retention.blob_references(
         d.uploads, d.tasks, d.blob_refs, d.archive_imports, d.archive_import_entries
     )
-    return refs.filter(subset) if subset else refs
 
 
 @query("blob_reference_counts", f"""
@@ -195,20 +192,19 @@ FROM (SELECT b.*, COALESCE(r.n, 0) AS n,
              WHEN COALESCE(r.n, 0) = 0 AND state = 'staging' AND created_at <= {NOW}
              THEN 'deleting' ELSE state END AS new_state
       FROM blobs b LEFT JOIN (SELECT blob_id, count(*) AS n FROM {REFERENCES}
-                              WHERE blob_id % 3 <> 0 GROUP BY blob_id) r ON r.blob_id = b.id)""")
+                              GROUP BY blob_id) r ON r.blob_id = b.id)""")
 def _(d):
-    # references to every third blob are treated as released
-    return retention.blob_reference_counts(d.blobs, _references(d, "blob_id % 3 <> 0"), AS_OF)
+    return retention.blob_reference_counts(d.blobs, _references(d), AS_OF)
 
 
 @query("blob_orphans", f"""
 SELECT i.storage_key, i.size_bytes FROM store_inventory i WHERE i.modified_at <= {NOW}
   AND NOT EXISTS (SELECT 1 FROM blobs b WHERE b.storage_key = i.storage_key
         AND (b.state <> 'deleted' OR b.id IN (SELECT blob_id FROM {REFERENCES}
-             WHERE blob_id IS NOT NULL AND blob_id % 3 <> 0)))""")
+             WHERE blob_id IS NOT NULL)))""")
 def _(d):
     return retention.blob_orphans(
-        d.store_inventory, d.blobs, _references(d, "blob_id % 3 <> 0"), AS_OF
+        d.store_inventory, d.blobs, _references(d), AS_OF
     ).select("storage_key", "size_bytes")
 
 

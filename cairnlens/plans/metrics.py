@@ -86,17 +86,15 @@ def _(d):
 
 @query("databases_used", """
 SELECT b.id, b.version FROM database_bundles b
-WHERE EXISTS (SELECT 1 FROM vulnerability_findings f WHERE f.database_bundle_id = b.id
-              AND f.severity = 'CRITICAL' AND f.database_bundle_id > 3)
+WHERE EXISTS (SELECT 1 FROM vulnerability_findings f WHERE f.database_bundle_id = b.id)
    OR EXISTS (SELECT 1 FROM analyzer_runs r WHERE r.analyzer_name = 'ghidra'
               AND CAST(json_extract_string(r.parameters_json, '$.database_bundle.id') AS BIGINT)
                   = b.id)""")
 def _(d):
-    found = d.vulnerability_findings.filter(
-        "severity = 'CRITICAL' AND database_bundle_id > 3"
-    )
     runs = d.analyzer_runs.filter("analyzer_name = 'ghidra'")
-    return findings.databases_used(d.database_bundles, found, runs).select("id", "version")
+    return findings.databases_used(d.database_bundles, d.vulnerability_findings, runs).select(
+        "id", "version"
+    )
 
 
 @query("truncate_per_task", """
@@ -348,6 +346,19 @@ def _(d):
     )
 
 
+@query("required_minus_ready", f"""
+WITH fresh AS (SELECT lower(trim(analyzer_name)) AS k, list(worker_kind) AS kinds
+               FROM worker_readiness WHERE {FRESH} GROUP BY 1)
+SELECT r.name, array_to_string(list_sort(list_filter(string_split(r.required_kinds, ','),
+         lambda x: NOT list_contains(COALESCE(f.kinds, []), x))), ',') AS missing_kinds
+FROM analyzer_registrations r LEFT JOIN fresh f ON f.k = lower(r.name)""")
+def _(d):
+    rows = metrics.required_minus_ready(
+        d.analyzer_registrations, d.worker_readiness, EVENTS_AS_OF
+    )
+    return rows.select("name", F.array_join("missing_kinds", ",").alias("missing_kinds"))
+
+
 @query("last_sequence", """
 SELECT t.id AS task_id, COALESCE(max(e.event_sequence), 0) + 1 AS next_sequence
 FROM tasks t LEFT JOIN task_events e ON e.task_id = t.id GROUP BY t.id""")

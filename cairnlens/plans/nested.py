@@ -375,3 +375,17 @@ def _(d):
     return d.conversations.select(
         "conv_id", "turn", F.array_join(text.bounded_strings(words, 20, 12), "|").alias("kept")
     )
+
+
+@query("readable_target", """
+SELECT report_id, target, CASE WHEN target LIKE '% (%)' AND trim(regexp_extract(target,
+         '^.* [(](.*)[)]$', 1)) <> '' THEN trim(regexp_extract(target, '^.* [(](.*)[)]$', 1))
+       ELSE target END AS shown
+FROM (SELECT report_id, json_extract_string(CASE WHEN json_valid(document) THEN document END,
+        '$.Results[0].Target') AS target FROM report_documents) WHERE target IS NOT NULL""")
+def _(d):
+    targets = d.report_documents.select(
+        "report_id", F.get_json_object("document", "$.Results[0].Target").alias("target")
+    )
+    shown = targets.select("report_id", "target", text.readable_target("target").alias("shown"))
+    return shown.filter("target IS NOT NULL")

@@ -115,15 +115,18 @@ def _(d):
 
 
 @query("replace_findings", """
-SELECT run_id, id, CASE WHEN run_id % 5 = 2 THEN 'HIGH' ELSE severity END AS severity
-FROM rule_findings WHERE run_id % 5 <> 1""")
+SELECT f.run_id, f.id, CASE WHEN r.status = 'partial' THEN 'HIGH' ELSE f.severity END AS severity
+FROM rule_findings f JOIN rule_runs r ON r.id = f.run_id WHERE r.status <> 'failed'""")
 def _(d):
-    """Publishes all runs, then two fifths again: one changed, one now empty."""
+    """Publishes all runs, then partial runs changed and failed runs without findings."""
     path = shared_folder(d.spark)
     first = d.rule_findings.select("run_id", "id", "severity")
     sinks.replace_findings(d.spark, path, first, d.rule_findings, buckets=4)
-    again = first.filter("run_id % 5 = 2").withColumn("severity", F.lit("HIGH"))
-    runs = d.rule_findings.filter("run_id % 5 IN (1, 2)")
+    states = d.rule_runs.select(F.col("id").alias("run_id"), "status")
+    again = first.join(states.filter("status = 'partial'"), "run_id", "left_semi").withColumn(
+        "severity", F.lit("HIGH")
+    )
+    runs = states.filter("status IN ('partial', 'failed')")
     for _ in range(2):  # the second time must change nothing
         sinks.replace_findings(d.spark, path, again, runs, buckets=4)
     stored = d.spark.read.schema("run_id BIGINT, id STRING, severity STRING").parquet(path)

@@ -369,3 +369,21 @@ def _(d):
     return search.source_fragments(functions, sources).select(
         "project_id", "result_id", F.lower(F.hex("fragment")).alias("fragment_hex")
     )
+
+
+@query("source_line_slices", """
+SELECT doc_id AS project_id, s.part AS result_id,
+       array_to_string(string_split(text, chr(10))[s.part + 1:s.part + 3], chr(10)) AS fragment
+FROM documents, (VALUES (0), (1), (2)) AS s(part)
+WHERE length(text) - length(replace(text, chr(10), '')) >= s.part""")
+def _(d):
+    sources = d.documents.select(F.col("doc_id").alias("project_id"), "text")
+    spread = d.documents.select(
+        F.col("doc_id").alias("project_id"), F.size(F.split("text", "\n")).alias("n"),
+        F.explode(F.sequence(F.lit(0), F.lit(2))).alias("result_id"),
+    ).filter(F.col("n") > F.col("result_id"))
+    functions = spread.select(
+        "project_id", "result_id", (F.col("result_id") + 1).alias("start_line"),
+        (F.col("result_id") + 3).alias("end_line"),
+    )
+    return search.source_line_slices(functions, sources)

@@ -21,7 +21,7 @@ def _plain(at):
 
 
 def _in_order(rows: Iterator[pd.DataFrame], column: str) -> pd.DataFrame:
-    """One key's rows of one micro-batch; the trigger's file limit bounds them."""
+    """One key's rows of one micro-batch; the trigger's byte limit bounds them."""
     return pd.concat(list(rows), ignore_index=True).sort_values(column, kind="stable")
 
 

@@ -153,3 +153,46 @@ def test_collated_search(spark, keyword, expected):
     if keyword == "é":  # an accent-free match: every word with an e
         expected = 4
     assert df.filter(contains_text("n", keyword)).count() == expected
+
+
+def test_streams_resume_where_they_stopped(spark):
+    """Two runs over a growing log give what one pass over all of it gives."""
+    from cairnlens.operators import metrics
+    from cairnlens.streaming import live
+
+    root = shared_folder(spark)
+    rows = [(i % 3, i, "t", ["validating", "SCANNING", None, "odd"][(i // 3) % 4], "info", "", "{}", i)
+            for i in range(300)]
+    schema = ("task_id BIGINT, event_sequence BIGINT, event_type STRING, stage STRING, "
+              "severity STRING, message STRING, payload STRING, s BIGINT")
+    events = spark.createDataFrame(rows, schema).withColumn(
+        "created_at", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("s") * 30)).drop("s")
+    as_of = "2024-01-05 00:00:00"
+    for part in ("event_sequence < 140", "event_sequence >= 140"):
+        events.filter(part).coalesce(1).write.mode("append").parquet(f"{root}/log")
+        stream = live.tail_events(spark, f"{root}/log")
+        got = live.run_available(live.stage_visits(stream, as_of), f"{root}/visits", 2)
+    columns = ["task_id", "stage", "started_at", "completed_at"]
+    expected = metrics.stage_intervals(events, as_of).select(*columns)
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, expected.collect()))
+    assert got.count() > 0
+
+
+def test_failure_bursts_by_hand(spark):
+    from cairnlens.streaming import live
+
+    root = shared_folder(spark)
+    # (second, failed): window 60 s from the first attempt, three failures block 300 s
+    attempts = [(0, True), (10, False), (20, True), (59, True), (100, True), (358, True),
+                (359, True), (400, True), (418, True), (419, True), (420, True), (900, False)]
+    df = spark.createDataFrame([(7, i, s, f) for i, (s, f) in enumerate(attempts)],
+                               "client BIGINT, attempt_id BIGINT, s BIGINT, failed BOOLEAN")
+    base = 1_704_067_200
+    df.withColumn("attempted_at", F.timestamp_seconds(F.col("s") + base)).drop("s").coalesce(1).write.parquet(f"{root}/a")
+    stream = live.tail_events(
+        spark, f"{root}/a", "client BIGINT, attempt_id BIGINT, failed BOOLEAN, attempted_at TIMESTAMP")
+    got = live.run_available(live.failure_bursts(stream, 3, 60, 300), f"{root}/out", 2)
+    seconds = [tuple(int(x.timestamp()) - base for x in (r.window_started_at, r.blocked_at, r.blocked_until))
+               for r in got.collect()]
+    # after the block ends at 359 the window is 359..419: 359, 400, 418 are three failures
+    assert sorted(seconds) == [(0, 59, 359), (359, 418, 718)]
