@@ -224,8 +224,11 @@ def cache_candidates(
         & F.col("deleted_at").isNull()
     ).select(F.col("id").alias("task_id"))
     runs = runs.join(usable, "task_id", "left_semi")
-    for field in CACHE_FIELDS:
-        runs = runs.withColumn(field, F.get_json_object("parameters_json", f"$.{field}"))
+    # one parse of the parameters yields all identity fields
+    parameters = F.from_json("parameters_json", ", ".join(f"{name} STRING" for name in CACHE_FIELDS))
+    runs = runs.withColumn("_parameters", parameters).select(
+        "*", *[F.col(f"_parameters.{name}").alias(name) for name in CACHE_FIELDS]
+    ).drop("_parameters")
     keys = ["cache_identity", "analyzer_name", "analyzer_version", *CACHE_FIELDS]
     finished = runs.filter(
         (F.col("status") == "succeeded")
