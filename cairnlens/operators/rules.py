@@ -203,13 +203,14 @@ def call_sites(files: DataFrame, language: str, names: list[str]) -> DataFrame:
         "_clean", blank_comments(F.col("text"), dialect)
     )
     marked = clean.withColumn("_marked", marked_calls(F.col("_clean"), pattern, dialect))
+    # the lines are a column of their own, so a text is split once for all its sites
     sites = marked.select(
-        "file_id", "language", "logical_path", "text",
+        "file_id", "language", "logical_path", F.split("text", "\n").alias("_lines"),
         F.filter(
             F.regexp_extract_all("_marked", F.lit(token), 1), lambda s: s != ""
         ).alias("_sites"),
     )
-    lines = F.split("text", "\n")
+    lines = F.col("_lines")
     numbered = F.transform(
         "_sites",
         lambda s: F.struct(
@@ -376,11 +377,14 @@ def _import_findings(files: DataFrame) -> DataFrame:
     """Python imports of modules that unpickle data, one finding per imported module."""
     names = "|".join(PYTHON_IMPORTS)
     python = files.filter(F.col("language") == "python")
-    code = blank_comments(F.col("text"), DIALECTS["python"])
-    lines = F.split("text", "\n")
+    split = python.select(
+        "file_id", "language", "logical_path", F.split("text", "\n").alias("_lines"),
+        F.split(blank_comments(F.col("text"), DIALECTS["python"]), "\n").alias("_code"),
+    )
+    lines = F.col("_lines")
     hits = F.filter(
         F.transform(
-            F.split(code, "\n"),
+            F.col("_code"),
             lambda line, i: F.struct(
                 (i + 1).alias("start_line"),
                 F.when(
@@ -395,7 +399,7 @@ def _import_findings(files: DataFrame) -> DataFrame:
         ),
         lambda hit: F.size(hit["modules"]) > 0,
     )
-    rows = python.select(
+    rows = split.select(
         "file_id", "language", "logical_path",
         F.inline(F.transform(hits, lambda h: F.struct(
             h["start_line"].alias("start_line"), h["modules"].alias("modules"),
