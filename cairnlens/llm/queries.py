@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlens.llm import toxicity
+from cairnlens.llm import fingerprint, licenses, topk, toxicity, url_filter
 from cairnlens.llm.common import fold, read_table
 
 
@@ -19,8 +19,162 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read_table(spark, sf_dir, "pages"))
+
+
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.fingerprints(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", F.array_join("sketch", ",").alias("fingerprint"),
+        F.array_join("edited_sketch", ",").alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_license_scan": op3_license_scan,
+    "op8_url_filter": op8_url_filter,
+    "op9_fingerprint": op9_fingerprint,
+    "op10_topk": op10_topk,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _license_sql() -> str:
+    """Phrases and block containment, from the word lists, without filters."""
+    def quoted(names):
+        return "[" + ", ".join(f"'{n}'" for n in names) + "]"
+
+    starts, base, found = [], [], []
+    for phrase, label in licenses.PHRASES:
+        parts = phrase.split()
+        test = " AND ".join(f"w[i + {k + 1}] = '{p}'" for k, p in enumerate(parts))
+        starts.append(f"list_filter(range(0, len(w)), lambda i: {test})")
+    for template_label, template in licenses.TEMPLATES:
+        names = licenses.distinct_words(template)
+        size, step = licenses.block_words(template)
+        need = licenses.needed(len(names))
+        held = f"len(list_intersect({quoted(names)}, w[i:i + {size - 1}]))"
+        best = f"list_max(list_transform(range(1, greatest(len(w), 1) + 1, {step}), lambda i: {held}))"
+        found.append((template_label, f"CASE WHEN {best} >= {need} THEN {best} / {len(names)}::DOUBLE END"))
+    columns = ", ".join(f"{s} AS p{i}" for i, s in enumerate(starts))
+    columns += ", " + ", ".join(f"{t} AS t{i}" for i, (_, t) in enumerate(found))
+    base = [f"CASE WHEN len(p{i}) > 0 THEN '{label}' END" for i, (_, label) in enumerate(licenses.PHRASES)]
+    more = [f"CASE WHEN t{i} IS NOT NULL THEN '{label}' END" for i, (label, _) in enumerate(found)]
+    every = " || ".join(f"p{i}" for i in range(len(starts)))
+
+    def joined(labels):
+        return f"coalesce(array_to_string(list_sort(list_distinct([{', '.join(labels)}])), ','), '')"
+
+    upper = licenses.UPPER
+    return f"""
+        WITH words AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), '{upper}', '{upper.lower()}'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents
+        ), marked AS (SELECT doc_id, len(w) AS n_words, {columns} FROM words)
+        SELECT doc_id, n_words::BIGINT AS n_words, len({every})::BIGINT AS n_base,
+            list_min({every})::BIGINT AS first_word, list_max({every})::BIGINT AS last_word,
+            {joined(base)} AS base_labels, {joined(base + more)} AS labels,
+            CASE WHEN len({every}) > 0 THEN 1.0::DOUBLE
+                ELSE greatest(0.0::DOUBLE, {', '.join(f'coalesce(t{i}, 0.0)' for i in range(len(found)))}) END AS score
+        FROM marked
+    """
+
+
+def _url_sql() -> str:
+    cases = {"rule": [], "ruled": []}
+    for host, path, verdict in sorted(url_filter.RULES, key=lambda r: -len(r[0] + r[1])):
+        fits = f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}') THEN"
+        cases["rule"].append(f"{fits} '{host}{path}'")
+        cases["ruled"].append(f"{fits} '{verdict}'")
+    return f"""
+        WITH rest AS (
+            SELECT page_id, CASE WHEN contains(url, '://')
+                THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
+        ), parsed AS (
+            SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'),
+                '{licenses.UPPER}', '{licenses.UPPER.lower()}') AS host,
+                regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
+        ), ruled AS (
+            SELECT *, CASE {' '.join(cases['rule'])} END AS rule,
+                CASE {' '.join(cases['ruled'])} END AS own FROM parsed
+        ), hosts AS (
+            SELECT host, count(*) FILTER (own = 'block') AS b, count(*) FILTER (own = 'allow') AS a
+            FROM ruled GROUP BY host
+        )
+        SELECT page_id, host, path, rule,
+            coalesce(own, CASE WHEN b > 0 AND b >= a THEN 'block' ELSE 'allow' END) AS verdict
+        FROM ruled JOIN hosts USING (host)
+    """
+
+
+def _likeness_sql(a: str, b: str) -> str:
+    common = f"len(list_intersect({a}, {b}))"
+    every = f"(len({a}) + len({b}) - {common})"
+    return f"CASE WHEN {every} = 0 THEN 1.0::DOUBLE ELSE {common} / {every}::DOUBLE END"
+
+
+FINGERPRINT_SQL = f"""
+    WITH base AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    ordered AS (
+        SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text,
+            row_number() OVER w AS k FROM base
+        WINDOW w AS (ORDER BY doc_id NULLS FIRST, text)
+    ), edited AS (
+        SELECT *, length(text) AS n, left(text, length(text) - length(text) // 4)
+            || left(next_text, length(text) // 4) AS edited FROM ordered
+    ), split AS (
+        SELECT k, kind, list_filter(string_split_regex(t, '[\\x09-\\x0D\\x20]+'), lambda x: x <> '') AS w
+        FROM (SELECT k, 'a' AS kind, text AS t FROM edited UNION ALL
+            SELECT k, 'b', edited FROM edited UNION ALL SELECT k, 'c', next_text FROM edited)
+    ), hashed AS (
+        SELECT DISTINCT k, kind, left(md5(array_to_string(w[i:i + 4], ' ')), 16) AS h
+        FROM (SELECT k, kind, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM split WHERE len(w) > 0)
+    ), sketches AS (
+        SELECT k, kind, CASE WHEN bool_or(h < '{fingerprint.LIMIT}')
+            THEN list(h ORDER BY h) FILTER (h < '{fingerprint.LIMIT}') ELSE [min(h)] END AS s
+        FROM hashed GROUP BY k, kind
+    ), wide AS (
+        SELECT e.doc_id, n, sha256(edited) AS edited_sha256, coalesce(a.s, []) AS a, coalesce(b.s, []) AS b,
+            coalesce(c.s, []) AS c
+        FROM edited e LEFT JOIN sketches a ON a.k = e.k AND a.kind = 'a'
+            LEFT JOIN sketches b ON b.k = e.k AND b.kind = 'b' LEFT JOIN sketches c ON c.k = e.k AND c.kind = 'c'
+    )
+    SELECT doc_id, n::BIGINT AS n_chars, edited_sha256, coalesce(array_to_string(a, ','), '') AS fingerprint,
+        coalesce(array_to_string(b, ','), '') AS edited_fingerprint,
+        {_likeness_sql('a', 'b')} AS near_edited, {_likeness_sql('a', 'c')} AS near_next
+    FROM wide
+"""
+
+TOPK_SQL = """
+    WITH usable AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+        FROM usable q, usable c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+    ), ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored
+    )
+    SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": _license_sql(),
+    "op8_url_filter": _url_sql(),
+    "op9_fingerprint": FINGERPRINT_SQL,
+    "op10_topk": TOPK_SQL,
+}
