@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlens.llm import fingerprint, licenses, topk, toxicity, url_filter
+from cairnlens.llm import (
+    fingerprint, language_model, licenses, mixing, near_dedup, packing, passages, topk, toxicity,
+    url_filter,
+)
 from cairnlens.llm.common import fold, read_table
 
 
@@ -19,10 +22,34 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.log_likelihoods(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", (fold("doc_id", language_model.FOLDS) == language_model.HELD_OUT).alias("held_out"),
+        "n_tokens", "n_known", "train_tokens", "base_score", "score",
+    )
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.sequences(read_table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.decide(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return mixed.select("doc_id", "mix.*")
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(read_table(spark, sf_dir, "documents")).drop("check")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_table(spark, sf_dir, "pages"))
 
@@ -42,7 +69,12 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_lm_score": op2_lm_score,
     "op3_license_scan": op3_license_scan,
+    "op4_near_dedup": op4_near_dedup,
+    "op5_packing": op5_packing,
+    "op6_mixing": op6_mixing,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_fingerprint": op9_fingerprint,
     "op10_topk": op10_topk,

@@ -100,7 +100,8 @@ def _figure_batches(model: ToxicityModel, keep: list[str]):
 def with_figures(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
     types = dict(docs.dtypes)
     schema = ", ".join(f"`{name}` {types[name]}" for name in keep)
-    return docs.select(*keep, "text").mapInArrow(
+    columns = keep if "text" in keep else [*keep, "text"]
+    return docs.select(*columns).mapInArrow(
         _figure_batches(model, keep), f"{schema}, figures array<double>"
     )
 
@@ -227,18 +228,27 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     return ToxicityModel(model.ordinary, model.toxic, tuple(weights))
 
 
+def _value(model: ToxicityModel):
+    linear = F.lit(model.weights[0])
+    for i, w in enumerate(model.weights[1:]):
+        linear = linear + F.col("figures")[i] * F.lit(w)
+    return 1 / (1 + F.exp(-linear))
+
+
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, score, predicted: one row per input row, null and empty texts included.
 
     An empty text has no savings and gets the score of plain prose. Only doc_id and
     text are read; further columns, whatever their names, play no part.
     """
-    linear = F.lit(model.weights[0])
-    for i, w in enumerate(model.weights[1:]):
-        linear = linear + F.col("figures")[i] * F.lit(w)
-    value = 1 / (1 + F.exp(-linear))
     return (
-        with_figures(docs.select("doc_id", text_or_empty().alias("text")), model, ["doc_id"])
-        .select("doc_id", value.alias("score"))
+        with_figures(docs, model, ["doc_id"])
+        .select("doc_id", _value(model).alias("score"))
         .withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
     )
+
+
+def accepted(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """The rows of ``docs`` with a score below 0.5, unchanged. The column name
+    ``figures`` is reserved."""
+    return with_figures(docs, model, docs.columns).where(_value(model) < 0.5).select(*docs.columns)
