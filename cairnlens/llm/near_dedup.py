@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnlens.llm.common import mix, shingle_hashes, text_or_empty, word_hashes, written
@@ -180,6 +180,10 @@ def similar(pairs: list[tuple[np.ndarray, np.ndarray]], similarity: float = SIMI
     return answer
 
 
+def _digest(column: str) -> Column:
+    return F.md5(F.coalesce(F.col(column), F.lit("")).cast("binary"))
+
+
 def _verified(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,18 +235,9 @@ def classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, n_links: one row per row of ``docs``.
-
-    class_id is the smallest doc_id of the class (null if all its ids are null);
-    n_links counts the different texts that the document's text was aligned with
-    successfully. Equal texts share a class whatever their length; null counts as
-    empty text, and empty texts are one class. Repeated rows come back as often as
-    they are given. Further columns are not read.
-    """
-    texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn(
-        "digest", F.md5(F.col("text").cast("binary"))
-    )
+def assigned(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, digest, class (a digest), n_links: one row per row of ``docs``."""
+    texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("digest", _digest("text"))
     sketched = written(
         texts.mapInArrow(_sketched, f"doc_id {dict(docs.dtypes)['doc_id']}, digest string, n int, keys array<bigint>"),
         "sketches",
@@ -275,19 +270,38 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         links.select("digest").unionByName(links.select(F.col("other").alias("digest")))
         .groupBy("digest").agg(F.count("*").alias("n_links"))
     )
-    found = (
-        sketched.select("doc_id", "digest").join(labels, "digest", "left").join(degree, "digest", "left")
-        .select("doc_id", F.coalesce("class", "digest").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return sketched.select("doc_id", "digest").join(labels, "digest", "left").join(degree, "digest", "left").select(
+        "doc_id", "digest", F.coalesce("class", "digest").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id, n_links: one row per row of ``docs``.
+
+    class_id is the smallest doc_id of the class (null if all its ids are null);
+    n_links counts the different texts that the document's text was aligned with
+    successfully. Equal texts share a class whatever their length; null counts as
+    empty text, and empty texts are one class. Repeated rows come back as often as
+    they are given. Further columns are not read.
+    """
+    found = assigned(docs, similarity)
     smallest = found.groupBy("class").agg(F.min("doc_id").alias("class_id"))
     return found.join(smallest, "class").select("doc_id", "class_id", "n_links")
 
 
 def without_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each class, the one with the smallest doc_id; of rows that share
-    this id one stays, the one with the smallest text. Rows with a null id whose class
-    has ids go; of a class of null ids one row stays per text."""
-    found = near_duplicates(docs, similarity)
-    keep = found.where("doc_id <=> class_id").select("doc_id").distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(keep["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One row of each class: the smallest doc_id (null last), then the smallest MD5
+    of the text; of equal rows one. Columns ``_kept_id`` and ``_kept_digest`` are
+    reserved names."""
+    found = written(assigned(docs, similarity), "assigned")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+    keep = written(found.groupBy("class").agg(F.min(place).alias("k")).select(
+        F.col("k.doc_id").alias("_kept_id"), F.col("k.digest").alias("_kept_digest")
+    ), "kept")
+    kept = docs.join(
+        keep, docs["doc_id"].eqNullSafe(F.col("_kept_id"))
+        & (F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")) == F.col("_kept_digest")), "left_semi",
+    )
+    if found.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
+        return kept
+    return kept.withColumn("_kept_digest", _digest("text")).dropDuplicates(["doc_id", "_kept_digest"]).drop("_kept_digest")
