@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnlens import vocab
@@ -12,75 +12,42 @@ from cairnlens.functions.predicates import blank_to
 from cairnlens.operators.findings import truncate_per_task
 
 
-def _part(
-    df: DataFrame, category: str, source: str, code: Column, message: Column,
-    path: Column | None = None, task: str = "task_id", stable: str = "id",
+def _items(
+    df: DataFrame, source: str, state: str, code: str | None, message: str | None,
+    path: str | None = None, task: str = "task_id", stable: str = "id",
 ) -> DataFrame:
+    own = lambda name: F.col(name) if name else F.lit(None).cast("string")
     return df.select(
-        F.col(task).alias("task_id"),
-        F.lit(category).alias("category"),
-        F.lit(source).alias("source"),
-        (path if path is not None else F.lit(None).cast("string")).alias("logical_path"),
-        code.alias("code"),
-        message.alias("message"),
-        "created_at",
-        F.col(stable).cast("string").alias("stable_id"),
+        F.col(task).alias("task_id"), F.lit(source).alias("source"), F.col(state).alias("state"),
+        own(path).alias("logical_path"), own(code).alias("own_code"), own(message).alias("own_text"),
+        "created_at", F.col(stable).cast("string").alias("stable_id"),
     )
 
 
 def diagnostics_union(
     events: DataFrame, nodes: DataFrame, results: DataFrame, runs: DataFrame, tasks: DataFrame
 ) -> DataFrame:
-    """Warnings, unsupported items and failures of every task, with default texts."""
-    path = F.col("logical_path")
-    limit = F.col("extraction_status") == "limit_reached"
-    cancelled = F.col("status") == "cancelled"
-    live = results.filter(F.col("deleted_at").isNull())
-    parts = [
-        _part(
-            events.filter(F.col("severity") == "warning"), "warning", "task_event",
-            F.lit("task_warning"), blank_to("message", "Task warning."), stable="event_sequence",
-        ),
-        _part(
-            nodes.filter(F.col("extraction_status") == "unsupported"), "unsupported", "file_node",
-            blank_to("error_code", "file_unsupported"),
-            blank_to("error_message", "File format is unsupported."), path,
-        ),
-        _part(
-            live.filter(F.col("status") == "unsupported"), "unsupported", "decompile_result",
-            F.lit("decompile_unsupported"),
-            F.lit("Decompilation is unsupported for this result."),
-        ),
-        _part(
-            nodes.filter(F.col("extraction_status").isin("failed", "limit_reached")), "failed",
-            "file_node",
-            blank_to(
-                "error_code",
-                F.when(limit, "extraction_limit_reached").otherwise("file_failed"),
-            ),
-            blank_to(
-                "error_message",
-                F.when(limit, "Extraction stopped at a configured limit.")
-                .otherwise("File processing failed."),
-            ),
-            path,
-        ),
-        _part(
-            runs.filter(F.col("status").isin(vocab.FAILED_RUN_STATUSES)), "failed", "analyzer_run",
-            blank_to("error_code", "analyzer_failed"),
-            blank_to("error_message", "Analyzer execution failed."),
-        ),
-        _part(
-            live.filter(F.col("status").isin("failed", "cancelled")), "failed", "decompile_result",
-            F.when(cancelled, "decompile_cancelled").otherwise("decompile_failed"),
-            F.when(cancelled, "Decompilation was cancelled.").otherwise("Decompilation failed."),
-        ),
-        _part(
-            tasks.filter(F.col("status") == "FAILED"), "failed", "task",
-            blank_to("error_code", "task_failed"),
-            blank_to("error_message", "Task execution failed."), task="id",
-        ),
+    """Warnings, unsupported items and failures of every task, with default texts.
+
+    Which state of which source is reported, and its default code and text, stands in
+    ``vocab.DIAGNOSTIC_KINDS``.
+    """
+    items = [
+        _items(tasks, "task", "status", "error_code", "error_message", task="id"),
+        _items(runs, "analyzer_run", "status", "error_code", "error_message"),
+        _items(nodes, "file_node", "extraction_status", "error_code", "error_message", "logical_path"),
+        _items(results.filter(F.col("deleted_at").isNull()), "decompile_result", "status", None, None),
+        _items(events, "task_event", "severity", None, "message", stable="event_sequence"),
     ]
+    parts = []
+    for rows, source in zip(items, ("task", "analyzer_run", "file_node", "decompile_result", "task_event")):
+        kinds = {k[1]: k for k in vocab.DIAGNOSTIC_KINDS if k[0] == source}
+        named = lambda at: vocab.mapping_column(F.col("state"), [(s, k[at]) for s, k in kinds.items()])  # noqa: E731, B023
+        parts.append(rows.filter(F.col("state").isin(list(kinds))).select(
+            "task_id", named(2).alias("category"), "source", "logical_path",
+            blank_to("own_code", named(3)).alias("code"), blank_to("own_text", named(4)).alias("message"),
+            "created_at", "stable_id",
+        ))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -133,4 +133,5 @@ def _(d):
         F.when(F.col("s_acctbal") < 0, "stopped").otherwise("ready").alias("status"),
         (F.lit(EVENTS_AS_OF).cast("timestamp") - age).alias("last_checked_at"),
     )
-    return _run(d, live.stale_workers(beats))
+    # one heartbeat per worker and one batch: nothing can be late, so no lag is waited for
+    return _run(d, live.stale_workers(beats, delay="0 seconds"))

@@ -52,28 +52,12 @@ STAGE_NAMES = [name for name, _, _ in STAGES]
 # --- fixed values: limits -----------------------------------------------------
 RECENT_HOURS = 168
 HEARTBEAT_SECONDS = 45
-OBSERVED_RUN_LIMIT = 256
-ANALYZER_METRIC_LIMIT = 32
-ANALYZER_STATUS_LIMIT = 16
 STORAGE_WARNING_PERCENT = 80
 STORAGE_CRITICAL_PERCENT = 90
-FINDING_DETAIL_LIMIT = 1000
-RESULT_DETAIL_LIMIT = 3000
-DATABASE_DETAIL_LIMIT = 100
 DIAGNOSTIC_LIMIT = 1000
-SNAPSHOT_RECORD_LIMIT = 20000
-REPORT_RESULT_LIMIT = 20000
-REPORT_FINDING_LIMIT = 20000
-REFERENCE_LIMIT = 128
 REFERENCE_BYTES = 2048
-EVIDENCE_REFERENCE_LIMIT = 32
-METHOD_LIMIT = 3000
-JAVA_FILE_LIMIT = 3000
-PYTHON_FILE_LIMIT = 200
 PYTHON_FINDING_LIMIT = 1000
 INDEX_DEPTH_LIMIT = 8
-INDEX_DESCRIPTOR_LIMIT = 100000
-CANDIDATE_LIMIT = 8
 MAX_EXPANDED_BYTES = 10737418240
 MAX_ARCHIVE_RATIO = 50
 MAX_FILE_NODES = 20000
@@ -286,3 +270,21 @@ def frame(spark: SparkSession, rows, columns: str) -> DataFrame:
 
     body = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
     return F.broadcast(spark.sql(f"SELECT * FROM VALUES {body} AS v({columns})"))
+
+
+# --- fixed values: reported states with default code and text ---------------------
+# (source, state, category, code, text)
+DIAGNOSTIC_KINDS = (
+    ("analyzer_run", "failed", "failed", "analyzer_failed", "Analyzer execution failed."),
+    ("analyzer_run", "timed_out", "failed", "analyzer_failed", "Analyzer execution failed."),
+    ("decompile_result", "cancelled", "failed", "decompile_cancelled", "Decompilation was cancelled."),
+    ("decompile_result", "failed", "failed", "decompile_failed", "Decompilation failed."),
+    ("decompile_result", "unsupported", "unsupported", "decompile_unsupported",
+     "Decompilation is unsupported for this result."),
+    ("file_node", "failed", "failed", "file_failed", "File processing failed."),
+    ("file_node", "limit_reached", "failed", "extraction_limit_reached",
+     "Extraction stopped at a configured limit."),
+    ("file_node", "unsupported", "unsupported", "file_unsupported", "File format is unsupported."),
+    ("task", "FAILED", "failed", "task_failed", "Task execution failed."),
+    ("task_event", "warning", "warning", "task_warning", "Task warning."),
+)
