@@ -9,6 +9,8 @@ holds at most about ``span`` rows however many the key has.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,13 @@ DEFAULT_SPAN = 1 << 20
 CHUNK = "_chunk"
 
 
+def _meet(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of their (key, chunk) entry; null keys meet too."""
+    named = table.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in table.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return rows.join(named, reduce(Column.__and__, same)).drop(*[f"_k_{k}" for k in keys])
+
+
 def with_chunk(df: DataFrame, order: str, span: int = DEFAULT_SPAN) -> DataFrame:
     return df.withColumn(CHUNK, F.floor(F.col(order) / F.lit(span)).cast("bigint"))
 
@@ -42,8 +51,7 @@ def _neighbour(
         .select(*keys, CHUNK, carry.over(across).alias("_carried"))
     )
     return (
-        chunked.withColumn("_near", near.over(inside))
-        .join(edges, [*keys, CHUNK])
+        _meet(chunked.withColumn("_near", near.over(inside)), edges, [*keys, CHUNK])
         .withColumn(out, F.coalesce("_near", "_carried"))
         .drop("_near", "_carried", CHUNK)
     )
@@ -96,13 +104,14 @@ def prefix_totals(
             for name in totals
         ],
     )
-    out = chunked.select(
+    inside = chunked.select(
         "*",
         *[
             F.coalesce(F.sum(f"_v_{name}").over(before), F.lit(0)).alias(f"_b_{name}")
             for name in totals
         ],
-    ).join(offsets, [*keys, CHUNK])
+    )
+    out = _meet(inside, offsets, [*keys, CHUNK])
     for name in totals:
         out = out.withColumn(name, F.col(f"_b_{name}") + F.col(f"_o_{name}"))
     return out.drop(CHUNK, *[f"_{part}_{name}" for name in totals for part in "vbo"])
@@ -138,10 +147,11 @@ def prefix_maxima(
         CHUNK,
         *[F.max(f"_s_{name}").over(across).alias(f"_o_{name}") for name in maxima],
     )
-    out = chunked.select(
+    inside = chunked.select(
         "*",
         *[F.max(f"_v_{name}").over(before).alias(f"_b_{name}") for name in maxima],
-    ).join(offsets, [*keys, CHUNK])
+    )
+    out = _meet(inside, offsets, [*keys, CHUNK])
     for name in maxima:
         out = out.withColumn(name, F.greatest(f"_b_{name}", f"_o_{name}"))
     return out.drop(CHUNK, *[f"_{part}_{name}" for name in maxima for part in "vbo"])

@@ -295,7 +295,7 @@ def merged_references(primary: str | Column, listed: str | Column, source: str |
     usable = F.filter(
         F.transform(trimmed, lambda x: _usable_url(x, vocab.REFERENCE_BYTES)), lambda x: x != ""
     )
-    return F.slice(F.array_distinct(usable), 1, vocab.REFERENCE_LIMIT)
+    return F.array_distinct(usable)
 
 
 def json_string(variant: Column, path: str) -> Column:

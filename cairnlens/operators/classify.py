@@ -44,7 +44,7 @@ def classify_blobs(blobs: DataFrame, content: str = "content") -> DataFrame:
     return (
         named.withColumn("_formats", formats)
         .withColumn("format", F.coalesce(F.get("_formats", F.lit(0)), F.lit("unknown")))
-        .withColumn("candidates", F.slice("_formats", 1, vocab.CANDIDATE_LIMIT))
+        .withColumn("candidates", F.col("_formats"))
         .withColumn("ambiguous", F.size("_formats") > 1)
         .withColumn("category", category_of_format("format"))
         .drop("_hits", "_formats")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -210,7 +211,8 @@ def image_index_closure(
     """Everything reachable from the root indexes, level by level.
 
     Each row carries its depth, the reference it inherits and whether it closes a
-    cycle; cycles and rows at the depth limit are reported but not followed. Every
+    cycle; cycles are reported but not followed, rows below ``max_depth`` are flagged and
+    followed like others. Every
     level is written to the shared folder, so a lost executor costs one level, and
     the walk ends with the first empty level.
     """
@@ -230,7 +232,7 @@ def image_index_closure(
         F.array("digest").alias("path"),
     )
     levels = []
-    for depth in range(max_depth + 2):
+    for depth in itertools.count():
         reached = frontier.join(steps, ["archive_id", "digest"]).select(
             "archive_id",
             F.col("digest").alias("parent"),
@@ -259,7 +261,7 @@ def image_index_closure(
 def image_targets(closure: DataFrame) -> DataFrame:
     """Image manifests with each reference they are known by; the digest if none."""
     return (
-        closure.filter((F.col("kind") == "manifest") & ~F.col("too_deep"))
+        closure.filter(F.col("kind") == "manifest")
         .select("archive_id", "digest", F.coalesce("reference", "digest").alias("reference"))
         .distinct()
     )

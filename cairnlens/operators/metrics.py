@@ -124,7 +124,7 @@ def stage_durations(events: DataFrame, as_of, span: int = chunks.DEFAULT_SPAN) -
 
 
 def analyzer_failure_rates(runs: DataFrame, as_of) -> DataFrame:
-    """Failed share of finished recent runs, in basis points, first 32 names."""
+    """Failed share of finished recent runs of each analyzer, in basis points."""
     failed = F.count_if(F.col("status").isin(vocab.FAILED_RUN_STATUSES))
     return (
         runs.filter(
@@ -137,17 +137,13 @@ def analyzer_failure_rates(runs: DataFrame, as_of) -> DataFrame:
             F.floor((F.col("failed_runs") * 20000 + F.col("total_runs")) / (F.col("total_runs") * 2))
             .cast("bigint"),
         )
-        .orderBy("analyzer_name")
-        .limit(vocab.ANALYZER_METRIC_LIMIT)
     )
 
 
 def observed_analyzers(runs: DataFrame) -> DataFrame:
-    """Newest run per analyzer among the newest 256 runs of all."""
+    """Newest run per analyzer."""
     newest = (
         runs.select("id", "analyzer_name", "analyzer_version", "created_at")
-        .orderBy(F.desc("created_at"), F.desc("id"))
-        .limit(vocab.OBSERVED_RUN_LIMIT)
         .withColumn("analyzer_key", F.lower(trim_space("analyzer_name")))
         .filter(F.col("analyzer_key") != "")
     )
@@ -222,11 +218,10 @@ def analyzer_status(
     """State of every registered analyzer, then past ones without a registration.
 
     Ready needs a fresh heartbeat of the registered version from each required
-    worker kind. The list keeps at most 16 entries, registered ones first.
+    worker kind.
     """
     key = lambda column: F.lower(trim_space(column))
-    recent_workers = workers.orderBy(F.desc("last_checked_at"), "worker_owner").limit(256)
-    beats = recent_workers.withColumn("analyzer_key", key("analyzer_name")).withColumn(
+    beats = workers.withColumn("analyzer_key", key("analyzer_name")).withColumn(
         "fresh", heartbeat_fresh(as_of)
     )
     wanted = registrations.select(
@@ -269,12 +264,7 @@ def analyzer_status(
         F.lit(None).cast("timestamp").alias("last_checked_at"),
         F.col("created_at").alias("last_run_at"),
     )
-    both = registered.withColumn("part", F.lit(0)).unionByName(past.withColumn("part", F.lit(1)))
-    return (
-        both.orderBy("part", F.desc_nulls_last("last_run_at"), "name")
-        .limit(vocab.ANALYZER_STATUS_LIMIT)
-        .drop("part")
-    )
+    return registered.unionByName(past)
 
 
 def required_minus_ready(registrations: DataFrame, workers: DataFrame, as_of) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnlens import vocab
@@ -135,32 +139,61 @@ def finding_violations(findings: DataFrame) -> DataFrame:
     return _violations(findings, "id", checks).unionByName(bad_rule)
 
 
+def _digest_groups(prefix: str):
+    """(key, line, repeated) rows ordered by key and path -> one digest per key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, digest, broken, done = None, None, False, []
+
+        def close():
+            if digest is not None:
+                done.append((current, None if broken else digest.hexdigest()))
+
+        def rows():
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([d[0] for d in done], kind), pa.array([d[1] for d in done], pa.string())],
+                ["key", "input_sha256"],
+            )
+            done.clear()
+            return out
+
+        kind = pa.int64()
+        for batch in batches:
+            kind = batch.column("key").type
+            for key, line, repeated in zip(*(batch.column(n).to_pylist() for n in ("key", "line", "repeated"))):
+                if digest is None or key != current:
+                    close()
+                    current, digest, broken = key, hashlib.sha256(prefix.encode()), False
+                digest.update(line.encode())
+                broken = broken or repeated
+            if done:
+                yield rows()
+        close()
+        if done:
+            yield rows()
+
+    return run
+
+
 def input_digest(
-    files: DataFrame, schema_version: str, max_files: int, fields: list[str], key: str = "project_id"
+    files: DataFrame, schema_version: str, fields: list[str], key: str = "project_id"
 ) -> DataFrame:
-    """Order-stable digest of each project's files.
+    """Order-stable digest of each project's files; none if a path is listed twice.
 
-    A project with more files than allowed has no digest; it is found by counting
-    first, so no oversized group is ever gathered.
+    A project's lines are sorted within one partition and hashed as a stream, so a
+    project of any size needs no more memory than a batch.
     """
-    counts = files.groupBy(key).agg(
-        F.count("*").alias("file_count"), F.count_distinct("logical_path").alias("_paths")
-    )
-    usable = (F.col("file_count") <= max_files) & (F.col("file_count") == F.col("_paths"))
     line = F.concat(F.concat_ws("\x00", *[F.col(name).cast("string") for name in fields]), F.lit("\n"))
-    gathered = (
-        files.join(counts.filter(usable).select(key), key, "left_semi")
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.struct("logical_path", line.alias("line")))).alias("_f"))
-        .select(
-            key,
-            F.sha2(
-                F.concat(
-                    F.lit(schema_version + "\n"),
-                    F.array_join(F.transform("_f", lambda f: f["line"]), ""),
-                ),
-                256,
-            ).alias("input_sha256"),
-        )
+    rows = files.select(F.col(key).alias("key"), "logical_path", line.alias("line"))
+    before = F.lag("logical_path").over(Window.partitionBy("key").orderBy("logical_path"))
+    ordered = rows.withColumn("repeated", F.coalesce(before == F.col("logical_path"), F.lit(False)))
+    kind = dict(rows.dtypes)["key"]
+    digests = (
+        ordered.select("key", "logical_path", "line", "repeated")
+        .sortWithinPartitions("key", "logical_path").select("key", "line", "repeated")
+        .mapInArrow(_digest_groups(schema_version + "\n"), f"key {kind}, input_sha256 string")
+    )
+    counts = rows.groupBy("key").agg(F.count("*").alias("file_count"))
+    return counts.join(digests, counts["key"].eqNullSafe(digests["key"])).select(
+        counts["key"].alias(key), "file_count", "input_sha256"
     )
-    return counts.drop("_paths").join(gathered, key, "left")

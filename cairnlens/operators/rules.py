@@ -181,6 +181,7 @@ def marked_calls(source: Column, names: str, dialect: Dialect) -> Column:
 
 
 def _balanced(string: str, depth: int = 4) -> str:
+    """Text with parentheses nested up to ``depth``: the usual case, in one pattern."""
     inner = rf"(?:[^()\"']++|{string}|[\"'])*+" if string else r"[^()]*+"
     for _ in range(depth):
         plain = rf"[^()\"']++|{string}|[\"']" if string else r"[^()]++"
@@ -188,6 +189,34 @@ def _balanced(string: str, depth: int = 4) -> str:
     return inner
 
 
+def _pieces(value: Column, string: str, marks: str) -> Column:
+    """The text as string literals, single marks and runs of anything else."""
+    other = rf"""[^{marks}"']+|["']""" if string else rf"[^{marks}]+"
+    literal = f"{string}|" if string else ""
+    return F.regexp_extract_all(value, F.lit(rf"({literal}[{marks}]|{other})"), 1)
+
+
+def _deeper(depth: Column, piece: Column) -> Column:
+    return depth + F.when(piece == "(", 1).when(piece == ")", -1).otherwise(0)
+
+
+def _until_closed(rest: Column, string: str) -> Column:
+    """What stands before the parenthesis that closes one opened before ``rest``,
+    however deep it nests; empty if none does."""
+
+    def step(state: Column, piece: Column) -> Column:
+        depth = F.when(state["depth"] > 0, _deeper(state["depth"], piece)).otherwise(0)
+        return F.struct(
+            depth.alias("depth"),
+            F.when(depth > 0, F.concat(state["out"], piece)).otherwise(state["out"]).alias("out"),
+        )
+
+    start = F.struct(F.lit(1).alias("depth"), F.lit("").alias("out"))
+    return F.aggregate(
+        _pieces(rest, string, "()"), start, step, lambda s: F.when(s["depth"] == 0, s["out"]).otherwise("")
+    )
+
+
 def call_sites(files: DataFrame, language: str, names: list[str]) -> DataFrame:
     """One row per call of a listed name outside comments and strings."""
     dialect = DIALECTS[language]
@@ -197,7 +226,7 @@ def call_sites(files: DataFrame, language: str, names: list[str]) -> DataFrame:
     mark = rf"{MARK_START}\d+:\d+{MARK_END}"
     head = rf"(?:\w+\s*\.\s*)?(?:{pattern})\s*{mark}" if dialect.qualified else rf"(?:{pattern})\s*{mark}"
     body = _balanced(dialect.string)
-    site = rf"(?<![\w$])(?=({head}\({body}\)|{head}\())(?:{head})"
+    site = rf"(?<![\w$])(?=({head}\({body}\)|{head}\((?s:.*)))(?:{head})"
     token = f"{flag}{dialect.string}|{site}" if dialect.string else f"{flag}{site}"
     clean = files.filter(F.col("language") == language).withColumn(
         "_clean", blank_comments(F.col("text"), dialect)
@@ -227,8 +256,14 @@ def call_sites(files: DataFrame, language: str, names: list[str]) -> DataFrame:
     )
     rows = sites.select("file_id", "language", "logical_path", F.inline(with_context))
     site_column = F.col("site")
+    # a site that nests deeper than the pattern holds the rest of the text, which is
+    # walked with a depth counter
+    usual = F.rlike(site_column, F.lit(rf"{flag}^{head}\({body}\)$"))
+    rest = F.regexp_extract(site_column, rf"(?s){flag}^{head}\((.*)$", 1)
     arguments = F.regexp_replace(
-        F.regexp_extract(site_column, rf"(?s){MARK_END}\((.*)\)$", 1), mark, ""
+        F.when(usual, F.regexp_extract(site_column, rf"(?s){MARK_END}\((.*)\)$", 1))
+        .otherwise(_until_closed(rest, dialect.string)),
+        mark, "",
     )
     return rows.select(
         "file_id",
@@ -272,10 +307,26 @@ def snippet(
 
 
 def _argument_list(string: str) -> Column:
-    plain = rf"(?:[^,()\"']++|{string}|[\"']|\({_balanced(string)}\))++"
-    return F.transform(
-        F.regexp_extract_all("arguments", F.lit(f"({plain})"), 1), lambda a: text.trim_space(a)
+    """Arguments between the commas outside any parentheses, of any depth."""
+
+    def step(state: Column, piece: Column) -> Column:
+        ends = (piece == ",") & (state["depth"] == 0)
+        return F.struct(
+            _deeper(state["depth"], piece).alias("depth"),
+            F.when(ends, "").otherwise(F.concat(state["current"], piece)).alias("current"),
+            F.when(ends, F.concat(state["done"], F.array(state["current"])))
+            .otherwise(state["done"]).alias("done"),
+        )
+
+    start = F.struct(
+        F.lit(0).alias("depth"), F.lit("").alias("current"),
+        F.array().cast("array<string>").alias("done"),
+    )
+    parts = F.aggregate(
+        _pieces(F.col("arguments"), string, "(),"), start, step,
+        lambda s: F.concat(s["done"], F.array(s["current"])),
     )
+    return F.transform(F.filter(parts, lambda a: a != ""), lambda a: text.trim_space(a))
 
 
 def _literal(argument: Column) -> Column:

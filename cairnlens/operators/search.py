@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -326,13 +330,43 @@ def source_line_slices(functions: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
+def _scalars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, path, keys, value) of every scalar of each JSON text, through objects and
+    arrays of any depth; broken texts give none."""
+
+    def refuse(name):
+        raise ValueError(name)
+
+    for batch in batches:
+        out = []
+        for row_id, document in zip(batch.column("id").to_pylist(), batch.column("document").to_pylist()):
+            try:
+                root = json.loads(document, parse_constant=refuse) if document is not None else None
+            except (ValueError, RecursionError):
+                continue
+            open_ = [("$", (), root)]
+            while open_:
+                path, keys, value = open_.pop()
+                if isinstance(value, dict):
+                    open_ += [(f"{path}.{k}", (*keys, k), v) for k, v in value.items()]
+                elif isinstance(value, list):
+                    open_ += [(f"{path}[{i}]", keys, v) for i, v in enumerate(value)]
+                elif keys:
+                    out.append((row_id, path, keys, value if isinstance(value, str) else json.dumps(value)))
+        columns = list(zip(*out)) or [[], [], [], []]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(columns[0], batch.column("id").type), pa.array(columns[1], pa.string()),
+             pa.array([list(k) for k in columns[2]], pa.list_(pa.string())), pa.array(columns[3], pa.string())],
+            ["id", "path", "keys", "shown_value"],
+        )
+
+
 def redacted_metadata(logs: DataFrame, column: str = "metadata_json") -> DataFrame:
-    """Scalar metadata values by path with sensitive keys removed at every level.
+    """Scalar metadata values by path, without those below a sensitive key.
 
-    Objects are opened level by level; what lies deeper than four levels shows as
-    "[redacted]", long texts are cut to 1,024 bytes.
+    Objects and arrays are opened at every level, each log is read once, and a value
+    shows whole.
     """
-    logs = logs.select("id", F.try_parse_json(column).alias("value"))
 
     def allowed(key: Column) -> Column:
         low = F.lower(text.trim_space(key))
@@ -342,32 +376,8 @@ def redacted_metadata(logs: DataFrame, column: str = "metadata_json") -> DataFra
             bad = bad | F.contains(flat, F.lit(part))
         return ~bad & text.valid_text(key, 128)
 
-    def is_object(value: Column) -> Column:
-        return F.startswith(F.schema_of_variant(value), F.lit("OBJECT"))
-
-    spark = logs.sparkSession
-    level = logs.select("id", F.lit("$").alias("path"), "value")
-    parts = []
-    for depth in range(5):
-        opened = spark.sql(
-            "SELECT id, path, t.key AS key, t.value AS value "
-            "FROM {level}, LATERAL variant_explode(value) AS t WHERE t.key IS NOT NULL",
-            level=level,
-        ).filter(allowed(F.col("key")))
-        opened = opened.select("id", F.concat("path", F.lit("."), "key").alias("path"), "value")
-        shown = F.to_json("value")
-        plain = F.try_variant_get("value", "$", "string")
-        scalar_text = F.when(
-            F.schema_of_variant("value") == "STRING", text.cut_plain(plain, 1024)
-        ).otherwise(shown)
-        parts.append(
-            opened.filter(~is_object(F.col("value"))).select(
-                "id", "path", scalar_text.alias("shown_value")
-            )
-        )
-        level = opened.filter(is_object(F.col("value")))
-    parts.append(level.select("id", "path", F.lit("[redacted]").alias("shown_value")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    kind = dict(logs.dtypes)["id"]
+    opened = logs.select("id", F.col(column).alias("document")).mapInArrow(
+        _scalars, f"id {kind}, path string, keys array<string>, shown_value string"
+    )
+    return opened.filter(F.forall("keys", allowed)).drop("keys")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -40,15 +39,17 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's checkpoint location.
+    """A new folder that driver and executors share.
 
-    Streams and iterative jobs keep their state here. Only a session that names
-    no location (a test on one machine) gets a temporary folder.
+    Below ``spark.checkpoint.dir``, else the context's checkpoint directory, else the
+    warehouse. A session without any of these gets an error, never a folder of one
+    machine that other machines cannot see.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    root = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getCheckpointDir()
+        or spark.conf.get("spark.sql.warehouse.dir", None)
+    )
     if not root:
-        root = tempfile.mkdtemp(prefix="cairnlens-")
-        spark.sparkContext.setCheckpointDir(root)
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root.rstrip('/')}/run-{uuid.uuid4().hex}"

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairnlens import vocab
 from cairnlens.functions.predicates import event_severity, instant
 from cairnlens.operators.nested import event_payload
 
 BUCKET = "run_bucket"
+LIST = "buckets-"
+SPREAD = 64  # tasks that may share the rows of one bucket
+PART_RECORDS = 20000
 
 
 def replace_findings(
@@ -20,34 +23,66 @@ def replace_findings(
 ) -> None:
     """Replace all findings of the given runs; repeating the call changes nothing.
 
-    The table is partitioned by a hash bucket of the run. Only buckets of the given
-    runs are rewritten: their other runs' rows are carried over, and each bucket is
-    swapped when the job commits. ``runs`` names the runs, so that one that now has no
-    findings loses its old rows.
+    ``runs`` names the runs, so one that now has no findings loses its old rows. Rows
+    lie in hash buckets of the run. A commit writes the touched buckets, with the
+    other runs' rows carried over, to a folder of its own, then a new list of which
+    folder holds each bucket (at most ``buckets`` entries). Readers follow the newest
+    list, so a commit shows whole or not at all, and an emptied bucket is not listed.
+    Within a bucket rows are spread over tasks by their content.
     """
     bucket = F.pmod(F.xxhash64(run_column), F.lit(buckets)).cast("int")
-    new = findings.withColumn(BUCKET, bucket)
     named = runs.select(run_column).distinct()
-    touched = named.select(bucket.alias(BUCKET)).distinct()
-    if _exists(spark, path):
-        kept = (
-            spark.read.schema(new.schema).parquet(path)
-            .join(touched, BUCKET, "left_semi")
-            .join(named, run_column, "left_anti")
-        )
-        new = kept.unionByName(new)
-    (
-        new.repartition(F.col(BUCKET))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(BUCKET)
-        .parquet(path)
-    )
+    touched = {r[0] for r in named.select(bucket).distinct().collect()}
+    new = findings.join(named, run_column, "left_semi").select(*findings.columns).withColumn(BUCKET, bucket)
+    number, places = _current(spark, path)
+    old = [f"{path}/{folder}/{BUCKET}={b}" for b, folder in places.items() if b in touched]
+    if old:
+        kept = spark.read.schema(findings.schema).parquet(*old).join(named, run_column, "left_anti")
+        new = kept.select(*findings.columns).withColumn(BUCKET, bucket).unionByName(new)
+    folder = f"commit-{uuid.uuid4().hex}"
+    spread = F.pmod(F.xxhash64(*findings.columns), F.lit(SPREAD))
+    new.repartition(F.col(BUCKET), spread).write.partitionBy(BUCKET).parquet(f"{path}/{folder}")
+    written = {int(name.split("=")[1]) for name in _names(spark, f"{path}/{folder}") if name.startswith(f"{BUCKET}=")}
+    places = {b: f for b, f in places.items() if b not in touched} | dict.fromkeys(written, folder)
+    _publish(spark, path, number + 1, places)
+
+
+def stored_findings(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The rows of the newest commit."""
+    _, places = _current(spark, path)
+    paths = [f"{path}/{folder}/{BUCKET}={b}" for b, folder in sorted(places.items())]
+    reader = spark.read.schema(schema)
+    return reader.parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def _names(spark: SparkSession, path: str) -> list[str]:
+    target, files = _file_system(spark, path)
+    return [s.getPath().getName() for s in files.listStatus(target)] if files.exists(target) else []
+
+
+def _current(spark: SparkSession, path: str) -> tuple[int, dict[int, str]]:
+    """Number of the newest list of buckets and its content."""
+    numbers = [int(n[len(LIST):]) for n in _names(spark, path) if n.startswith(LIST)]
+    if not numbers:
+        return 0, {}
+    rows = spark.read.schema("bucket INT, folder STRING").json(f"{path}/{LIST}{max(numbers)}").collect()
+    return max(numbers), {r["bucket"]: r["folder"] for r in rows}
+
+
+def _publish(spark: SparkSession, path: str, number: int, places: dict[int, str]) -> None:
+    """Write the list aside, then rename it into place."""
+    rows = spark.createDataFrame(sorted(places.items()), "bucket INT, folder STRING")
+    aside = f"{path}/.list-{uuid.uuid4().hex}"
+    rows.coalesce(1).write.json(aside)
+    source, files = _file_system(spark, aside)
+    target, _ = _file_system(spark, f"{path}/{LIST}{number}")
+    if not files.rename(source, target):
+        raise RuntimeError(f"another commit has taken number {number}")
 
 
 def event_rows(tasks: DataFrame, event_type: str, message: str, now) -> DataFrame:
@@ -69,53 +104,52 @@ def append_events(rows: DataFrame, path: str) -> None:
 
 
 def snapshot_records(sections: dict[str, tuple[DataFrame, list[Column]]]) -> DataFrame:
-    """Records of all report sections as (task_id, section, order key, JSON).
+    """Records of all report sections as (task_id, section, position, JSON).
 
-    ``sections`` maps a name to its rows (with ``task_id``) and their order columns.
+    ``sections`` maps a name to its rows (with ``task_id``) and their order columns, of
+    any number and type; position counts a task's records of the section from 0.
     """
     parts = []
     for name, (df, order) in sections.items():
         fields = [column for column in df.columns if column != "task_id"]
+        place = F.row_number().over(Window.partitionBy("task_id").orderBy(*order)) - 1
         parts.append(
             df.select(
                 "task_id",
                 F.lit(name).alias("section"),
-                F.struct(*[c.cast("string").alias(f"k{i}") for i, c in enumerate(order)])
-                .cast("struct<k0:string,k1:string>").alias("order_key"),
+                place.alias("position"),
                 F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("record"),
             )
         )
     return reduce(DataFrame.unionByName, parts)
 
 
-def snapshot_counts(records: DataFrame, limit: int = vocab.SNAPSHOT_RECORD_LIMIT) -> DataFrame:
-    """Records per task and section, and whether the section is over its limit."""
+def snapshot_counts(records: DataFrame, limit: int | None = None) -> DataFrame:
+    """Records per task and section, and whether the section is over ``limit``."""
+    over = F.col("record_count") > limit if limit is not None else F.lit(False)
     return (
         records.groupBy("task_id", "section")
         .agg(F.count("*").alias("record_count"))
-        .withColumn("over_limit", F.col("record_count") > limit)
+        .withColumn("over_limit", over)
     )
 
 
-def snapshot_documents(records: DataFrame, limit: int = vocab.SNAPSHOT_RECORD_LIMIT) -> DataFrame:
-    """One JSON array per task and section.
+def snapshot_documents(records: DataFrame, part_records: int = PART_RECORDS) -> DataFrame:
+    """JSON arrays of each task and section, in parts of ``part_records`` records.
 
-    A section over its limit fails its task's report, so its records are counted and
-    left out before anything is gathered; an array holds at most ``limit`` records.
+    Sections of any size are written; a part gathers a bounded number of records.
     """
-    counts = snapshot_counts(records, limit)
-    failed = counts.filter("over_limit").select("task_id").distinct()
     gathered = (
-        records.join(failed, "task_id", "left_anti")
-        .groupBy("task_id", "section")
-        .agg(F.sort_array(F.collect_list(F.struct("order_key", "record"))).alias("_rows"))
+        records.withColumn("part", F.floor(F.col("position") / part_records).cast("int"))
+        .groupBy("task_id", "section", "part")
+        .agg(F.sort_array(F.collect_list(F.struct("position", "record"))).alias("_rows"))
     )
     body = F.concat(
         F.lit("["), F.array_join(F.transform("_rows", lambda r: r["record"]), ","), F.lit("]")
     )
-    return gathered.select("task_id", "section", body.alias("records"))
+    return gathered.select("task_id", "section", "part", body.alias("records"))
 
 
 def write_snapshot(documents: DataFrame, path: str) -> None:
-    """JSON lines, one folder per section, one line per task."""
+    """JSON lines, one folder per section, one line per task and part."""
     documents.write.mode("overwrite").partitionBy("section").json(path)

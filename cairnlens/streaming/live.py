@@ -139,9 +139,15 @@ def failure_bursts(
 
 
 def stale_workers(
-    heartbeats: DataFrame, max_age_seconds: int = vocab.HEARTBEAT_SECONDS, delay: str = "0 seconds"
+    heartbeats: DataFrame, max_age_seconds: int = vocab.HEARTBEAT_SECONDS, delay: str | None = None
 ) -> DataFrame:
-    """Workers that report themselves stopped or whose last heartbeat grew too old."""
+    """Workers that report themselves stopped or whose last heartbeat grew too old.
+
+    ``delay`` is how far a worker may lag behind the newest heartbeat of any other and
+    still be heard; by default the allowed age and half of it again for clock skew. A
+    shorter one would drop a lagging worker's heartbeats instead of reporting it.
+    """
+    delay = delay or f"{max_age_seconds + max_age_seconds // 2} seconds"
     _stateful(heartbeats.sparkSession)
     beats = heartbeats.withWatermark("last_checked_at", delay)
     return beats.groupBy("worker_owner").transformWithStateInPandas(

@@ -72,7 +72,7 @@ def test_image_closure(spark):
     deep = graph.image_index_closure(
         spark.createDataFrame([("y", "n0")], "archive_id STRING, digest STRING"),
         spark.createDataFrame(chain, df.schema))
-    assert sorted(r.depth for r in deep.filter("too_deep").collect()) == [9]
+    assert sorted(r.depth for r in deep.filter("too_deep").collect()) == [9, 10, 11, 12, 13]
 
 
 HEADERS = [
@@ -114,10 +114,22 @@ def test_replace_findings_is_idempotent(spark):
     gone = spark.createDataFrame([(4, ""), (5, "")], schema)
     for _ in range(2):
         sinks.replace_findings(spark, path, new, gone, buckets=3)
-    got = sorted((r.run_id, r.id) for r in spark.read.parquet(path).collect())
+    got = sorted((r.run_id, r.id) for r in sinks.stored_findings(spark, path, schema).collect())
     assert got == sorted([r for r in rows if r[0] not in (4, 5)] + [(4, "new")])
 
 
+def test_replace_findings_empties_a_bucket_and_survives_a_failed_commit(spark):
+    path, schema = shared_folder(spark), "run_id BIGINT, id STRING"
+    two = spark.createDataFrame([(1, "a"), (1, "b")], schema)
+    sinks.replace_findings(spark, path, two, two)
+    broken = two.withColumn("id", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.replace_findings(spark, path, broken, two)
+    assert sinks.stored_findings(spark, path, schema).count() == 2
+    sinks.replace_findings(spark, path, two.limit(0), two)
+    assert sinks.stored_findings(spark, path, schema).count() == 0
+
+
 def test_finding_in_function_against_all_pairs(spark):
     functions = [(p, f, f * 37 % 900, f * 37 % 900 + f * 11 % 700) for p in (1, 2) for f in range(60)]
     hits = [(f"h{i}", i % 2 + 1, i * 13 % 1500, i * 13 % 1500 + i % 4) for i in range(200)]
@@ -129,20 +141,46 @@ def test_finding_in_function_against_all_pairs(spark):
         if hp == fp and fs <= hs and he <= fe)
 
 
-def test_input_digest_limits(spark):
+def test_input_digest(spark):
+    import hashlib
+
     files = spark.createDataFrame(
-        [("a", f"f{i}", 1) for i in range(5)] + [("b", "f", 1), ("c", "f", 1), ("c", "f", 2)],
+        [("a", f"f{i:03}", 1) for i in range(500)] + [("b", "f", 1), ("c", "f", 1), ("c", "f", 2), (None, "f", 1)],
         "project_id STRING, logical_path STRING, size_bytes INT")
-    got = {r.project_id: r.input_sha256 for r in quality.input_digest(
-        files, "v", 4, ["logical_path", "size_bytes"]).collect()}
-    assert got["a"] is None and got["c"] is None and len(got["b"]) == 64
+    got = {r.project_id: (r.file_count, r.input_sha256) for r in quality.input_digest(
+        files, "v", ["logical_path", "size_bytes"]).collect()}
+    lines = "".join(f"f{i:03}\x001\n" for i in range(500))
+    assert got["a"] == (500, hashlib.sha256(f"v\n{lines}".encode()).hexdigest())
+    assert got["b"] == got[None] and got["c"] == (2, None)
+
+
+def test_snapshot_keeps_all_records_in_typed_order(spark):
+    rows = spark.createDataFrame([(1, i) for i in (11, 9, 10)] + [(2, 9)], "task_id BIGINT, id INT")
+    records = sinks.snapshot_records({"s": (rows, [F.col("id")])})
+    got = {(r.task_id, r.part): r.records for r in sinks.snapshot_documents(records, 2).collect()}
+    assert got == {(1, 0): '[{"id":9},{"id":10}]', (1, 1): '[{"id":11}]', (2, 0): '[{"id":9}]'}
+
+
+def test_redaction_reaches_into_arrays(spark):
+    from cairnlens.operators.search import redacted_metadata
+
+    logs = spark.createDataFrame(
+        [(1, '{"a":[{"password":"p1","b":[1,{"c":{"d":{"e":{"f":"deep"}}}}]}]}'), (2, "{"), (3, None)],
+        "id BIGINT, metadata_json STRING")
+    got = sorted((r.path, r.shown_value) for r in redacted_metadata(logs).collect())
+    assert got == [("$.a[0].b[0]", "1"), ("$.a[0].b[1].c.d.e.f", "deep")]
+
 
+def test_chunk_helpers_keep_null_keys(spark):
+    from cairnlens.functions import chunks
 
-def test_snapshot_leaves_out_oversized_tasks(spark):
-    rows = spark.createDataFrame([(1, i) for i in range(3)] + [(2, 9)], "task_id BIGINT, id INT")
-    records = sinks.snapshot_records({"s": (rows, [F.col("id"), F.lit("")])})
-    got = {r.task_id: r.records for r in sinks.snapshot_documents(records, 2).collect()}
-    assert got == {2: '[{"id":9}]'}
+    rows = spark.createDataFrame([(None, 1, 5), (None, 9, 6), (1, 2, 7)], "k INT, o BIGINT, v BIGINT")
+    lag = {(r.k, r.o): r.b for r in chunks.lag_value(rows, ["k"], "o", "v", "b", span=4).collect()}
+    assert lag == {(None, 1): None, (None, 9): 5, (1, 2): None}
+    total = {(r.k, r.o): r.t for r in chunks.prefix_totals(rows, ["k"], "o", {"t": F.col("v")}, span=4).collect()}
+    assert total == {(None, 1): 0, (None, 9): 5, (1, 2): 0}
+    top = {(r.k, r.o): r.m for r in chunks.prefix_maxima(rows, ["k"], "o", {"m": F.col("v")}, span=4).collect()}
+    assert top == {(None, 1): None, (None, 9): 5, (1, 2): None}
 
 
 @pytest.mark.parametrize("keyword,expected", [("CAFE", 3), ("é", 3), ("x%", 1), ("zz", 0)])

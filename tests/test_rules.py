@@ -126,3 +126,13 @@ def test_columns_nested_calls_and_snippet(spark):
 ])
 def test_modes(spark, argument, expected):
     assert len(_scan(spark, "c", f"chmod(p, {argument});")) == expected
+
+
+def test_calls_of_any_nesting_depth(spark):
+    deep = lambda x, n: "g(" * n + x + ")" * n
+    body = f'void f() {{\n  system({deep("x", 12)});\n  chmod({deep("p", 10)}, 0777);\n  chmod({deep("p", 10)}, 0700);\n  gets(\n'
+    files = spark.createDataFrame([(1, "c", "a.c", body)], "file_id INT, language STRING, logical_path STRING, text STRING")
+    found = sorted((r.start_line, r.arguments) for r in rules.call_sites(files, "c", ["system", "chmod", "gets"]).collect())
+    assert found == [(2, deep("x", 12)), (3, deep("p", 10) + ", 0777"), (4, deep("p", 10) + ", 0700"), (5, "")]
+    lines = {r.start_line for r in rules.source_rule_scan(files).collect()}
+    assert 2 in lines and 3 in lines and 4 not in lines
