@@ -499,5 +499,11 @@ def line_of_offset(source: str, offset: str) -> Column:
     return text.newline_count(F.substr(F.col(source), F.lit(1), F.col(offset))) + 1
 
 
+def column_of_offset(source: str, offset: str) -> Column:
+    """1-based column of a character offset within its line."""
+    return F.char_length(F.substring_index(F.substr(F.col(source), F.lit(1), F.col(offset)), "\n", -1))
+
+
 def canonical_line(function_start: str, local_line: str) -> Column:
+    """Line in the whole source of a line counted from the start of its function."""
     return F.col(function_start) + F.col(local_line) - 1

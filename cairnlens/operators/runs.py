@@ -128,27 +128,39 @@ def finding_in_function(
 ) -> DataFrame:
     """Hits with the functions of their project that enclose their lines.
 
-    Functions are listed once per line bin they touch, so hits meet only the
-    functions near them even in a very large project.
+    Functions are listed in line bins whose size grows fourfold per level, each at the
+    level where it touches two bins at most; a hit looks into its bin of every level.
+    So hits meet only functions near them, and a range with a broken end costs two
+    rows. Ranges that end before they start enclose nothing.
     """
-    def bin_of(column: str) -> Column:
-        return F.floor(F.col(column) / lines_per_bin).cast("bigint")
+    levels = 16  # the widest bins hold more lines than an integer counts
 
-    spread = functions.select(
-        "project_id",
-        "result_id",
-        F.col("start_line").alias("function_start"),
-        F.col("end_line").alias("function_end"),
-        F.explode(F.sequence(bin_of("start_line"), bin_of("end_line"))).alias("line_bin"),
+    def bin_of(column: str, level: Column) -> Column:
+        return F.floor(F.col(column) / (F.lit(lines_per_bin) * F.pow(F.lit(4), level))).cast("bigint")
+
+    length = F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(1))
+    level = F.greatest(F.lit(0), F.ceil(F.log(length / lines_per_bin) / F.log(F.lit(4.0)))).cast("int")
+    spread = (
+        functions.filter(F.col("end_line") >= F.col("start_line"))
+        .select("project_id", "result_id", "start_line", "end_line", F.least(level, F.lit(levels)).alias("level"))
+        .select(
+            "project_id", "result_id", F.col("start_line").alias("function_start"),
+            F.col("end_line").alias("function_end"), "level",
+            F.explode(F.array_distinct(F.array(
+                bin_of("start_line", F.col("level")), bin_of("end_line", F.col("level"))
+            ))).alias("line_bin"),
+        )
+    )
+    looking = hits.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn(
+        "line_bin", bin_of("start_line", F.col("level"))
     )
     return (
-        hits.withColumn("line_bin", bin_of("start_line"))
-        .join(spread, ["project_id", "line_bin"])
+        looking.join(spread, ["project_id", "level", "line_bin"])
         .filter(
             (F.col("start_line") >= F.col("function_start"))
             & (F.col("end_line") <= F.col("function_end"))
         )
-        .drop("line_bin")
+        .drop("level", "line_bin")
     )
 
 

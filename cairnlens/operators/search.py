@@ -304,17 +304,31 @@ def image_structures(nodes: DataFrame) -> DataFrame:
     )
 
 
+def _cut_from(functions: DataFrame, sources: DataFrame, first: str, last: str, cut) -> DataFrame:
+    """Each function's part of its project's source.
+
+    A project's ranges are gathered first, so its source is met once, however many
+    functions it has; their ranges are small beside the source they are cut from.
+    """
+    ranges = functions.groupBy("project_id").agg(
+        F.collect_list(F.struct("result_id", F.col(first).alias("a"), F.col(last).alias("b"))).alias("_ranges")
+    )
+    met = ranges.join(sources, "project_id")
+    parts = F.transform(
+        "_ranges", lambda r: F.struct(r["result_id"].alias("result_id"), cut(r["a"], r["b"]).alias("fragment"))
+    )
+    return met.select("project_id", F.inline(parts))
+
+
 def source_fragments(functions: DataFrame, sources: DataFrame) -> DataFrame:
     """Bytes of each function cut from its project's canonical source.
 
     ``sources`` holds (project_id, content BINARY).
     """
-    return functions.join(sources, "project_id").select(
-        "project_id",
-        "result_id",
-        F.substring(F.col("content"), F.col("offset_bytes").cast("int") + 1,
-                    F.col("length_bytes").cast("int")).alias("fragment"),
-    )
+    def cut(offset: Column, length: Column) -> Column:
+        return F.substring(F.col("content"), offset.cast("int") + 1, length.cast("int"))
+
+    return _cut_from(functions, sources, "offset_bytes", "length_bytes", cut)
 
 
 def source_line_slices(functions: DataFrame, sources: DataFrame) -> DataFrame:
@@ -322,12 +336,12 @@ def source_line_slices(functions: DataFrame, sources: DataFrame) -> DataFrame:
 
     ``sources`` holds (project_id, text); lines count from 1, both ends inclusive.
     """
-    lines = F.slice(
-        F.split("text", "\n"), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1
-    )
-    return functions.join(sources, "project_id").select(
-        "project_id", "result_id", F.array_join(lines, "\n").alias("fragment")
-    )
+    lines = sources.select("project_id", F.split("text", "\n").alias("_lines"))
+
+    def cut(start: Column, end: Column) -> Column:
+        return F.array_join(F.slice(F.col("_lines"), start, end - start + 1), "\n")
+
+    return _cut_from(functions, lines, "start_line", "end_line", cut)
 
 
 def _scalars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -353,37 +353,35 @@ def _(d):
 
 
 @query("source_fragments", """
-SELECT s.doc_id AS project_id, p.part AS result_id,
-       lower(substr(hex(encode(s.text)), p.part * 20 + 1, 60)) AS fragment_hex
-FROM documents s, (VALUES (0), (1), (2)) AS p(part)
-WHERE strlen(s.text) >= p.part * 10 + 30""")
+SELECT doc_id AS project_id, part AS result_id,
+       lower(substr(hex(encode(text)), part * 400 + 1, 440)) AS fragment_hex
+FROM (SELECT doc_id, text, unnest(range(0, (strlen(text) + 199) // 200)) AS part FROM documents)""")
 def _(d):
-    # ranges derived from the texts: three overlapping 30-byte functions per source
+    # functions derived from the texts: 220 bytes each, one every 200 bytes to the end
     sources = d.documents.select(F.col("doc_id").alias("project_id"), F.col("text").cast("binary").alias("content"))
-    parts = F.explode(F.sequence(F.lit(0), F.lit(2)))
-    functions = (
-        d.documents.select(F.col("doc_id").alias("project_id"), F.octet_length("text").alias("n"), parts.alias("part"))
-        .filter(F.col("n") >= F.col("part") * 10 + 30)
-        .select("project_id", F.col("part").alias("result_id"), (F.col("part") * 10).alias("offset_bytes"), F.lit(30).alias("length_bytes"))
-    )
+    size = F.octet_length("text")
+    functions = d.documents.where(size > 0).select(
+        F.col("doc_id").alias("project_id"),
+        F.explode(F.sequence(F.lit(0), F.floor((size - 1) / 200).cast("int"))).alias("result_id"),
+    ).select("project_id", "result_id", (F.col("result_id") * 200).alias("offset_bytes"), F.lit(220).alias("length_bytes"))
     return search.source_fragments(functions, sources).select(
         "project_id", "result_id", F.lower(F.hex("fragment")).alias("fragment_hex")
     )
 
 
 @query("source_line_slices", """
-SELECT doc_id AS project_id, s.part AS result_id,
-       array_to_string(string_split(text, chr(10))[s.part + 1:s.part + 3], chr(10)) AS fragment
-FROM documents, (VALUES (0), (1), (2)) AS s(part)
-WHERE length(text) - length(replace(text, chr(10), '')) >= s.part""")
+SELECT doc_id AS project_id, part AS result_id,
+       array_to_string(lines[part * 2 + 1:part * 2 + 3], chr(10)) AS fragment
+FROM (SELECT doc_id, lines, unnest(range(0, (len(lines) + 1) // 2)) AS part
+      FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))""")
 def _(d):
+    # functions derived from the texts: three lines each, one every two lines to the end
     sources = d.documents.select(F.col("doc_id").alias("project_id"), "text")
-    spread = d.documents.select(
-        F.col("doc_id").alias("project_id"), F.size(F.split("text", "\n")).alias("n"),
-        F.explode(F.sequence(F.lit(0), F.lit(2))).alias("result_id"),
-    ).filter(F.col("n") > F.col("result_id"))
-    functions = spread.select(
-        "project_id", "result_id", (F.col("result_id") + 1).alias("start_line"),
-        (F.col("result_id") + 3).alias("end_line"),
+    last = F.floor((F.size(F.split("text", "\n")) - 1) / 2).cast("int")
+    functions = d.documents.select(
+        F.col("doc_id").alias("project_id"), F.explode(F.sequence(F.lit(0), last)).alias("result_id")
+    ).select(
+        "project_id", "result_id", (F.col("result_id") * 2 + 1).alias("start_line"),
+        (F.col("result_id") * 2 + 3).alias("end_line"),
     )
     return search.source_line_slices(functions, sources)

@@ -108,12 +108,27 @@ def _(d):
 
 
 @query("line_of_offset", r"""
-SELECT doc_id, strpos(text, 'the') AS found_at, CASE WHEN strpos(text, 'the') > 0 THEN
-  len(regexp_extract_all(left(text, strpos(text, 'the')), '\n')) + 1 END AS line
-FROM documents""")
+WITH found AS (
+  SELECT doc_id, text, greatest(length(text) - strpos(reverse(text), 'eht') - 1, 0)
+         * sign(strpos(text, 'the'))::INT AS found_at FROM documents
+), heads AS (SELECT doc_id, found_at, string_split(left(text, found_at::BIGINT), chr(10)) AS lines FROM found)
+SELECT doc_id, found_at::INT AS found_at, CASE WHEN found_at > 0 THEN len(lines) END AS line,
+       CASE WHEN found_at > 0 THEN length(lines[-1]) END AS column_number,
+       CASE WHEN found_at > 0 THEN len(lines) + doc_id % 50 END AS source_line
+FROM heads""")
 def _(d):
-    found = d.documents.select("doc_id", "text", F.instr("text", "the").alias("found_at"))
-    return found.select(
-        "doc_id", "found_at",
-        F.when(F.col("found_at") > 0, rules.line_of_offset("text", "found_at")).alias("line"),
+    # the last hit of each text, so that texts are read to their end; the function that
+    # holds it starts at one of fifty lines
+    last = F.char_length("text") - F.instr(F.reverse("text"), "eht") - 1
+    found = d.documents.select(
+        "doc_id", "text", F.when(F.contains("text", F.lit("the")), last).otherwise(0).alias("found_at"),
+        (F.col("doc_id") % 50 + 1).alias("function_start"),
+    )
+    hit = F.col("found_at") > 0
+    placed = found.withColumn("line", F.when(hit, rules.line_of_offset("text", "found_at"))).withColumn(
+        "column_number", F.when(hit, rules.column_of_offset("text", "found_at"))
+    )
+    return placed.select(
+        "doc_id", "found_at", "line", "column_number",
+        F.when(hit, rules.canonical_line("function_start", "line")).alias("source_line"),
     )
