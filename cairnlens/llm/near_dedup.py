@@ -3,17 +3,18 @@
 Equal texts are one node. Each node gets ``SKETCHES`` order-min-hash values: of the
 occurrence-labelled five-word shingles, the ``PICKED`` smallest under one hash
 function, kept in text order. Unlike plain MinHash this feels moved and repeated
-passages. Nodes that share a value, and whose lengths allow the wanted similarity,
-meet in a bucket. A bucket is not paired off: each node is aligned with the bucket's
-first node, and classes are formed. Only nodes of one bucket that are still in
-different classes are then aligned with each other, so no pair of a bucket is left
-untested unless its nodes are already in one class.
+passages. Nodes that share a value meet in a bucket. A bucket is not paired off: each
+node is aligned with the bucket's first node, and classes are formed. Only nodes of
+one bucket that are still in different classes are then aligned with each other, so
+no pair of a bucket that its lengths allow to be similar is left untested unless its
+nodes are already in one class.
 
 Similarity of two texts: 1 - (word edit distance) / (words of the longer one).
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,8 @@ from cairnlens.llm.common import mix, shingle_hashes, text_or_empty, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SKETCHES = 20
-PICKED = 3
+SKETCHES = 16
+PICKED = 4
 FIRST_BAND = 8
 BATCH_CELLS = 1 << 21
 
@@ -48,24 +49,18 @@ def order_min_hashes(words: np.ndarray, sketches: int = SKETCHES, picked: int =
     keys = labelled(shingle_hashes(words, SHINGLE))
     if not len(keys):
         return np.zeros(0, np.uint64)
-    out = np.zeros(sketches, np.uint64)
     n = min(picked, len(keys))
-    for j in range(sketches):
-        values = mix(keys ^ np.uint64((j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        places = np.argpartition(values, n - 1)[:n] if n < len(keys) else np.arange(n)
-        value = np.uint64(j)
-        for key in keys[np.sort(places)]:
-            value = mix(np.asarray(value * np.uint64(31) + key))[()]
-        out[j] = value
+    factors = mix(np.arange(1, sketches + 1, dtype=np.uint64)) | np.uint64(1)
+    values = keys[None, :] * factors[:, None]  # each row orders the keys anew
+    values ^= values >> np.uint64(32)
+    values *= factors[:, None]
+    places = np.argpartition(values, n - 1, axis=1)[:, :n] if n < len(keys) else np.tile(np.arange(n), (sketches, 1))
+    out = factors
+    for column in np.sort(places, axis=1).T:  # text order
+        out = mix(out * np.uint64(31) + keys[column])
     return out
 
 
-def length_steps(n: int, similarity: float = SIMILARITY) -> tuple[int, int]:
-    """Two neighbouring steps of length; texts similar enough share at least one."""
-    step = int(np.floor(np.log(max(n, 1)) / -np.log(similarity)))
-    return step, step + 1
-
-
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         for batch in batches:
@@ -73,9 +68,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for text in batch.column("text").to_pylist():
                 words = word_hashes(text.encode("utf-8", "surrogatepass"))[0]
                 counts.append(len(words))
-                steps = np.array(length_steps(len(words)), np.uint64)
-                keys = mix(order_min_hashes(words)[:, None] + mix(steps + np.uint64(7))[None, :])
-                values.append(keys.ravel().view(np.int64))
+                values.append(order_min_hashes(words).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("digest"), pa.array(counts, pa.int32()),
                  pa.array(values, pa.list_(pa.int64()))],
@@ -96,51 +89,60 @@ def _word_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _band_distances(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> np.ndarray:
     """Cost of the best alignment of each pair that stays within ``band`` of the main
-    diagonal: the edit distance, or more if the best one leaves the band."""
+    diagonal: the edit distance, or more if the best one leaves the band.
+
+    All pairs advance together, a word of the first text at a time. Column k stands
+    for word i + k - band of the second text and holds the cost less k, so that a
+    step along the row is a running minimum.
+    """
     n = np.array([len(a) for a, _ in pairs])
     m = np.array([len(b) for _, b in pairs])
     rows, width = int(n.max(initial=0)), 2 * band + 1
-    a = np.zeros((len(pairs), rows), np.int64)
-    b = np.full((len(pairs), band + max(rows, int(m.max(initial=0))) + band + 1), -1, np.int64)
+    a = np.zeros((len(pairs), rows), np.uint32)
+    b = np.zeros((len(pairs), band + max(rows, int(m.max(initial=0))) + band + 1), np.uint32)
     for i, (x, y) in enumerate(pairs):
         a[i, : len(x)] = x
         b[i, band : band + len(y)] = y
-    steps = np.arange(width, dtype=np.int32)
-    far = np.int32(1 << 28)
-    row = np.broadcast_to(np.where(steps >= band, steps - band, far).astype(np.int32), (len(pairs), width)).copy()
+    far = 1 << 28
+    start = np.where(np.arange(width) >= band, -band, far).astype(np.int32)
+    row = np.tile(start, (len(pairs), 1))
     result = np.full(len(pairs), far, np.int64)
+    by_length = np.argsort(n, kind="stable")
+    ends = np.searchsorted(n[by_length], np.arange(rows + 2))
 
     def note(i: int) -> None:
-        done = np.flatnonzero(n == i)
-        place = m[done] - i + band
-        ok = (place >= 0) & (place < width)
-        result[done[ok]] = row[done[ok], place[ok]]
+        done = by_length[ends[i] : ends[i + 1]]
+        if len(done):
+            place = m[done] - i + band
+            ok = (place >= 0) & (place < width)
+            result[done[ok]] = row[done[ok], place[ok]] + place[ok]
 
     note(0)
     for i in range(1, rows + 1):
-        # Column k stands for word i + k - band of b (1-based; 0: before the first).
-        unlike = b[:, i - 1 : i - 1 + width] != a[:, i - 1 : i]
-        row += unlike
-        up = np.full_like(row, far)
-        np.minimum(row[:, :-1], row[:, :-1], out=up[:, :-1])
-        previous = row - unlike
-        up[:, :-1] = previous[:, 1:] + 1
-        np.minimum(row, up, out=row)
-        if i <= band:
-            row[:, : band - i] = far
-            row[:, band - i] = i
-        row -= steps
-        np.minimum.accumulate(row, axis=1, out=row)
-        row += steps
+        anew = row + (b[:, i - 1 : i - 1 + width] != a[:, i - 1 : i])
+        np.minimum(anew[:, :-1], row[:, 1:] + 2, out=anew[:, :-1])
+        if i <= band:  # columns before the second text, and its empty beginning
+            anew[:, : band - i] = far
+            anew[:, band - i] = i - (band - i)
+        row = np.minimum.accumulate(anew, axis=1)
         note(i)
     return result
 
 
+def common_words(a: np.ndarray, b: np.ndarray) -> int:
+    """Words that both hold, counted as often as both hold them."""
+    x, n = np.unique(a, return_counts=True)
+    y, m = np.unique(b, return_counts=True)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return int(np.minimum(n[i], m[j]).sum())
+
+
 def similar(pairs: list[tuple[np.ndarray, np.ndarray]], similarity: float = SIMILARITY) -> np.ndarray:
     """Whether each pair of word arrays reaches the similarity, exactly.
 
-    Common ends are cut off. A narrow band is tried first; what it cannot accept
-    gets wider bands up to the largest distance that counts.
+    Common ends are cut off. Pairs with too few words in common, in any order, are
+    refused at once. A narrow band is tried first; what it cannot accept gets wider
+    bands up to the largest distance that counts.
     """
     answer, todo = np.zeros(len(pairs), bool), []
     for i, (a, b) in enumerate(pairs):
@@ -158,7 +160,7 @@ def similar(pairs: list[tuple[np.ndarray, np.ndarray]], similarity: float = SIMI
         a, b = a[: len(a) - tail], b[: len(b) - tail]
         if max(len(a), len(b)) <= limit:
             answer[i] = True
-        else:
+        elif max(len(a), len(b)) - common_words(a, b) <= limit:
             todo.append((i, limit, a, b))
     band = FIRST_BAND
     while todo:
@@ -188,7 +190,7 @@ def _verified(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = [
-                (np.frombuffer(a.as_buffer(), "<u4").astype(np.int64), np.frombuffer(b.as_buffer(), "<u4").astype(np.int64))
+                (np.frombuffer(a.as_buffer(), "<u4"), np.frombuffer(b.as_buffer(), "<u4"))
                 for a, b in zip(batch.column("words"), batch.column("other_words"))
             ]
             keep = pa.array(similar(pairs, similarity))
@@ -199,6 +201,12 @@ def _verified(similarity: float):
     return run
 
 
+def _length_allows(n: str, m: str, similarity: float) -> Column:
+    """Whether texts of so many words can be similar enough."""
+    longer = F.greatest(F.col(n), F.col(m))
+    return longer - F.least(F.col(n), F.col(m)) <= (1 - similarity) * longer + 1e-9
+
+
 def aligned(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """The pairs (digest, other) that are similar."""
     texts = pairs.join(words, "digest").join(
@@ -209,29 +217,29 @@ def aligned(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     )
 
 
-def classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """digest, class: the smallest digest that links lead to.
+def classes(links: DataFrame) -> DataFrame:
+    """digest, class of the linked digests: the smallest digest that links lead to.
 
-    ``nodes`` holds the linked digests. Each round takes the smallest class of all
-    neighbours, then the class of that class; rounds are written, and end when
-    nothing changes.
+    Each round takes the smallest class of all neighbours, later rounds also the class
+    of that class, which shortens chains. Rounds are written; the first without a
+    change is the last.
     """
     both = written(links.unionByName(links.select(F.col("other").alias("digest"), F.col("digest").alias("other"))).distinct(), "links")
-    labels = written(nodes.select("digest", F.col("digest").alias("class")), "classes")
-    while True:
-        near = both.join(labels.select(F.col("digest").alias("other"), "class"), "other").groupBy("digest").agg(
-            F.min("class").alias("near")
+    labels = both.groupBy("digest").agg(F.least("digest", F.min("other")).alias("class"))
+    for number in itertools.count():
+        if number > 2:
+            step = labels.select(F.col("digest").alias("class"), F.col("class").alias("next"))
+            labels = labels.join(step, "class").select("digest", F.col("next").alias("class"))
+        labels = written(labels, "classes")
+        near = both.join(labels.select(F.col("digest").alias("other"), "class"), "other").select(
+            "digest", "class", F.lit(None).cast("string").alias("was")
         )
-        moved = labels.join(near, "digest", "left").select(
-            "digest", F.col("class").alias("was"), F.least("class", F.coalesce("near", "class")).alias("class")
+        after = written(
+            near.unionByName(labels.withColumn("was", F.col("class"))).groupBy("digest")
+            .agg(F.min("class").alias("class"), F.max("was").alias("was")), "classes",
         )
-        jump = labels.select(F.col("digest").alias("class"), F.col("class").alias("next"))
-        after = written(moved.join(jump, "class", "left").select(
-            "digest", F.least("class", F.coalesce("next", "class")).alias("class"),
-            (F.col("was") != F.least("class", F.coalesce("next", "class"))).alias("changed"),
-        ), "classes")
         labels = after.select("digest", "class")
-        if after.where("changed").isEmpty():
+        if after.where("class <> was").isEmpty():
             return labels
 
 
@@ -242,30 +250,34 @@ def assigned(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         texts.mapInArrow(_sketched, f"doc_id {dict(docs.dtypes)['doc_id']}, digest string, n int, keys array<bigint>"),
         "sketches",
     )
-    nodes = sketched.groupBy("digest").agg(F.first("keys").alias("keys"))
-    entries = nodes.select("digest", F.explode("keys").alias("key"))
-    first = entries.groupBy("key").agg(F.min("digest").alias("leader"), F.count("*").alias("size")).where("size > 1")
+    nodes = sketched.groupBy("digest").agg(F.first("keys").alias("keys"), F.first("n").alias("n"))
+    entries = nodes.select("digest", "n", F.explode("keys").alias("key"))
+    leader = F.min(F.struct("digest", "n")).alias("leader")
+    first = entries.groupBy("key").agg(leader, F.count("*").alias("size")).where("size > 1")
     met = written(entries.join(first.drop("size"), "key"), "buckets")
-    wanted = met.select("digest").distinct()
     words = written(
-        texts.select("digest", "text").join(wanted, "digest", "left_semi").dropDuplicates(["digest"])
+        texts.join(met.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
         .select("digest", "text").mapInArrow(_word_numbers, "digest string, words binary"), "words",
     )
-    stars = met.where("digest <> leader").select("digest", F.col("leader").alias("other")).distinct()
+    stars = met.where("digest <> leader.digest").where(_length_allows("n", "leader.n", similarity)).select(
+        "digest", F.col("leader.digest").alias("other")
+    ).distinct()
     links = written(aligned(stars, words, similarity), "links")
-    labels = classes(wanted, links)
     # Buckets that still hold several classes: their nodes meet across classes.
-    marked = met.select("digest", "key").join(labels, "digest")
+    marked = met.select("digest", "n", "key").join(classes(links), "digest", "left").withColumn(
+        "class", F.coalesce("class", "digest")
+    )
     mixed = marked.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("key")
     open_ = written(marked.join(mixed, "key", "left_semi"), "open")
-    others = open_.select("key", F.col("digest").alias("other"), F.col("class").alias("other_class"))
+    others = open_.select("key", F.col("digest").alias("other"), F.col("class").alias("other_class"), F.col("n").alias("m"))
+    tested = stars.select(F.least("digest", "other").alias("digest"), F.greatest("digest", "other").alias("other"))
     crossing = (
-        open_.join(others, "key").where((F.col("class") != F.col("other_class")) & (F.col("digest") < F.col("other")))
-        .select("digest", "other").distinct()
-        .join(stars.select(F.col("other").alias("digest"), F.col("digest").alias("other")), ["digest", "other"], "left_anti")
+        open_.join(others, (open_["key"] == others["key"]) & (F.col("class") != F.col("other_class"))
+                   & (F.col("digest") < F.col("other")) & _length_allows("n", "m", similarity))
+        .select("digest", "other").distinct().join(tested, ["digest", "other"], "left_anti")
     )
     links = written(links.unionByName(aligned(crossing, words, similarity)), "links")
-    labels = classes(wanted, links)
+    labels = classes(links)
     degree = (
         links.select("digest").unionByName(links.select(F.col("other").alias("digest")))
         .groupBy("digest").agg(F.count("*").alias("n_links"))
