@@ -234,3 +234,18 @@ def test_failure_bursts_by_hand(spark):
                for r in got.collect()]
     # after the block ends at 359 the window is 359..419: 359, 400, 418 are three failures
     assert sorted(seconds) == [(0, 59, 359), (359, 418, 718)]
+
+
+def test_lagging_worker_is_reported_over_many_batches(spark):
+    from cairnlens.streaming import live
+
+    root = shared_folder(spark)
+    base = 1_704_067_200
+    got = None
+    for worker, second in (("A", 100), ("B", 99), ("A", 300), ("A", 600)):
+        beat = spark.createDataFrame([(worker, "ready", base + second)], "worker_owner STRING, status STRING, s BIGINT")
+        beat.select("worker_owner", "status", F.timestamp_seconds("s").alias("last_checked_at")).write.mode("append").parquet(f"{root}/beats")
+        stream = live.tail_events(spark, f"{root}/beats", "worker_owner STRING, status STRING, last_checked_at TIMESTAMP")
+        got = live.run_available(live.stale_workers(stream), f"{root}/out", 2)
+    rows = sorted((r.worker_owner, int(r.last_checked_at.timestamp()) - base, r.reason) for r in got.collect())
+    assert ("B", 99, "stale") in rows and ("A", 600, "stale") not in rows
