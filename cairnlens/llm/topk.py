@@ -21,11 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnlens.llm.common import written
+
 SCALE = 1024
 BINS = 512
-# Bound of a block: its matrix has at most this many components (32 MB as 8-byte
-# numbers), however many queries there are.
+# Bounds of a block: its matrix has at most this many components (32 MB as 8-byte
+# numbers) and rows, however many queries there are.
 BLOCK_COMPONENTS = 1 << 22
+BLOCK_QUERIES = 4096
+SCORES_AT_ONCE = 1 << 22  # of a task; larger batches are taken in parts
 EXACT = float(1 << 53)
 
 
@@ -69,12 +73,13 @@ def _scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def _batches(batches: Iterator[pa.RecordBatch], ids: np.ndarray, matrix: np.ndarray):
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        row_ids = batch.column("id").to_numpy()
-        s = _scores(matrix, _matrix(batch.column("v"), matrix.shape[1]))
-        yield row_ids, s, ids[:, None] != row_ids[None, :]
+    step = max(1, SCORES_AT_ONCE // max(1, len(ids)))
+    for whole in batches:
+        for at in range(0, whole.num_rows, step):
+            batch = whole.slice(at, step)
+            row_ids = batch.column("id").to_numpy()
+            s = _scores(matrix, _matrix(batch.column("v"), matrix.shape[1]))
+            yield row_ids, s, ids[:, None] != row_ids[None, :]
 
 
 def _extremes(ids, matrix):
@@ -192,13 +197,13 @@ def search(
     result, block, size = None, [], 0
 
     def add(result, block):
-        part = _block(rows, block, k)
+        part = written(_block(rows, block, k), "topk")
         return part if result is None else result.unionByName(part)
 
     for row in asked.orderBy("id").toLocalIterator():  # one block at a time is held
         block.append((row["id"], row["v"]))
         size += max(1, len(row["v"]))
-        if size >= BLOCK_COMPONENTS:
+        if size >= BLOCK_COMPONENTS or len(block) == BLOCK_QUERIES:
             result, block, size = add(result, block), [], 0
     if block:
         result = add(result, block)
