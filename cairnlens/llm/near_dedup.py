@@ -26,8 +26,8 @@ from cairnlens.llm.common import mix, shingle_hashes, text_or_empty, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SKETCHES = 16
-PICKED = 4
+SKETCHES = 24
+PICKED = 6
 FIRST_BAND = 8
 BATCH_CELLS = 1 << 21
 
