@@ -279,6 +279,35 @@ def test_repeated_passages_are_found_and_cut(spark, awkward):
     assert passages.without_repeats(awkward.limit(0)).count() == 0
 
 
+def _stretch_pairs(rows):
+    return {(r["doc_id"], r["source_id"]) for r in rows}
+
+
+def test_stretches_across_indels_and_scattered_changes():
+    base = np.arange(60, dtype=np.uint32)
+    inserted = np.insert(base, 30, 999).astype(np.uint32)
+    assert passages.matching_stretches(inserted, base) == [(0, 60, 0, 60)]
+    changed = base.copy()
+    changed[[30, 34]] = 998, 999  # 30 equal, 1 changed, 3 equal, 1 changed, 25 equal
+    assert passages.matching_stretches(changed, base) == [(0, 59, 0, 58)]
+    assert passages.matching_stretches(np.arange(100, 160, dtype=np.uint32), base) == []
+    for lost in (10, 14):  # 0.8 of the words, and less
+        worse = base[:50].copy()
+        worse[np.linspace(1, 48, lost).astype(int)] += 500
+        assert bool(passages.matching_stretches(worse, base[:50])) == (lost == 10)
+
+
+def test_near_passages_are_found(spark):
+    draw, texts = random.Random(3), []
+    for i in range(40):
+        passage = words(60, 1000 + i)
+        near = passage[:30] + ["new"] + passage[30:] if i % 2 else [
+            "changed" if draw.random() < 0.1 else w for w in passage]
+        texts += [(2 * i, " ".join(words(60, 2000 + i) + passage)), (2 * i + 1, " ".join(near + words(60, 3000 + i)))]
+    found = _stretch_pairs(passages.repeated(table(spark, texts)).collect())
+    assert found <= {(2 * i + 1, 2 * i) for i in range(40)} and len(found) >= 38
+
+
 # --- mixing -----------------------------------------------------------------
 
 
