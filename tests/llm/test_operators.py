@@ -283,6 +283,17 @@ def _stretch_pairs(rows):
     return {(r["doc_id"], r["source_id"]) for r in rows}
 
 
+def test_repeats_behind_common_lines_of_earlier_documents(spark):
+    a, b, texts = words(30, 11), words(30, 12), []
+    for i in range(6):  # documents 1 to 6 hold one half each, in surroundings of their own
+        half = a if i % 2 else b
+        texts.append((i + 1, " ".join(words(60, 100 + i) + half + words(60, 200 + i))))
+    texts += [(20, " ".join(words(70, 301) + a + b + words(50, 302))), (21, " ".join(words(40, 303) + a + b + words(80, 304)))]
+    rows = passages.repeated(table(spark, texts)).collect()
+    assert _stretch_pairs(rows) == {(21, 20)}
+    assert {(r["first_word"], r["last_word"], r["source_first_word"]) for r in rows} == {(40, 99, 70)}
+
+
 def test_stretches_across_indels_and_scattered_changes():
     base = np.arange(60, dtype=np.uint32)
     inserted = np.insert(base, 30, 999).astype(np.uint32)
