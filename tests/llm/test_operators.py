@@ -144,6 +144,13 @@ def test_language_model_learns_and_carries_state(spark):
     assert abs(alone - together) < 1e-3
 
 
+def test_every_training_document_is_in_one_round(spark):
+    docs = table(spark, [(i, "a b") for i in range(500)])
+    rounds = [language_model.round_documents(docs, k).collect() for k in range(language_model.ROUNDS)]
+    assert sorted(r["doc_id"] for rows in rounds for r in rows) == list(range(500))
+    assert all(rounds)
+
+
 # --- near duplicates --------------------------------------------------------
 
 
