@@ -212,6 +212,16 @@ def test_near_duplicates_against_all_pairs(spark, awkward):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_scattered_replacements_are_near_duplicates(spark):
+    draw, texts = random.Random(8), []
+    for i in range(40):
+        base = words(200, 5000 + i)
+        near = ["changed" if draw.random() < (0.05, 0.1)[i % 2] else w for w in base]
+        texts += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(near))]
+    rows = near_dedup.near_duplicates(table(spark, texts)).collect()
+    assert {r["doc_id"]: r["class_id"] for r in rows} == {d: d - d % 2 for d in range(80)}
+
+
 # --- packing ----------------------------------------------------------------
 
 
