@@ -3,7 +3,10 @@
 Equal texts are one node. Each node gets ``SKETCHES`` order-min-hash values: of the
 occurrence-labelled five-word shingles, the ``PICKED`` smallest under one hash
 function, kept in text order. Unlike plain MinHash this feels moved and repeated
-passages. Nodes that share a value meet in a bucket. A bucket is not paired off: each
+passages. Texts of at most ``SHORT`` words, of which one change can touch all
+shingles, also get a value for each text that is left when as many words are deleted
+as the similarity allows: two short texts that are similar have one of these in
+common with certainty. Nodes that share a value meet in a bucket. A bucket is not paired off: each
 node is aligned with the bucket's first node, and classes are formed. Only nodes of
 one bucket that are still in different classes are then aligned with each other, so
 no pair of a bucket that its lengths allow to be similar is left untested unless its
@@ -14,6 +17,7 @@ Similarity of two texts: 1 - (word edit distance) / (words of the longer one).
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -28,6 +32,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 80  # texts of which every fifth word is replaced here and there meet with 0.95
 PICKED = 2
+SHORT = 15
 FIRST_BAND = 8
 BATCH_CELLS = 1 << 21
 
@@ -61,19 +66,48 @@ def order_min_hashes(words: np.ndarray, sketches: int = SKETCHES, picked: int =
     return out
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    with np.errstate(over="ignore"):
-        for batch in batches:
-            values, counts = [], []
-            for text in batch.column("text").to_pylist():
-                words = word_hashes(text.encode("utf-8", "surrogatepass"))[0]
-                counts.append(len(words))
-                values.append(order_min_hashes(words).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("digest"), pa.array(counts, pa.int32()),
-                 pa.array(values, pa.list_(pa.int64()))],
-                ["doc_id", "digest", "n", "keys"],
-            )
+@functools.lru_cache(maxsize=None)
+def _left_over(n: int, similarity: float) -> tuple[np.ndarray, ...]:
+    """Places of the words that stay, one array per number of words.
+
+    If the longer of two texts has m words and d changes are allowed, they have m - d
+    words in common, in order; so both emit all their parts of that many words.
+    """
+    limit = lambda m: int(np.floor((1 - similarity) * m + 1e-9))
+    sizes = {m - limit(m) for m in range(n, SHORT + 1) if m - n <= limit(m)}
+    return tuple(np.array(list(itertools.combinations(range(n), t)), np.int64) for t in sorted(sizes) if 0 < t <= n)
+
+
+def short_keys(words: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Values of the parts of a short text; none for a longer one or one without words."""
+    if not 0 < len(words) <= SHORT:
+        return np.zeros(0, np.uint64)
+    found = []
+    for places in _left_over(len(words), similarity):
+        out = np.full(len(places), places.shape[1], np.uint64)
+        for column in places.T:
+            out = mix(out * np.uint64(31) + words[column])
+        found.append(np.unique(out))
+    return np.concatenate(found)
+
+
+def _sketched(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                values, counts = [], []
+                for text in batch.column("text").to_pylist():
+                    words = word_hashes(text.encode("utf-8", "surrogatepass"))[0]
+                    counts.append(len(words))
+                    keys = np.concatenate([order_min_hashes(words), short_keys(words, similarity)])
+                    values.append(np.unique(keys).view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), batch.column("digest"), pa.array(counts, pa.int32()),
+                     pa.array(values, pa.list_(pa.int64()))],
+                    ["doc_id", "digest", "n", "keys"],
+                )
+
+    return run
 
 
 def _word_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +281,7 @@ def assigned(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, digest, class (a digest), n_links: one row per row of ``docs``."""
     texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("digest", _digest("text"))
     sketched = written(
-        texts.mapInArrow(_sketched, f"doc_id {dict(docs.dtypes)['doc_id']}, digest string, n int, keys array<bigint>"),
+        texts.mapInArrow(_sketched(similarity), f"doc_id {dict(docs.dtypes)['doc_id']}, digest string, n int, keys array<bigint>"),
         "sketches",
     )
     nodes = sketched.groupBy("digest").agg(F.first("keys").alias("keys"), F.first("n").alias("n"))

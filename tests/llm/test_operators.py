@@ -222,6 +222,32 @@ def test_scattered_replacements_are_near_duplicates(spark):
     assert {r["doc_id"]: r["class_id"] for r in rows} == {d: d - d % 2 for d in range(80)}
 
 
+def test_short_texts_against_all_pairs(spark):
+    draw, texts = random.Random(9), []
+    for n in range(1, 16):
+        for i in range(3):
+            base = words(n, 7000 + 10 * n + i)
+            more, less, other = list(base), list(base), list(base)
+            more.insert(draw.randrange(n + 1), "more")
+            del less[draw.randrange(n)]
+            other[draw.randrange(n)] = "other"
+            texts += [t for t in (base, more, less, other) if 0 < len(t) <= 15]
+    rows = list(enumerate(texts))
+    parent = list(range(len(rows)))
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+    for i, a in rows:
+        for j, b in rows[:i]:
+            n = max(len(a), len(b))
+            if abs(len(a) - len(b)) <= 0.2 * n and edit_distance(a, b) <= 0.2 * n + 1e-9:
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    got = near_dedup.near_duplicates(table(spark, [(i, " ".join(t)) for i, t in rows])).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {i: root(i) for i, _ in rows}
+
+
 # --- packing ----------------------------------------------------------------
 
 
