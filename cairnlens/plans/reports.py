@@ -99,8 +99,7 @@ def _(d):
 def _(d):
     path = shared_folder(d.spark)
     sinks.write_snapshot(sinks.snapshot_documents(_records(d)), path)
-    stored = d.spark.read.schema("task_id BIGINT, part INT, records STRING, section STRING").json(path)
-    return stored.where("part = 0").select("task_id", "section", "records")
+    return sinks.stored_snapshot(d.spark, path)
 
 
 @query("replace_findings", """

@@ -153,3 +153,13 @@ def snapshot_documents(records: DataFrame, part_records: int = PART_RECORDS) ->
 def write_snapshot(documents: DataFrame, path: str) -> None:
     """JSON lines, one folder per section, one line per task and part."""
     documents.write.mode("overwrite").partitionBy("section").json(path)
+
+
+def stored_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """task_id, section, records: each section whole, its parts joined in order."""
+    stored = spark.read.schema("task_id BIGINT, part INT, records STRING, section STRING").json(path)
+    inner = F.expr("substring(records, 2, char_length(records) - 2)")
+    parts = F.array_sort(F.collect_list(F.struct("part", inner.alias("inner"))))
+    return stored.groupBy("task_id", "section").agg(
+        F.concat(F.lit("["), F.array_join(F.transform(parts, lambda p: p["inner"]), ","), F.lit("]")).alias("records")
+    )

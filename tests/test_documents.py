@@ -161,6 +161,15 @@ def test_snapshot_keeps_all_records_in_typed_order(spark):
     assert got == {(1, 0): '[{"id":9},{"id":10}]', (1, 1): '[{"id":11}]', (2, 0): '[{"id":9}]'}
 
 
+def test_stored_snapshot_joins_all_parts(spark, tmp_path):
+    rows = spark.createDataFrame([(1, i) for i in range(25)] + [(2, 9)], "task_id BIGINT, id INT")
+    records = sinks.snapshot_records({"s": (rows, [F.col("id")])})
+    sinks.write_snapshot(sinks.snapshot_documents(records, 2), str(tmp_path / "parts"))
+    got = {(r.task_id, r.section): r.records for r in sinks.stored_snapshot(spark, str(tmp_path / "parts")).collect()}
+    whole = "[" + ",".join(f'{{"id":{i}}}' for i in range(25)) + "]"
+    assert got == {(1, "s"): whole, (2, "s"): '[{"id":9}]'}
+
+
 def test_redaction_reaches_into_arrays(spark):
     from cairnlens.operators.search import redacted_metadata
 
