@@ -325,8 +325,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """doc_id, class_id, n_links: one row per row of ``docs``.
 
     class_id is the smallest doc_id of the class (null if all its ids are null);
-    n_links counts the different texts that the document's text was aligned with
-    successfully. Equal texts share a class whatever their length; null counts as
+    n_links counts the links used to form the class that end at the document's text;
+    similar texts that were already in one class are not aligned, so it is no count of
+    all similar texts. Equal texts share a class whatever their length; null counts as
     empty text, and empty texts are one class. Repeated rows come back as often as
     they are given. Further columns are not read.
     """
