@@ -1,6 +1,8 @@
 """License scan: phrases, and an exact set-similarity join with notice templates.
 
-A document is cut into overlapping blocks of words per template. A block matches a
+A document is cut into overlapping blocks of words per template, 2.5 template lengths
+long, one every 1.25: only runs of up to 1.25 template lengths are sure to lie in one
+block, a longer one matches or not depending on where it starts. A block matches a
 template if it holds at least ``CONTAINMENT`` of the template's distinct words.
 Template words are ordered by their frequency in the whole corpus, rarest first. A
 matching block must hold one of the first ``n - need + 1`` of them (prefix filter),
