@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlens.llm import (
-    fingerprint, language_model, licenses, mixing, near_dedup, packing, passages, topk, toxicity,
-    url_filter,
+    conversation_repair, fingerprint, grammar_store, language_model, licenses, mixing, near_dedup, packing, passages,
+    periodic_runs, topk, toxicity, url_filter,
 )
 from cairnlens.llm.common import fold, read_table
 
@@ -67,6 +67,20 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.where("vec_id % 100 = 0"), 10)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.audited(read_table(spark, sf_dir, "conversations"))
+
+
+def op12_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = grammar_store.stored(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.looped(read_table(spark, sf_dir, "documents"))
+    return periodic_runs.digests(periodic_runs.periodic_runs(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_lm_score": op2_lm_score,
@@ -78,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_fingerprint": op9_fingerprint,
     "op10_topk": op10_topk,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_token_ids": op12_token_ids,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 
@@ -204,9 +221,139 @@ TOPK_SQL = """
     SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 10
 """
 
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    bits = "[xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]"
+    byte = f"list_reduce({bits}, lambda d, k: xor(d >> 1, 3988292384 * (d & 1)))"
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {byte}))"
+
+
+def _repair_sql() -> str:
+    """Least (cost, audit) of each state, row by row; labels compare as text."""
+    def more(label: str, cost: str, edit: str) -> str:
+        return f"(printf('%09d', left({label}, 9)::BIGINT + {cost}) || substr({label}, 10) || '{edit}')"
+
+    def inserted(name: str) -> list[str]:  # up to two rows more before the next one
+        once = [f"{name}0", f"{name}1", f"least({name}2, {more(f'least({name}0, {name}1, {name}3)', '2', 'I')})",
+                f"least({name}3, {more(f'{name}2', '2', 'I')})"]
+        return once
+
+    def closed(source: str, columns: str) -> str:
+        step = f"SELECT {columns}, {', '.join(f'{e} AS q{i}' for i, e in enumerate(inserted('q')))} FROM"
+        return f"({step} ({step} {source}))"
+
+    del_ = [more(f"q{i}", "3", "D") for i in range(4)]
+    kept = [None, more("q0", "late", "K"), more("least(q0, q1, q3)", "late", "K"), more("q2", "late", "K")]
+    role = [None, "s", "u", "a"]
+    given = [None, None, more("least(q0, q1, q3)", "2 + late", "R"), more("q2", "2 + late", "R")]
+    after = []
+    for i in range(4):
+        options = [del_[i]]
+        if kept[i]:
+            options.append(f"CASE WHEN sound AND initial = '{role[i]}' THEN {kept[i]} END")
+        if given[i]:
+            options.append(f"CASE WHEN sound THEN {given[i]} END")
+        after.append(f"least({', '.join(options)}) AS q{i}" if len(options) > 1 else f"{options[0]} AS q{i}")
+    return f"""
+        WITH RECURSIVE base AS (
+            SELECT coalesce(conv_id::VARCHAR, ' ') AS key, conv_id, turn, coalesce(role, ' ') AS role,
+                coalesce(text, ' ') AS text, {_crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind
+            FROM conversations
+        ), damaged AS (
+            SELECT key, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+            FROM base WHERE kind <> 0
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, text) AS pos FROM damaged
+        ), told AS (
+            SELECT *, row_number() OVER (PARTITION BY key, role, text ORDER BY pos) > 1 AS again,
+                regexp_replace(text, '[\x20\x09-\x0D]+\\z', '') AS trimmed, left(role, 1) AS initial FROM placed
+        ), marked AS (
+            SELECT *, trimmed = '' AS blank, trimmed <> '' AND again AS duplicate,
+                trimmed <> '' AND NOT again AND right(trimmed, 1) NOT IN ('.', '!', '?') AS truncated FROM told
+        ), steps AS (SELECT *, NOT (blank OR duplicate) AS sound, truncated::INTEGER AS late FROM marked),
+        walk(key, pos, q0, q1, q2, q3) AS (
+            SELECT DISTINCT key, 0::BIGINT, printf('%09d', 0), NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR FROM marked
+            UNION ALL
+            SELECT w.key, s.pos, {', '.join(after)}
+            FROM {closed('walk', 'key, pos')} w JOIN steps s ON s.key = w.key AND s.pos = w.pos + 1
+        ), ends AS (
+            SELECT key, least(q0, q3) AS label FROM {closed('walk', 'key, pos')}
+            QUALIFY row_number() OVER (PARTITION BY key ORDER BY pos DESC) = 1
+        ), audits AS (SELECT key, left(label, 9)::BIGINT AS cost, substr(label, 10) AS audit FROM ends),
+        letters AS (
+            SELECT key, audit, unnest(string_split(audit, '')) AS edit, unnest(range(1, len(audit) + 1)) AS number FROM audits WHERE audit <> ''
+        ), read AS (
+            SELECT *, count(*) FILTER (edit <> 'I') OVER w AS pos, count(*) FILTER (edit <> 'D') OVER w AS n FROM letters
+            WINDOW w AS (PARTITION BY key ORDER BY number)
+        ), joined AS (
+            SELECT r.key, r.number, r.n, r.edit, m.role, m.text, m.initial FROM read r
+            LEFT JOIN marked m ON m.key = r.key AND m.pos = r.pos AND r.edit <> 'I' WHERE r.edit <> 'D'
+        ), shifted AS (
+            SELECT *, bool_or(n = 1 AND edit = 'K' AND initial = 's') OVER (PARTITION BY key) AS opened FROM joined
+        ), repaired AS (
+            SELECT key, string_agg(CASE WHEN edit = 'K' THEN role WHEN (n - opened::BIGINT) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY number) AS text
+            FROM shifted GROUP BY key
+        ), pairs AS (
+            SELECT key, initial || lead(initial) OVER (PARTITION BY key ORDER BY pos) AS pair FROM marked
+        ), illegal AS (SELECT key, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM pairs GROUP BY key),
+        facts AS (
+            SELECT key, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+                count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated FROM marked GROUP BY key
+        )
+        SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+            coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+            coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+            sha256(coalesce(r.text, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id, key FROM base) i LEFT JOIN facts USING (key) LEFT JOIN illegal USING (key)
+            LEFT JOIN audits USING (key) LEFT JOIN repaired r USING (key)
+    """
+
+
+RUNS_SQL = f"""
+    WITH split AS (
+        SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS words,
+            {_crc32_sql('doc_id::VARCHAR')} AS h FROM documents
+    ), numbers AS (SELECT *, len(words) AS n, h % 10 = 0 AND len(words) > 0 AS turns, h // 10 AS g FROM split),
+    looped AS (
+        SELECT r, doc_id, n, CASE WHEN turns THEN list_transform(range(n), lambda i: words[1 + CASE WHEN i < g % n THEN i
+            ELSE g % n + (i - g % n) % (1 + (n - g % n) // (3 + g % 8)) END]) ELSE words END AS w FROM numbers
+    ), grams AS (
+        SELECT r, unnest(list_transform(range(1, n - {periodic_runs.LEAST // 2 - 2}), lambda i: w[i:i + {periodic_runs.LEAST // 2 - 1}])) AS gram,
+            unnest(range(0, n - {periodic_runs.LEAST // 2 - 1})) AS i
+        FROM looped WHERE n >= {periodic_runs.LEAST}
+    ), same AS (
+        SELECT a.r, b.i - a.i AS q, a.i FROM grams a JOIN grams b ON a.r = b.r AND a.gram = b.gram AND a.i < b.i
+    ), islands AS (
+        SELECT r, q, min(i) AS start, count(*) + {periodic_runs.LEAST // 2 - 1} + q AS length
+        FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM same) GROUP BY r, q, island
+    ), runs AS (
+        SELECT r, start, length, min(q) AS period FROM islands WHERE length >= greatest({periodic_runs.LEAST}, 2 * q) GROUP BY r, start, length
+    ), facts AS (
+        SELECT r, count(*) AS n_runs, first(struct_pack(start, length, period) ORDER BY length DESC, start, period) AS best,
+            string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+        FROM runs GROUP BY r
+    ), dropped AS (
+        SELECT r, list_sort(list_distinct(flatten(list(range(start + period, start + length))))) AS gone FROM runs GROUP BY r
+    ), kept AS (
+        SELECT r, string_agg(w[i + 1], ' ' ORDER BY i) AS text
+        FROM (SELECT r, w, unnest(range(n)) AS i FROM looped) l
+        WHERE NOT EXISTS (SELECT 1 FROM (SELECT r, unnest(gone) AS i FROM dropped) d WHERE d.r = l.r AND d.i = l.i) GROUP BY r
+    )
+    SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS start, best.length::BIGINT AS length,
+        best.period::BIGINT AS period, (1000 * best.length // best.period)::BIGINT AS exponent_milli,
+        sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+    FROM looped LEFT JOIN facts USING (r) LEFT JOIN kept USING (r)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_license_scan": _license_sql(),
     "op8_url_filter": _url_sql(),
     "op9_fingerprint": FINGERPRINT_SQL,
     "op10_topk": TOPK_SQL,
+    "op11_conversation_repair": _repair_sql(),
+    "op13_periodic_runs": RUNS_SQL,
 }
