@@ -1,8 +1,7 @@
-"""Call graphs, file trees and image indexes."""
+"""Call graphs, file trees and members of images."""
 
 from __future__ import annotations
 
-import itertools
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -11,7 +10,6 @@ from pyspark.sql import functions as F
 from cairnlens import vocab
 from cairnlens.functions import text
 from cairnlens.functions.keyed import first_per_key
-from cairnlens.session import shared_folder
 
 # --- fixed values: containers whose members may name them as their source ---------
 SOURCE_CONTAINER_FORMATS = [
@@ -205,68 +203,6 @@ def _repeated_ids(nodes: DataFrame) -> DataFrame:
     )
 
 
-def image_index_closure(
-    roots: DataFrame, edges: DataFrame, max_depth: int = vocab.INDEX_DEPTH_LIMIT
-) -> DataFrame:
-    """Everything reachable from the root indexes, level by level.
-
-    Each row carries its depth, the reference it inherits and whether it closes a
-    cycle; cycles are reported but not followed, rows below ``max_depth`` are flagged and
-    followed like others. Every
-    level is written to the shared folder, so a lost executor costs one level, and
-    the walk ends with the first empty level.
-    """
-    spark = edges.sparkSession
-    folder = shared_folder(spark)
-    steps = edges.select(
-        "archive_id",
-        F.col("parent").alias("digest"),
-        F.col("child"),
-        "child_kind",
-        F.col("reference").alias("own_reference"),
-    )
-    frontier = roots.select(
-        "archive_id",
-        "digest",
-        F.lit(None).cast("string").alias("reference"),
-        F.array("digest").alias("path"),
-    )
-    levels = []
-    for depth in itertools.count():
-        reached = frontier.join(steps, ["archive_id", "digest"]).select(
-            "archive_id",
-            F.col("digest").alias("parent"),
-            F.col("child").alias("digest"),
-            F.col("child_kind").alias("kind"),
-            F.lit(depth).alias("depth"),
-            F.coalesce("own_reference", "reference").alias("reference"),
-            F.array_contains("path", F.col("child")).alias("is_cycle"),
-            F.lit(depth > max_depth).alias("too_deep"),
-            F.concat("path", F.array("child")).alias("path"),
-        )
-        location = f"{folder}/level-{depth}"
-        reached.write.parquet(location)
-        level = spark.read.schema(reached.schema).parquet(location)
-        if level.isEmpty():
-            break
-        levels.append(level.drop("path"))
-        frontier = level.filter((F.col("kind") == "index") & ~F.col("is_cycle")).select(
-            "archive_id", "digest", "reference", "path"
-        )
-    if not levels:
-        return level.drop("path")
-    return reduce(DataFrame.unionByName, levels)
-
-
-def image_targets(closure: DataFrame) -> DataFrame:
-    """Image manifests with each reference they are known by; the digest if none."""
-    return (
-        closure.filter(F.col("kind") == "manifest")
-        .select("archive_id", "digest", F.coalesce("reference", "digest").alias("reference"))
-        .distinct()
-    )
-
-
 def unresolved_members(members: DataFrame, listing: DataFrame) -> DataFrame:
     """Configs, layers and blobs an image names but its archive does not hold."""
     present = listing.select("manifest", "digest").distinct()

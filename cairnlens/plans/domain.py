@@ -544,6 +544,31 @@ VIEWS: dict[str, str] = {
     "image_members": """
         SELECT concat('o-', l_orderkey) AS manifest, line_key AS digest, 'layer' AS kind
         FROM lines""",
+    "image_descriptors": """
+        SELECT 'a' AS archive_id, concat('c-', o_custkey) AS parent, concat('o-', o_orderkey) AS digest,
+               CASE WHEN o_orderkey % 11 = 3 THEN 'unknown' WHEN o_orderkey % 4 = 1 THEN NULL
+                    WHEN o_orderkey % 29 = 2 THEN 'windows' ELSE 'linux' END AS os,
+               CASE WHEN o_orderkey % 11 = 3 THEN 'unknown' WHEN o_orderkey % 4 = 1 THEN NULL
+                    WHEN o_orderkey % 2 = 0 THEN 'amd64' ELSE 'arm64' END AS architecture,
+               CASE WHEN o_orderkey % 4 = 3 AND o_orderkey % 11 <> 3 THEN 'v8' WHEN o_orderkey % 55 = 3 THEN 'v1' END AS variant,
+               CASE WHEN o_orderkey % 11 = 3 THEN 'attestation-manifest' END AS reference_type,
+               CASE WHEN o_orderkey % 33 = 3 THEN concat('sha256:', o_orderkey)
+                    WHEN o_orderkey % 11 = 3 THEN concat('sha256:', sha2(o_orderpriority, 256)) END AS reference_digest
+        FROM orders""",
+    "image_manifests": """
+        SELECT concat('o-', o_orderkey) AS digest, concat('config-', o_orderkey) AS config FROM orders""",
+    "image_configs": """
+        SELECT concat('config-', o_orderkey) AS digest,
+               CASE WHEN o_orderkey % 11 = 3 THEN 'unknown' WHEN o_orderkey % 37 = 0 THEN '' ELSE 'linux' END AS os,
+               CASE WHEN o_orderkey % 11 = 3 THEN 'unknown' WHEN o_orderkey % 41 = 5 THEN 'arm 64'
+                    WHEN o_orderkey % 2 = 0 THEN 'amd64' ELSE 'arm64' END AS architecture,
+               CASE WHEN o_orderkey % 4 = 3 AND o_orderkey % 11 <> 3 AND o_orderkey % 13 <> 0 THEN 'v8' END AS variant
+        FROM orders WHERE o_orderkey % 101 <> 7""",
+    "image_layers": """
+        SELECT concat('o-', l_orderkey) AS manifest, l_linenumber AS ordinal, line_key AS digest,
+               CASE WHEN l_orderkey % 11 = 3 AND l_suppkey % 8 <> 0 THEN 'application/vnd.in-toto+json'
+                    ELSE 'application/vnd.oci.image.layer.v1.tar+gzip' END AS media_type
+        FROM lines""",
     "image_listing": """
         SELECT concat('o-', l_orderkey) AS manifest, line_key AS digest
         FROM lines WHERE l_suppkey % 25 <> 0""",

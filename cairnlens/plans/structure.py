@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairnlens.operators import classify, graph, ranges
+from cairnlens.operators import classify, graph, images, ranges
 from cairnlens.plans.registry import query
 
 
@@ -139,31 +139,116 @@ def _(d):
     return graph.tree_integrity(d.file_nodes)
 
 
-CLOSURE = """
+# Ways from the roots, each node once for every reference; then pairs of indexes that
+# lead to each other, and longest ways that touch no cycle.
+WALK = """
 WITH RECURSIVE walk AS (
-  SELECT e.archive_id, e.child AS digest, e.child_kind AS kind, 0 AS depth, e.reference,
-         list_contains([e.parent], e.child) AS is_cycle, [e.parent, e.child] AS path
+  SELECT e.archive_id, e.child AS digest, e.child_kind AS kind, e.reference
   FROM image_edges e JOIN image_roots r ON r.archive_id = e.archive_id AND r.digest = e.parent
-  UNION ALL
-  SELECT e.archive_id, e.child, e.child_kind, w.depth + 1, COALESCE(e.reference, w.reference),
-         list_contains(w.path, e.child), list_append(w.path, e.child)
+  UNION
+  SELECT e.archive_id, e.child, e.child_kind, COALESCE(e.reference, w.reference)
   FROM walk w JOIN image_edges e ON e.archive_id = w.archive_id AND e.parent = w.digest
-  WHERE w.kind = 'index' AND NOT w.is_cycle AND w.depth < 9)"""
+  WHERE w.kind = 'index'
+), reachable AS (
+  SELECT archive_id, digest FROM image_roots UNION SELECT archive_id, digest FROM walk WHERE kind = 'index'
+), live AS (
+  SELECT e.archive_id, e.parent, e.child, e.child_kind FROM image_edges e
+  JOIN reachable r ON r.archive_id = e.archive_id AND r.digest = e.parent
+)"""
+CLOSURE = f"""{WALK}, pairs AS (
+  SELECT archive_id, parent, child FROM live WHERE child_kind = 'index'
+  UNION
+  SELECT p.archive_id, p.parent, l.child FROM pairs p
+  JOIN live l ON l.archive_id = p.archive_id AND l.parent = p.child WHERE l.child_kind = 'index'
+), turning AS (SELECT archive_id, parent AS digest FROM pairs WHERE parent = child),
+behind AS (
+  SELECT archive_id, digest FROM turning
+  UNION SELECT p.archive_id, p.child FROM pairs p JOIN turning t ON t.archive_id = p.archive_id AND t.digest = p.parent
+), ways AS (
+  SELECT r.archive_id, r.digest, 0 AS layer FROM image_roots r
+  UNION
+  SELECT w.archive_id, l.child, w.layer + 1 FROM ways w
+  JOIN live l ON l.archive_id = w.archive_id AND l.parent = w.digest AND l.child_kind = 'index'
+  WHERE NOT EXISTS (SELECT 1 FROM behind b WHERE b.archive_id = l.archive_id AND b.digest = l.child)
+), steps AS (
+  SELECT r.archive_id, r.digest, 'index' AS kind, -1 AS depth FROM image_roots r
+  UNION
+  SELECT l.archive_id, l.child, l.child_kind, s.depth + 1 FROM steps s
+  JOIN live l ON l.archive_id = s.archive_id AND l.parent = s.digest
+  WHERE s.kind = 'index' AND s.depth < (SELECT count(*) FROM image_roots) + 30
+), layers AS (SELECT archive_id, digest, max(layer) AS layer FROM ways GROUP BY ALL)"""
+
+
+@query("image_index_closure", f"""{CLOSURE}, facts AS (
+  SELECT l.archive_id, l.child AS digest, l.child_kind AS kind, max(y.layer) AS layer, count(b.digest) > 0 AS behind_cycle
+  FROM live l LEFT JOIN layers y ON y.archive_id = l.archive_id AND y.digest = l.parent
+  LEFT JOIN behind b ON b.archive_id = l.archive_id AND b.digest = l.parent GROUP BY 1, 2, 3
+)
+SELECT f.archive_id, f.digest, f.kind, n.depth, CASE WHEN NOT behind_cycle THEN layer END AS deepest, behind_cycle,
+       behind_cycle OR layer > 8 AS too_deep
+FROM facts f JOIN (SELECT archive_id, digest, kind, min(depth) AS depth FROM steps WHERE depth >= 0 GROUP BY 1, 2, 3) n
+  ON n.archive_id = f.archive_id AND n.digest = f.digest AND n.kind = f.kind""")
+def _(d):
+    return images.image_index_closure(d.image_roots, d.image_edges)
 
 
-@query("image_index_closure", f"""{CLOSURE}
-SELECT archive_id, digest, kind, depth, reference, is_cycle, depth > 8 AS too_deep FROM walk""")
+@query("image_targets", f"""{WALK}
+SELECT DISTINCT archive_id, digest, COALESCE(reference, digest) AS reference FROM walk WHERE kind = 'manifest'""")
 def _(d):
-    return graph.image_index_closure(d.image_roots, d.image_edges).select(
-        "archive_id", "digest", "kind", "depth", "reference", "is_cycle", "too_deep"
+    return images.image_targets(images.image_walk(d.image_roots, d.image_edges))
+
+
+PLATFORM = "^[A-Za-z0-9][A-Za-z0-9._-]{0,63}$"
+CHECKED = f"""{WALK}, held AS (
+  SELECT manifest, count(*) AS layer_count, bool_and(media_type = 'application/vnd.in-toto+json') AS attested
+  FROM image_layers GROUP BY manifest
+), checked AS (
+  SELECT d.archive_id, d.parent, d.digest, CASE WHEN d.reference_type = 'attestation-manifest' THEN 'attestation' ELSE 'image' END AS role,
+         c.os, c.architecture, c.variant, COALESCE(h.layer_count, 0) AS layer_count,
+         CASE WHEN d.reference_type = 'attestation-manifest' THEN
+                CASE WHEN regexp_full_match(d.reference_digest, 'sha256:[a-f0-9]{{64}}') AND d.os = 'unknown' AND d.architecture = 'unknown'
+                      AND d.variant IS NULL AND c.os = 'unknown' AND c.architecture = 'unknown' AND COALESCE(c.variant, '') = ''
+                      AND h.attested THEN NULL ELSE 'attestation_invalid' END
+              WHEN NOT COALESCE(regexp_matches(c.os, '{PLATFORM}') AND regexp_matches(c.architecture, '{PLATFORM}')
+                   AND (COALESCE(c.variant, '') = '' OR regexp_matches(c.variant, '{PLATFORM}')), false) THEN 'platform_invalid'
+              WHEN (d.os IS NOT NULL OR d.architecture IS NOT NULL OR d.variant IS NOT NULL)
+                   AND (d.os IS DISTINCT FROM c.os OR d.architecture IS DISTINCT FROM c.architecture
+                        OR COALESCE(d.variant, '') <> COALESCE(c.variant, '')) THEN 'platform_mismatch' END AS violation
+  FROM image_descriptors d JOIN reachable r ON r.archive_id = d.archive_id AND r.digest = d.parent
+  LEFT JOIN image_manifests m ON m.digest = d.digest LEFT JOIN image_configs c ON c.digest = m.config
+  LEFT JOIN held h ON h.manifest = d.digest
+)"""
+
+
+def _checked(d, walk):
+    return images.manifest_check(
+        d.image_roots, walk, d.image_descriptors, d.image_manifests, d.image_configs, d.image_layers
     )
 
 
-@query("image_targets", f"""{CLOSURE}
-SELECT DISTINCT archive_id, digest, COALESCE(reference, digest) AS reference
-FROM walk WHERE kind = 'manifest' AND depth <= 8""")
+@query("image_manifest_check", f"{CHECKED} SELECT * FROM checked")
+def _(d):
+    return _checked(d, images.image_walk(d.image_roots, d.image_edges))
+
+
+@query("image_scan_targets", f"""{CHECKED}
+SELECT c.archive_id, c.digest, first(os) AS os, first(architecture) AS architecture, first(variant) AS variant,
+       first(layer_count) AS layer_count, first(n) AS reference_count
+FROM checked c JOIN (SELECT archive_id, digest, count(DISTINCT COALESCE(reference, digest)) AS n FROM walk
+                     WHERE kind = 'manifest' GROUP BY 1, 2) k ON k.archive_id = c.archive_id AND k.digest = c.digest
+WHERE role = 'image' GROUP BY c.archive_id, c.digest HAVING count(violation) = 0""")
+def _(d):
+    walk = images.image_walk(d.image_roots, d.image_edges)
+    return images.scan_targets(walk, _checked(d, walk))
+
+
+@query("image_members", f"""{WALK}, reached AS (SELECT DISTINCT archive_id, digest FROM walk WHERE kind = 'manifest')
+SELECT r.archive_id, m.digest AS manifest, 'config' AS kind, NULL::BIGINT AS ordinal, m.config AS digest
+FROM image_manifests m JOIN reached r ON r.digest = m.digest
+UNION ALL
+SELECT r.archive_id, l.manifest, 'layer', l.ordinal, l.digest FROM image_layers l JOIN reached r ON r.digest = l.manifest""")
 def _(d):
-    return graph.image_targets(graph.image_index_closure(d.image_roots, d.image_edges))
+    return images.image_members(images.image_walk(d.image_roots, d.image_edges), d.image_manifests, d.image_layers)
 
 
 @query("index_references_resolve", """

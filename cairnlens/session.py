@@ -38,18 +38,22 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
     return apply_settings(spark)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the
+    context's checkpoint directory.
 
-    Below ``spark.checkpoint.dir``, else the context's checkpoint directory, else the
-    warehouse. A session without any of these gets an error, never a folder of one
-    machine that other machines cannot see.
+    In local mode, with neither set, it is the warehouse of the one machine there is. A
+    cluster without them gets an error, never a folder that other machines cannot see.
     """
-    root = (
-        spark.conf.get("spark.checkpoint.dir", None)
-        or spark.sparkContext.getCheckpointDir()
-        or spark.conf.get("spark.sql.warehouse.dir", None)
-    )
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    master = spark.sparkContext.master
+    if not root and (master == "local" or master.startswith("local[")):
+        root = spark.conf.get("spark.sql.warehouse.dir")
     if not root:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{root.rstrip('/')}/run-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below ``shared_root``."""
+    return f"{shared_root(spark)}/run-{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from cairnlens.operators import classify, graph, nested, quality, runs
+from cairnlens.operators import classify, images, nested, quality, runs
 from cairnlens.session import shared_folder
 from cairnlens.sources import documents, sinks
 
@@ -54,27 +54,84 @@ def test_scan_reports_keeps_broken_documents(spark, tmp_path):
     assert sorted(r._corrupt is None for r in rows) == [False, True]
 
 
+EDGES = "archive_id STRING, parent STRING, child STRING, child_kind STRING, reference STRING"
+
+
+def _roots(spark, *rows):
+    return spark.createDataFrame(list(rows), "archive_id STRING, digest STRING")
+
+
 def test_image_closure(spark):
     edges = [
         ("x", "root", "i1", "index", "r1"), ("x", "i1", "m1", "manifest", None),
         ("x", "i1", "root", "index", None), ("x", "root", "m2", "manifest", None),
     ]
-    df = spark.createDataFrame(
-        edges, "archive_id STRING, parent STRING, child STRING, child_kind STRING, reference STRING")
-    roots = spark.createDataFrame([("x", "root")], "archive_id STRING, digest STRING")
-    closure = graph.image_index_closure(roots, df)
-    got = {(r.digest, r.depth, r.reference, r.is_cycle) for r in closure.collect()}
-    assert got == {("i1", 0, "r1", False), ("m2", 0, None, False), ("m1", 1, "r1", False),
-                   ("root", 1, "r1", True)}
-    targets = {(r.digest, r.reference) for r in graph.image_targets(closure).collect()}
-    assert targets == {("m1", "r1"), ("m2", "m2")}
+    df, roots = spark.createDataFrame(edges, EDGES), _roots(spark, ("x", "root"))
+    closure = images.image_index_closure(roots, df)
+    assert {(r.digest, r.depth, r.deepest, r.behind_cycle) for r in closure.collect()} == {
+        ("i1", 0, None, True), ("m2", 0, None, True), ("m1", 1, None, True), ("root", 1, None, True)}
+    walk = images.image_walk(roots, df)
+    assert {(r.digest, r.reference, r.depth) for r in walk.collect()} == {
+        ("i1", "r1", 0), ("m2", None, 0), ("m1", "r1", 1), ("root", "r1", 1), ("m2", "r1", 2)}
+    targets = {(r.digest, r.reference) for r in images.image_targets(walk).collect()}
+    assert targets == {("m1", "r1"), ("m2", "m2"), ("m2", "r1")}
     chain = [("y", f"n{i}", f"n{i + 1}", "index", None) for i in range(14)]
-    deep = graph.image_index_closure(
-        spark.createDataFrame([("y", "n0")], "archive_id STRING, digest STRING"),
-        spark.createDataFrame(chain, df.schema))
+    deep = images.image_index_closure(_roots(spark, ("y", "n0")), spark.createDataFrame(chain, EDGES))
     assert sorted(r.depth for r in deep.filter("too_deep").collect()) == [9, 10, 11, 12, 13]
 
 
+def test_image_closure_of_diamonds(spark):
+    """Diamonds in a chain: 2 ** 8 paths, one row a node."""
+    edges, n = [], 8
+    for i in range(n):
+        for side in "ab":
+            edges += [("d", f"n{i}", f"{side}{i}", "index", None), ("d", f"{side}{i}", f"n{i + 1}", "index", None)]
+    edges += [("d", "n0", f"n{n}", "index", None), ("d", f"n{n}", "m", "manifest", None), ("e", "n0", "m", "manifest", None)]
+    rows = images.image_index_closure(_roots(spark, ("d", "n0"), ("e", "none")), spark.createDataFrame(edges, EDGES)).collect()
+    assert len(rows) == 3 * n + 1 and not any(r.behind_cycle for r in rows)
+    found = {r.digest: (r.depth, r.deepest) for r in rows}
+    assert found[f"n{n}"] == (0, 2 * n - 1) and found["m"] == (1, 2 * n)
+    empty = images.image_index_closure(_roots(spark), spark.createDataFrame([], EDGES))
+    assert empty.count() == 0
+
+
+def test_manifest_check(spark):
+    digest = "sha256:" + "a" * 64
+    described = [  # digest, os, architecture, variant, reference_type, reference_digest
+        ("plain", None, None, None, None, None), ("same", "linux", "arm64", "v8", None, None),
+        ("other", "linux", "amd64", None, None, None), ("broken", None, None, None, None, None),
+        ("seal", "unknown", "unknown", None, "attestation-manifest", digest),
+        ("unsealed", "unknown", "unknown", None, "attestation-manifest", "sha256:1"),
+        ("layered", "unknown", "unknown", None, "attestation-manifest", digest), ("elsewhere", None, None, None, None, None),
+    ]
+    descriptors = spark.createDataFrame(
+        [("x", "gone" if d[0] == "elsewhere" else "root", *d) for d in described],
+        "archive_id STRING, parent STRING, digest STRING, os STRING, architecture STRING, variant STRING,"
+        " reference_type STRING, reference_digest STRING")
+    manifests = spark.createDataFrame([(d[0], f"c-{d[0]}") for d in described], "digest STRING, config STRING")
+    sealed = {"seal", "unsealed", "layered"}
+    configs = spark.createDataFrame(
+        [(f"c-{d[0]}", *(("unknown", "unknown", None) if d[0] in sealed else ("lin ux", "arm64", None) if d[0] == "broken"
+                         else ("linux", "arm64", "v8"))) for d in described],
+        "digest STRING, os STRING, architecture STRING, variant STRING")
+    layers = spark.createDataFrame(
+        [(d[0], 0, f"l-{d[0]}", "application/vnd.in-toto+json" if d[0] in sealed else "tar") for d in described]
+        + [("layered", 1, "l2", "tar")], "manifest STRING, ordinal INT, digest STRING, media_type STRING")
+    edges = spark.createDataFrame([("x", "root", d[0], "manifest", "r" if d[0] == "same" else None) for d in described[:-1]], EDGES)
+    roots = _roots(spark, ("x", "root"))
+    walk = images.image_walk(roots, edges)
+    checked = images.manifest_check(roots, walk, descriptors, manifests, configs, layers)
+    assert {r.digest: (r.role, r.violation) for r in checked.collect()} == {
+        "plain": ("image", None), "same": ("image", None), "other": ("image", "platform_mismatch"),
+        "broken": ("image", "platform_invalid"), "seal": ("attestation", None),
+        "unsealed": ("attestation", "attestation_invalid"), "layered": ("attestation", "attestation_invalid")}
+    targets = images.scan_targets(walk, checked).collect()
+    assert {(r.digest, r.architecture, r.layer_count, r.reference_count) for r in targets} == {("plain", "arm64", 1, 1), ("same", "arm64", 1, 1)}
+    members = images.image_members(walk, manifests, layers)
+    assert {(r.kind, r.ordinal, r.digest) for r in members.filter("manifest = 'layered'").collect()} == {
+        ("config", None, "c-layered"), ("layer", 0, "l-layered"), ("layer", 1, "l2")}
+
+
 HEADERS = [
     ("7F454C4602", "elf64"), ("504B0304", "zip"), ("CAFEBABE00000034", "java-class"),
     ("CFFAEDFE", "macho-thin"), ("6465780A30333500", "dex"), ("6F0D0D0A", "pyc"),
