@@ -53,6 +53,19 @@ def _(d):
     return live.run_available(stream.select("task_id", "event_sequence", "event_type"))
 
 
+@query("event_tail_batches", """
+SELECT event_id % 97 AS task_id, event_id // 97 + 1 AS event_sequence, event_type,
+       event_id // 97 // 100 AS batch, event_id // 97 % 100 + 1 AS position, 0::BIGINT AS skipped, false AS late
+FROM events""")
+def _(d):
+    """Event ids are dense, so their quotients number the events of each remainder."""
+    raw = _event_stream(d)
+    dense = raw.withColumn("task_id", F.col("event_sequence") % 97).withColumn(
+        "event_sequence", F.expr("event_sequence div 97 + 1")
+    )
+    return _run(d, live.ordered_batches(dense)).drop("created_at")
+
+
 @query("event_dedupe", "SELECT task_id, event_sequence FROM task_events")
 def _(d):
     # every event is delivered twice

@@ -14,7 +14,7 @@ from cairnlens import schemas, vocab
 from cairnlens.functions.keyed import ranked_per_key
 from cairnlens.functions.predicates import recent
 from cairnlens.session import shared_folder
-from cairnlens.streaming.state import FailureBursts, StageVisits, WorkerFreshness
+from cairnlens.streaming.state import FailureBursts, OrderedBatches, StageVisits, WorkerFreshness
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -81,6 +81,26 @@ def event_page(events: DataFrame, sequence: int, size: int = 100) -> DataFrame:
     return ranked_per_key(rows, ["task_id"], [F.col("event_sequence")], size, "position")
 
 
+def ordered_batches(
+    events: DataFrame, first: int = 1, size: int = 100, patience_seconds: int = 60
+) -> DataFrame:
+    """Each task's events in the order of their numbers, however they arrive.
+
+    ``batch`` and ``position`` (from 1) count a task's events in batches of ``size``,
+    whatever micro-batches brought them; ``skipped`` is how many numbers before an event
+    were given up after the patience. A restarted stream goes on with the next number.
+    """
+    _stateful(events.sparkSession)
+    rows = events.select("task_id", "event_sequence", "event_type", "created_at")
+    return rows.groupBy("task_id").transformWithStateInPandas(
+        OrderedBatches(first, size, patience_seconds),
+        "task_id BIGINT, event_sequence BIGINT, event_type STRING, created_at TIMESTAMP, batch BIGINT,"
+        " position BIGINT, skipped BIGINT, late BOOLEAN",
+        "append",
+        "processingTime",
+    )
+
+
 def deduplicated(events: DataFrame, delay: str = "7 days") -> DataFrame:
     """Each (task, sequence) once, however often it is delivered within the delay."""
     return events.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(

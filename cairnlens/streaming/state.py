@@ -69,6 +69,100 @@ class StageVisits(StatefulProcessor):
         pass
 
 
+class OrderedBatches(StatefulProcessor):
+    """Gives a task's events out in the order of their sequence numbers, in batches.
+
+    Events ahead of a gap wait in a map. If the gap is not filled within the patience
+    (processing time, so no event is dropped as late), it is given up: what waits goes
+    on, and the first event behind it states how many numbers were skipped. An event of
+    a gap that was given up still comes out, marked as late and without a batch; any
+    other event below the next number was delivered before.
+    """
+
+    COLUMNS = ["task_id", "event_sequence", "event_type", "created_at", "batch", "position", "skipped", "late"]
+
+    def __init__(self, first: int, size: int, patience_seconds: int):
+        self.first, self.size, self.patience_ms = first, size, patience_seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._progress = handle.getValueState("progress", "next BIGINT, given BIGINT, waiting BIGINT")
+        self._waiting = handle.getMapState("waiting", "sequence BIGINT", "event_type STRING, created_at TIMESTAMP")
+        self._missed = handle.getMapState("missed", "start BIGINT", "stop BIGINT")
+
+    def handleInputRows(self, key, rows, timerValues):
+        ahead, given, waiting = self._progress.get() if self._progress.exists() else (self.first, 0, 0)
+        had, out = waiting, []
+        for row in _in_order(rows, "event_sequence").itertuples(index=False):
+            sequence, event = int(row.event_sequence), (row.event_type, _plain(row.created_at))
+            if sequence < ahead:
+                if self._fill(sequence):
+                    out.append((key[0], sequence, *event, None, None, 0, True))
+            elif sequence > ahead:
+                if not (waiting and self._waiting.containsKey((sequence,))):
+                    self._waiting.updateValue((sequence,), event)
+                    waiting += 1
+            else:
+                if waiting and self._waiting.containsKey((sequence,)):  # behind a gap that ended here
+                    self._waiting.removeKey((sequence,))
+                    waiting -= 1
+                out.append(self._row(key[0], sequence, event, given, 0))
+                ahead, given = ahead + 1, given + 1
+                ahead, given, waiting = self._drain(key[0], ahead, given, waiting, out, 0)
+        self._progress.update((ahead, given, waiting))
+        self._wait(had, waiting, timerValues)
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        ahead, given, waiting = self._progress.get()
+        out = []
+        if waiting:
+            nearest = min(k[0] for k in self._waiting.keys())
+            self._missed.updateValue((ahead,), (nearest,))
+            ahead, given, waiting = self._drain(key[0], nearest, given, waiting, out, nearest - ahead)
+            self._progress.update((ahead, given, waiting))
+            self._wait(0, waiting, timerValues)
+        yield self._frame(out)
+
+    def _drain(self, task, ahead, given, waiting, out, skipped):
+        while waiting and self._waiting.containsKey((ahead,)):
+            event = self._waiting.getValue((ahead,))
+            self._waiting.removeKey((ahead,))
+            out.append(self._row(task, ahead, (event[0], event[1]), given, skipped))
+            ahead, given, waiting, skipped = ahead + 1, given + 1, waiting - 1, 0
+        return ahead, given, waiting
+
+    def _fill(self, sequence: int) -> bool:
+        """Whether the number lies in a gap that was given up; it is then known."""
+        for start, stop in [(k[0], v[0]) for k, v in self._missed.iterator()]:
+            if start <= sequence < stop:
+                self._missed.removeKey((start,))
+                for low, high in ((start, sequence), (sequence + 1, stop)):
+                    if low < high:
+                        self._missed.updateValue((low,), (high,))
+                return True
+        return False
+
+    def _wait(self, had: int, waiting: int, timerValues) -> None:
+        timers = list(self._handle.listTimers())
+        if not waiting or not had:
+            for timer in timers:
+                self._handle.deleteTimer(timer)
+            timers = []
+        if waiting and not timers:
+            self._handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms)
+
+    def _row(self, task, sequence, event, given, skipped):
+        return (task, sequence, *event, given // self.size, given % self.size + 1, skipped, False)
+
+    def _frame(self, rows) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=self.COLUMNS)
+        return frame.astype({"batch": "Int64", "position": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
 class FailureBursts(StatefulProcessor):
     """Fixed window per client from its first attempt; a full window starts a block.
 

@@ -315,3 +315,63 @@ def test_lagging_worker_is_reported_over_many_batches(spark):
         got = live.run_available(live.stale_workers(stream), f"{root}/out", 2)
     rows = sorted((r.worker_owner, int(r.last_checked_at.timestamp()) - base, r.reason) for r in got.collect())
     assert ("B", 99, "stale") in rows and ("A", 600, "stale") not in rows
+
+
+def test_events_come_out_in_order_after_any_arrival(spark):
+    import datetime
+    import random
+
+    from cairnlens.streaming import live
+
+    root = shared_folder(spark)
+    at = datetime.datetime(2024, 1, 1)
+    schema = "task_id BIGINT, event_sequence BIGINT, event_type STRING, created_at TIMESTAMP"
+
+    def deliver(rows):
+        data = [(task, n, f"e{n}", at + datetime.timedelta(seconds=n)) for task, n in rows]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(f"{root}/log")
+
+    def run(patience):
+        stream = live.tail_events(spark, f"{root}/log", schema)
+        return live.run_available(live.ordered_batches(stream, 1, 10, patience), f"{root}/out", 2).collect()
+
+    draw = random.Random(2)
+    rows = [(task, n) for task in (1, 2) for n in range(1, 41)]
+    draw.shuffle(rows)
+    rows = [r for r in rows if r != (2, 15)]
+    deliver(rows[:30] + rows[:5])
+    first = run(3600)
+    deliver(rows[30:])
+    deliver(rows[20:40])
+    both = run(3600)
+    assert len(first) < len(both)
+    of = lambda found, task: [r for r in sorted(found, key=lambda r: (r.batch is None, r.batch, r.position)) if r.task_id == task]
+    one, two = of(both, 1), of(both, 2)
+    assert [r.event_sequence for r in one] == list(range(1, 41))
+    assert [(r.batch, r.position) for r in one] == [(i // 10, i % 10 + 1) for i in range(40)]
+    assert [r.event_sequence for r in two] == list(range(1, 15)) and not any(r.skipped or r.late for r in both)
+
+
+def test_gaps_are_given_up_after_the_patience(spark):
+    import datetime
+    import time
+
+    from cairnlens.streaming import live
+
+    root = shared_folder(spark)
+    at = datetime.datetime(2024, 1, 1)
+    schema = "task_id BIGINT, event_sequence BIGINT, event_type STRING, created_at TIMESTAMP"
+
+    def step(*numbers):
+        rows = [(1, n, "e", at) for n in numbers]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{root}/log")
+        stream = live.tail_events(spark, f"{root}/log", schema)
+        found = live.run_available(live.ordered_batches(stream, 1, 100, 1), f"{root}/out", 1).collect()
+        return sorted((r.event_sequence, r.skipped, r.late) for r in found)
+
+    step(1, 2, 6, 7)
+    time.sleep(1.5)
+    got = step(8)
+    assert got[:5] == [(1, 0, False), (2, 0, False), (6, 3, False), (7, 0, False), (8, 0, False)]
+    got = step(4, 4, 2, 9)
+    assert got == [(1, 0, False), (2, 0, False), (4, 0, True), (6, 3, False), (7, 0, False), (8, 0, False), (9, 0, False)]
