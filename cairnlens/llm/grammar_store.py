@@ -35,10 +35,12 @@ SHARD_IDS = 1 << 20
 LEAST = 4  # a pair that stands less often is no rule
 ROUNDS = 6
 SYMBOLS = 1 << 16
+MOST_RULES = 1 << 15  # of one round
 SHARE = 32
-SLOT_BITS = 20
+SLOT_BITS = 19
 HASH, SHIFT = np.uint32(0x9E3779B1), np.uint32(32 - SLOT_BITS)
 CACHED_WORDS = 1_000_000
+SLICE_BYTES = 1 << 20
 MAGIC = b"RPG1"
 
 
@@ -102,14 +104,18 @@ class WordCoder:
         for w, i in parted.items():
             self.known[w] = self.known[w[:i]] + self.known[w[i:]]
 
-    def __call__(self, text: bytes) -> bytes:
-        words = (text if b"<|" in text else text.lower()).split()
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text; words new to all of them are learnt at once."""
+        parted = [(t if b"<|" in t else t.lower()).split() for t in texts]
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        new = set(words).difference(self.known)
+        new = set().union(*parted).difference(self.known)
         if new:
             self.learn(new)
-        return b"".join(map(self.known.__getitem__, words))
+        return [b"".join(map(self.known.__getitem__, words)) for words in parted]
+
+    def __call__(self, text: bytes) -> bytes:
+        return self.encode([text])[0]
 
 
 def worker_coder(path: str | None) -> WordCoder:
@@ -156,7 +162,7 @@ def repair_pairs(ids: np.ndarray, last: np.ndarray, base: int, least: int = LEAS
     """(grammar, symbols, last) of ids below ``base``; ``last`` marks where documents end."""
     symbols, last = ids.astype(np.uint32), last.copy()
     lefts, rights, n_rules = [], [], 0
-    slot_rank = np.empty(1 << SLOT_BITS, np.int32)
+    slot_rank = np.empty(1 << SLOT_BITS, np.int16)
     for _ in range(ROUNDS):
         if len(symbols) < 2 or base + n_rules >= SYMBOLS:
             break
@@ -169,11 +175,11 @@ def repair_pairs(ids: np.ndarray, last: np.ndarray, base: int, least: int = LEAS
         frequent = np.flatnonzero(counts >= max(least, counts.max() // SHARE))
         if not len(frequent):
             break
-        frequent = frequent[np.argsort(-counts[frequent], kind="stable")][: SYMBOLS - base - n_rules]
+        frequent = frequent[np.argsort(-counts[frequent], kind="stable")][: min(SYMBOLS - base - n_rules, MOST_RULES)]
         pairs = ordered[firsts[frequent]]
         slots = pairs * HASH >> SHIFT
         slot_rank.fill(-1)
-        slot_rank[slots[::-1]] = np.arange(len(pairs) - 1, -1, -1, dtype=np.int32)  # of one slot, the most frequent
+        slot_rank[slots[::-1]] = np.arange(len(pairs) - 1, -1, -1, dtype=np.int16)  # of one slot, the most frequent
         rank = slot_rank[keys * HASH >> SHIFT]
         rank[last[:-1]] = -1
         place = np.flatnonzero(rank >= 0)
@@ -260,6 +266,19 @@ class Shard:
         return self.grammar.expand(self.symbols[first:past])[start - before : stop - before]
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
+    """(ids, texts) of ``SLICE_BYTES`` of text at a time."""
+    own, texts, size = [], [], 0
+    for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary())):
+        own.append(doc_id)
+        texts.append(text.as_py())
+        size += len(texts[-1])
+        if size >= SLICE_BYTES:
+            yield own, texts
+            own, texts, size = [], [], 0
+    yield own, texts
+
+
 def _shards(path: str | None, shard_ids: int):
     names = ["part", "number", "n_ids", "data"]
 
@@ -278,14 +297,14 @@ def _shards(path: str | None, shard_ids: int):
             )
 
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts):
-                documents.append(np.frombuffer(coder(text.as_py()) + end, "<u2"))
-                doc_ids.append(doc_id)
-                size += len(documents[-1])
-                if size >= shard_ids:
-                    yield shard()
-                    documents, doc_ids, size, number = [], [], 0, number + 1
+            for own, texts in _slices(batch):
+                for doc_id, ids in zip(own, coder.encode(texts)):
+                    documents.append(np.frombuffer(ids + end, "<u2"))
+                    doc_ids.append(doc_id)
+                    size += len(documents[-1])
+                    if size >= shard_ids:
+                        yield shard()
+                        documents, doc_ids, size, number = [], [], 0, number + 1
         if documents:
             yield shard()
 
@@ -324,33 +343,44 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def read_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids (little-endian uint32) of each document in the files.
+def read_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian uint32) of each document in the files, with
+    its place: part, number, inside."""
+    return spark.read.parquet(folder).select("part", "number", "data").mapInArrow(
+        _read, "part int, number int, doc_id long, inside long, n_tokens long, ids binary"
+    )
 
-    ``start`` counts the ids of all documents before it: those of earlier parts, one row
-    per task that wrote, then those of earlier shards of its part.
+
+def with_starts(documents: DataFrame, folder: str) -> DataFrame:
+    """``documents`` with ``start``, the number of ids of all documents before, in the
+    place of part, number and inside.
+
+    Those are the ids of earlier parts, one row per task that wrote, then of earlier
+    shards of the part, then of earlier documents of the shard. Columns that the caller
+    has dropped or made smaller before are not shuffled.
     """
-    files = spark.read.parquet(folder)
-    sizes = files.select("part", "number", "n_ids")
+    sizes = documents.sparkSession.read.parquet(folder).select("part", "number", "n_ids")
     before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select(
         "part", before(Window.orderBy("part")).alias("parts_before")
     )
     starts = sizes.select("part", "number", before(Window.partitionBy("part").orderBy("number")).alias("shards_before")).join(parts, "part")
-    documents = files.select("part", "number", "data").mapInArrow(
-        _read, "part int, number int, doc_id long, inside long, n_tokens long, ids binary"
-    )
+    rest = [c for c in documents.columns if c not in ("part", "number", "inside", "doc_id")]
     return documents.join(starts, ["part", "number"]).select(
-        "doc_id", (F.col("parts_before") + F.col("shards_before") + F.col("inside")).alias("start"), "n_tokens", "ids"
+        "doc_id", (F.col("parts_before") + F.col("shards_before") + F.col("inside")).alias("start"), *rest
     )
 
 
-def stored(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``docs`` written to files in the shared folder and read back. An empty table gives
-    no rows."""
+def read_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids of each document in the files."""
+    return with_starts(read_documents(spark, folder), folder)
+
+
+def stored_folder(docs: DataFrame, path: str | None = None) -> str:
+    """A new folder below the shared one that ``docs`` are written to. An empty table
+    gives no rows when read."""
     import uuid
 
-    spark = docs.sparkSession
-    folder = f"{shared_root(spark)}/llm-token-ids-{uuid.uuid4().hex}"
+    folder = f"{shared_root(docs.sparkSession)}/llm-token-ids-{uuid.uuid4().hex}"
     write_ids(docs, folder, path)
-    return read_ids(spark, folder)
+    return folder

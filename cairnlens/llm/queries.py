@@ -72,8 +72,9 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = grammar_store.stored(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    folder = grammar_store.stored_folder(read_table(spark, sf_dir, "documents"))
+    found = grammar_store.read_documents(spark, folder)
+    return grammar_store.with_starts(found.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), folder)
 
 
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,7 +176,7 @@ DOCS = [(5, "Hello there. Hello there!"), (1, None), (2, ""), (2, "<|endoftext|>
 @pytest.mark.parametrize("rows", [DOCS, []])
 def test_files_hold_all_documents_in_order(spark, rows):
     df = clashing(spark.createDataFrame(rows, "doc_id long, text string")).repartition(5)
-    found = store.stored(df).collect()
+    found = store.read_ids(spark, store.stored_folder(df)).collect()
     tool = store.WordCoder().tool
     want = sorted((d is not None, d or 0, tuple(tool.encode(t or "", add_special_tokens=False).ids + [2])) for d, t in rows)
     got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, tuple(np.frombuffer(r["ids"], "<u4").tolist())) for r in found)
