@@ -32,9 +32,11 @@ def _event_stream(d):
     )
 
 
-def _run(d, stream):
+def _run(d, stream, idle_batches=True):
     # one state partition per core of the cluster
-    return live.run_available(stream, state_partitions=d.spark.sparkContext.defaultParallelism)
+    return live.run_available(
+        stream, state_partitions=d.spark.sparkContext.defaultParallelism, idle_batches=idle_batches
+    )
 
 
 @query("event_tail", """
@@ -63,7 +65,7 @@ def _(d):
     dense = raw.withColumn("task_id", F.col("event_sequence") % 97).withColumn(
         "event_sequence", F.expr("event_sequence div 97 + 1")
     )
-    return _run(d, live.ordered_batches(dense)).drop("created_at")
+    return _run(d, live.ordered_batches(dense), idle_batches=False).drop("created_at")
 
 
 @query("event_dedupe", "SELECT task_id, event_sequence FROM task_events")

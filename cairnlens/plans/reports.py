@@ -153,12 +153,19 @@ def _(d):
     return out
 
 
-@query("scan_blobs")
+@query("scan_blobs", """
+WITH held AS (
+  SELECT doc_id % 64 AS blob, string_agg(text || chr(10), '' ORDER BY doc_id) AS content FROM documents GROUP BY 1)
+SELECT 'blob=' || blob AS folder, strlen(content) AS size_bytes, sha256(content) AS sha256,
+       'blobs/sha256/' || substr(sha256(content), 1, 2) || '/' || sha256(content) AS storage_key
+FROM held""")
 def _(d):
-    """Inventory of the table files themselves."""
-    files = documents.scan_blobs(d.spark, d.folder, "*.parquet")
-    return files.select(
-        text.base_name("path").alias("file_name"), "size_bytes", "sha256", "storage_key"
+    """Documents written to 64 files, one task a file, and found again."""
+    path = shared_folder(d.spark)
+    texts = d.table("documents").select("doc_id", (F.col("doc_id") % 64).alias("blob"), "text")
+    texts.repartition("blob").sortWithinPartitions("blob", "doc_id").select("blob", "text").write.partitionBy("blob").text(path)
+    return documents.scan_blobs(d.spark, path, "*.txt").select(
+        text.base_name(text.parent_path("path")).alias("folder"), "size_bytes", "sha256", "storage_key"
     )
 
 

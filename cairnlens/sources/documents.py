@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cairnlens import schemas
 from cairnlens.functions.text import storage_key
+from cairnlens.sources.blobs import BlobInventory
 
 CORRUPT = "_corrupt"
 
@@ -35,21 +35,10 @@ def scan_class_index(spark: SparkSession, path: str, one_per_file: bool = True)
 
 
 def scan_blobs(spark: SparkSession, path: str, name_filter: str = "*") -> DataFrame:
-    """Content-addressed inventory of stored files.
+    """Content-addressed inventory of stored files of any size.
 
-    The digest is taken where the file is read; the content itself never leaves that
-    task.
+    Tasks read files in blocks and keep nothing but the digest.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", name_filter)
-        .option("recursiveFileLookup", True)
-        .load(path)
-    )
-    digest = F.sha2("content", 256)
-    return files.select(
-        "path",
-        F.col("length").alias("size_bytes"),
-        F.col("modificationTime").alias("modified_at"),
-        digest.alias("sha256"),
-    ).withColumn("storage_key", storage_key("sha256"))
+    spark.dataSource.register(BlobInventory)
+    files = spark.read.format(BlobInventory.name()).option("pattern", name_filter).load(path)
+    return files.withColumn("storage_key", storage_key("sha256"))

@@ -43,19 +43,25 @@ def tail_events(
 
 
 def run_available(
-    stream: DataFrame, folder: str | None = None, state_partitions: int | None = None
+    stream: DataFrame, folder: str | None = None, state_partitions: int | None = None, idle_batches: bool = True
 ) -> DataFrame:
     """Process everything present and return what was written.
 
     ``state_partitions`` fixes the number of state partitions of a new stateful
-    stream; a restarted one keeps the number in its checkpoint.
+    stream; a restarted one keeps the number in its checkpoint. ``idle_batches``: whether
+    batches without new rows follow, which event-time results need; timers of processing
+    time would call for them without end. A stream takes a copy of the settings when it
+    starts, so they are put back at once.
     """
     spark = stream.sparkSession
     folder = folder or shared_folder(spark)
-    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    settings = {"spark.sql.streaming.noDataMicroBatches.enabled": str(idle_batches).lower()}
     if state_partitions:
-        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+        settings["spark.sql.shuffle.partitions"] = str(state_partitions)
+    usual = {key: spark.conf.get(key) for key in settings}
     try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
         query = (
             stream.writeStream.format("parquet")
             .outputMode("append")
@@ -64,9 +70,10 @@ def run_available(
             .trigger(availableNow=True)
             .start()
         )
-        query.awaitTermination()
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", usual)
+        for key, value in usual.items():
+            spark.conf.set(key, value)
+    query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 

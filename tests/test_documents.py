@@ -333,7 +333,7 @@ def test_events_come_out_in_order_after_any_arrival(spark):
 
     def run(patience):
         stream = live.tail_events(spark, f"{root}/log", schema)
-        return live.run_available(live.ordered_batches(stream, 1, 10, patience), f"{root}/out", 2).collect()
+        return live.run_available(live.ordered_batches(stream, 1, 10, patience), f"{root}/out", 2, False).collect()
 
     draw = random.Random(2)
     rows = [(task, n) for task in (1, 2) for n in range(1, 41)]
@@ -366,7 +366,7 @@ def test_gaps_are_given_up_after_the_patience(spark):
         rows = [(1, n, "e", at) for n in numbers]
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{root}/log")
         stream = live.tail_events(spark, f"{root}/log", schema)
-        found = live.run_available(live.ordered_batches(stream, 1, 100, 1), f"{root}/out", 1).collect()
+        found = live.run_available(live.ordered_batches(stream, 1, 100, 1), f"{root}/out", 1, False).collect()
         return sorted((r.event_sequence, r.skipped, r.late) for r in found)
 
     step(1, 2, 6, 7)
@@ -375,3 +375,27 @@ def test_gaps_are_given_up_after_the_patience(spark):
     assert got[:5] == [(1, 0, False), (2, 0, False), (6, 3, False), (7, 0, False), (8, 0, False)]
     got = step(4, 4, 2, 9)
     assert got == [(1, 0, False), (2, 0, False), (4, 0, True), (6, 3, False), (7, 0, False), (8, 0, False), (9, 0, False)]
+
+
+def test_blobs_are_read_in_blocks(spark, tmp_path):
+    import hashlib
+    import resource
+
+    from cairnlens.sources.blobs import BlobReader
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "empty").write_bytes(b"")
+    (tmp_path / "one").write_bytes(b"one")
+    (tmp_path / "_SUCCESS").write_bytes(b"")
+    with open(tmp_path / "large", "wb") as f:  # sparse: takes no disk
+        f.truncate((2 << 30) + 5)
+    reader = BlobReader(f"file:{tmp_path}", "*")
+    parts = reader.partitions()
+    assert sorted(len(p.paths) for p in parts) == [1, 2]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000
+    assert {r["path"].rsplit("/", 1)[1]: r["size_bytes"] for r in rows} == {"empty": 0, "one": 3, "large": (2 << 30) + 5}
+    found = documents.scan_blobs(spark, str(tmp_path / "a")).collect()
+    assert [(r.size_bytes, r.sha256) for r in found] == [(0, hashlib.sha256(b"").hexdigest())]
+    assert documents.scan_blobs(spark, str(tmp_path), "none*").count() == 0
