@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ SHARE = 32
 SLOT_BITS = 19
 HASH, SHIFT = np.uint32(0x9E3779B1), np.uint32(32 - SLOT_BITS)
 CACHED_WORDS = 1_000_000
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 4 << 20
 MAGIC = b"RPG1"
 
 
@@ -104,18 +105,31 @@ class WordCoder:
         for w, i in parted.items():
             self.known[w] = self.known[w[:i]] + self.known[w[i:]]
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text; words new to all of them are learnt at once."""
-        parted = [(t if b"<|" in t else t.lower()).split() for t in texts]
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a string array; the distinct words of all of them are
+        looked up, and learnt where they are new, once."""
+        lowered = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        parted = pc.ascii_split_whitespace(lowered)
+        coded = parted.flatten().cast(pa.binary()).dictionary_encode()
+        words, places = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        new = set().union(*parted).difference(self.known)
+        held = list(map(self.known.get, words))
+        new = {w for w, ids in zip(words, held) if ids is None}
         if new:
             self.learn(new)
-        return [b"".join(map(self.known.__getitem__, words)) for words in parted]
+            held = [self.known[w] if ids is None else ids for w, ids in zip(words, held)]
+        flat = np.frombuffer(b"".join(held), "<u2")
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // 2
+        starts = np.cumsum(sizes) - sizes
+        each = sizes[places]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        ids = flat[np.repeat(starts[places] - ends[:-1], each) + np.arange(ends[-1])]
+        bounds = ends[parted.offsets.to_numpy() - parted.offsets[0].as_py()]
+        return [ids[i:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
     def __call__(self, text: bytes) -> bytes:
-        return self.encode([text])[0]
+        return self.encode(pa.array([text.decode()], pa.string()))[0].tobytes()
 
 
 def worker_coder(path: str | None) -> WordCoder:
@@ -266,17 +280,15 @@ class Shard:
         return self.grammar.expand(self.symbols[first:past])[start - before : stop - before]
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
-    """(ids, texts) of ``SLICE_BYTES`` of text at a time."""
-    own, texts, size = [], [], 0
-    for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary())):
-        own.append(doc_id)
-        texts.append(text.as_py())
-        size += len(texts[-1])
-        if size >= SLICE_BYTES:
-            yield own, texts
-            own, texts, size = [], [], 0
-    yield own, texts
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list, pa.Array]]:
+    """(ids, texts) of about ``SLICE_BYTES`` of text at a time."""
+    sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        before = int(sizes[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, "right")))
+        yield batch.column("doc_id").slice(at, stop - at).to_pylist(), batch.column("text").slice(at, stop - at)
+        at = stop
 
 
 def _shards(path: str | None, shard_ids: int):
@@ -286,7 +298,7 @@ def _shards(path: str | None, shard_ids: int):
         from pyspark import TaskContext
 
         coder, part = worker_coder(path), TaskContext.get().partitionId()
-        end, number = struct.pack("<H", END), 0
+        end, number = np.array([END], "<u2"), 0
         documents, doc_ids, size = [], [], 0
 
         def shard():
@@ -299,7 +311,7 @@ def _shards(path: str | None, shard_ids: int):
         for batch in batches:
             for own, texts in _slices(batch):
                 for doc_id, ids in zip(own, coder.encode(texts)):
-                    documents.append(np.frombuffer(ids + end, "<u2"))
+                    documents.append(np.concatenate([ids, end]))
                     doc_ids.append(doc_id)
                     size += len(documents[-1])
                     if size >= shard_ids:
