@@ -1,23 +1,23 @@
 """Near-duplicate documents by Order MinHash and banded alignment.
 
-Equal texts are one node. Each node gets ``SKETCHES`` order-min-hash values: of the
-occurrence-labelled five-word shingles, the ``PICKED`` smallest under one hash
-function, kept in text order. Unlike plain MinHash this feels moved and repeated
-passages. Texts of at most ``SHORT`` words, of which one change can touch all
-shingles, also get a value for each text that is left when as many words are deleted
-as the similarity allows: two short texts that are similar have one of these in
-common with certainty. Nodes that share a value meet in a bucket. A bucket is not paired off: each
-node is aligned with the bucket's first node, and classes are formed. Only nodes of
-one bucket that are still in different classes are then aligned with each other, so
-no pair of a bucket that its lengths allow to be similar is left untested unless its
-nodes are already in one class.
+Equal texts are one node with a number. Each node gets ``SKETCHES`` order-min-hash
+values: of the occurrence-labelled word pairs (2-mers), the ``PICKED`` smallest under
+one hash function, kept in text order. Unlike plain MinHash this feels moved and
+repeated passages; 2-mers are left even where every fifth word is another one. Texts
+of at most ``SHORT`` words, of which one change can touch most 2-mers, also get a value
+for each text that is left when as many words are deleted as the similarity allows:
+two short texts that are similar have one of these in common with certainty. Nodes that
+share a value meet in a bucket. A bucket is not paired off: each node is aligned with
+the bucket's first node, and classes are formed. Only nodes of one bucket that are
+still in different classes are then aligned with each other, if their lengths allow
+similarity. Three 2-mers a sketch keep texts apart that share no more than a passage:
+if it fills a sixth of both, one sketch in a thousand agrees.
 
 Similarity of two texts: 1 - (word edit distance) / (words of the longer one).
 """
 
 from __future__ import annotations
 
-import functools
 import itertools
 from collections.abc import Iterator
 
@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from cairnlens.llm.common import mix, shingle_hashes, text_or_empty, word_hashes, written
 
-SHINGLE = 5
+MER = 2
 SIMILARITY = 0.8
-SKETCHES = 80  # texts of which every fifth word is replaced here and there meet with 0.95
-PICKED = 2
+SKETCHES = 40  # texts of which every fifth word is another one meet with 0.95
+PICKED = 3
 SHORT = 15
 FIRST_BAND = 8
 BATCH_CELLS = 1 << 21
@@ -51,7 +51,7 @@ def labelled(shingles: np.ndarray) -> np.ndarray:
 
 def order_min_hashes(words: np.ndarray, sketches: int = SKETCHES, picked: int = PICKED) -> np.ndarray:
     """One value per sketch; none for a text without words."""
-    keys = labelled(shingle_hashes(words, SHINGLE))
+    keys = labelled(shingle_hashes(words, MER))
     if not len(keys):
         return np.zeros(0, np.uint64)
     n = min(picked, len(keys))
@@ -66,8 +66,7 @@ def order_min_hashes(words: np.ndarray, sketches: int = SKETCHES, picked: int =
     return out
 
 
-@functools.lru_cache(maxsize=None)
-def _left_over(n: int, similarity: float) -> tuple[np.ndarray, ...]:
+def left_over(n: int, similarity: float) -> tuple[np.ndarray, ...]:
     """Places of the words that stay, one array per number of words.
 
     If the longer of two texts has m words and d changes are allowed, they have m - d
@@ -78,14 +77,20 @@ def _left_over(n: int, similarity: float) -> tuple[np.ndarray, ...]:
     return tuple(np.array(list(itertools.combinations(range(n), t)), np.int64) for t in sorted(sizes) if 0 < t <= n)
 
 
-def short_keys(words: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """Values of the parts of a short text; none for a longer one or one without words."""
+def short_keys(words: np.ndarray, similarity: float = SIMILARITY, places: dict | None = None) -> np.ndarray:
+    """Values of the parts of a short text; none for a longer one or one without words.
+
+    ``places`` keeps what ``left_over`` gave for each length.
+    """
     if not 0 < len(words) <= SHORT:
         return np.zeros(0, np.uint64)
+    places = {} if places is None else places
+    if len(words) not in places:
+        places[len(words)] = left_over(len(words), similarity)
     found = []
-    for places in _left_over(len(words), similarity):
-        out = np.full(len(places), places.shape[1], np.uint64)
-        for column in places.T:
+    for kept in places[len(words)]:
+        out = np.full(len(kept), kept.shape[1], np.uint64)
+        for column in kept.T:
             out = mix(out * np.uint64(31) + words[column])
         found.append(np.unique(out))
     return np.concatenate(found)
@@ -93,13 +98,14 @@ def short_keys(words: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
 
 def _sketched(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places: dict = {}
         with np.errstate(over="ignore"):
             for batch in batches:
                 values, counts = [], []
                 for text in batch.column("text").to_pylist():
                     words = word_hashes(text.encode("utf-8", "surrogatepass"))[0]
                     counts.append(len(words))
-                    keys = np.concatenate([order_min_hashes(words), short_keys(words, similarity)])
+                    keys = np.concatenate([order_min_hashes(words), short_keys(words, similarity, places)])
                     values.append(np.unique(keys).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("digest"), pa.array(counts, pa.int32()),
@@ -118,7 +124,7 @@ def _word_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 (word_hashes(t.encode("utf-8", "surrogatepass"))[0] >> np.uint64(32)).astype("<u4").tobytes()
                 for t in batch.column("text").to_pylist()
             ]
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(data, pa.binary())], ["digest", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(data, pa.binary())], ["node", "words"])
 
 
 def _band_distances(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> np.ndarray:
@@ -229,7 +235,7 @@ def _verified(similarity: float):
             ]
             keep = pa.array(similar(pairs, similarity))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("digest").filter(keep), batch.column("other").filter(keep)], ["digest", "other"]
+                [batch.column("node").filter(keep), batch.column("other").filter(keep)], ["node", "other"]
             )
 
     return run
@@ -242,83 +248,88 @@ def _length_allows(n: str, m: str, similarity: float) -> Column:
 
 
 def aligned(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (digest, other) that are similar."""
-    texts = pairs.join(words, "digest").join(
-        words.select(F.col("digest").alias("other"), F.col("words").alias("other_words")), "other"
-    )
-    return texts.select("digest", "other", "words", "other_words").mapInArrow(
-        _verified(similarity), "digest string, other string"
+    """The pairs (node, other) that are similar."""
+    texts = pairs.join(words, "node").join(
+        words.select(F.col("node").alias("other"), F.col("words").alias("other_words")), "other"
     )
+    return texts.select("node", "other", "words", "other_words").mapInArrow(_verified(similarity), "node long, other long")
 
 
 def classes(links: DataFrame) -> DataFrame:
-    """digest, class of the linked digests: the smallest digest that links lead to.
+    """node, class of the linked nodes: the smallest node that links lead to.
 
     Each round takes the smallest class of all neighbours, later rounds also the class
     of that class, which shortens chains. Rounds are written; the first without a
     change is the last.
     """
-    both = written(links.unionByName(links.select(F.col("other").alias("digest"), F.col("digest").alias("other"))).distinct(), "links")
-    labels = both.groupBy("digest").agg(F.least("digest", F.min("other")).alias("class"))
+    both = written(links.unionByName(links.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "links")
+    labels = both.groupBy("node").agg(F.least("node", F.min("other")).alias("class"))
     for number in itertools.count():
         if number > 2:
-            step = labels.select(F.col("digest").alias("class"), F.col("class").alias("next"))
-            labels = labels.join(step, "class").select("digest", F.col("next").alias("class"))
+            step = labels.select(F.col("node").alias("class"), F.col("class").alias("next"))
+            labels = labels.join(step, "class").select("node", F.col("next").alias("class"))
         labels = written(labels, "classes")
-        near = both.join(labels.select(F.col("digest").alias("other"), "class"), "other").select(
-            "digest", "class", F.lit(None).cast("string").alias("was")
+        near = both.join(labels.select(F.col("node").alias("other"), "class"), "other").select(
+            "node", "class", F.lit(None).cast("long").alias("was")
         )
         after = written(
-            near.unionByName(labels.withColumn("was", F.col("class"))).groupBy("digest")
+            near.unionByName(labels.withColumn("was", F.col("class"))).groupBy("node")
             .agg(F.min("class").alias("class"), F.max("was").alias("was")), "classes",
         )
-        labels = after.select("digest", "class")
+        labels = after.select("node", "class")
         if after.where("class <> was").isEmpty():
             return labels
 
 
 def assigned(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, digest, class (a digest), n_links: one row per row of ``docs``."""
+    """doc_id, digest, class (a node number), n_links: one row per row of ``docs``."""
     texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("digest", _digest("text"))
     sketched = written(
         texts.mapInArrow(_sketched(similarity), f"doc_id {dict(docs.dtypes)['doc_id']}, digest string, n int, keys array<bigint>"),
         "sketches",
     )
-    nodes = sketched.groupBy("digest").agg(F.first("keys").alias("keys"), F.first("n").alias("n"))
-    entries = nodes.select("digest", "n", F.explode("keys").alias("key"))
-    leader = F.min(F.struct("digest", "n")).alias("leader")
+    # Distinct texts are numbered once and written, so that rows that are shuffled hold
+    # a number for a text.
+    nodes = written(
+        sketched.groupBy("digest").agg(F.first("keys").alias("keys"), F.first("n").alias("n"))
+        .withColumn("node", F.monotonically_increasing_id()), "nodes",
+    )
+    entries = nodes.select("node", "n", F.explode("keys").alias("key"))
+    leader = F.min(F.struct("node", "n")).alias("leader")
     first = entries.groupBy("key").agg(leader, F.count("*").alias("size")).where("size > 1")
     met = written(entries.join(first.drop("size"), "key"), "buckets")
+    numbers = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "digest")
     words = written(
-        texts.join(met.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
-        .select("digest", "text").mapInArrow(_word_numbers, "digest string, words binary"), "words",
+        texts.dropDuplicates(["digest"]).join(numbers, "digest")
+        .select("node", "text").mapInArrow(_word_numbers, "node long, words binary"), "words",
     )
-    stars = met.where("digest <> leader.digest").where(_length_allows("n", "leader.n", similarity)).select(
-        "digest", F.col("leader.digest").alias("other")
+    stars = met.where("node <> leader.node").where(_length_allows("n", "leader.n", similarity)).select(
+        "node", F.col("leader.node").alias("other")
     ).distinct()
     links = written(aligned(stars, words, similarity), "links")
     # Buckets that still hold several classes: their nodes meet across classes.
-    marked = met.select("digest", "n", "key").join(classes(links), "digest", "left").withColumn(
-        "class", F.coalesce("class", "digest")
+    marked = met.select("node", "n", "key").join(classes(links), "node", "left").withColumn(
+        "class", F.coalesce("class", "node")
     )
     mixed = marked.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("key")
     open_ = written(marked.join(mixed, "key", "left_semi"), "open")
-    others = open_.select("key", F.col("digest").alias("other"), F.col("class").alias("other_class"), F.col("n").alias("m"))
-    tested = stars.select(F.least("digest", "other").alias("digest"), F.greatest("digest", "other").alias("other"))
+    others = open_.select("key", F.col("node").alias("other"), F.col("class").alias("other_class"), F.col("n").alias("m"))
+    tested = stars.select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other"))
     crossing = (
         open_.join(others, (open_["key"] == others["key"]) & (F.col("class") != F.col("other_class"))
-                   & (F.col("digest") < F.col("other")) & _length_allows("n", "m", similarity))
-        .select("digest", "other").distinct().join(tested, ["digest", "other"], "left_anti")
+                   & (F.col("node") < F.col("other")) & _length_allows("n", "m", similarity))
+        .select("node", "other").distinct().join(tested, ["node", "other"], "left_anti")
     )
     links = written(links.unionByName(aligned(crossing, words, similarity)), "links")
     labels = classes(links)
     degree = (
-        links.select("digest").unionByName(links.select(F.col("other").alias("digest")))
-        .groupBy("digest").agg(F.count("*").alias("n_links"))
+        links.select("node").unionByName(links.select(F.col("other").alias("node")))
+        .groupBy("node").agg(F.count("*").alias("n_links"))
     )
-    return sketched.select("doc_id", "digest").join(labels, "digest", "left").join(degree, "digest", "left").select(
-        "doc_id", "digest", F.coalesce("class", "digest").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    found = nodes.select("digest", "node").join(labels, "node", "left").join(degree, "node", "left").select(
+        "digest", F.coalesce("class", "node").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
+    return sketched.select("doc_id", "digest").join(found, "digest")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -338,17 +349,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def without_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each class: the smallest doc_id (null last), then the smallest MD5
-    of the text; of equal rows one. Columns ``_kept_id`` and ``_kept_digest`` are
-    reserved names."""
+    of the text; of equal rows one. Columns of ``docs`` may have any names."""
     found = written(assigned(docs, similarity), "assigned")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
-    keep = written(found.groupBy("class").agg(F.min(place).alias("k")).select(
-        F.col("k.doc_id").alias("_kept_id"), F.col("k.digest").alias("_kept_digest")
-    ), "kept")
-    kept = docs.join(
-        keep, docs["doc_id"].eqNullSafe(F.col("_kept_id"))
-        & (F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")) == F.col("_kept_digest")), "left_semi",
+    keep = written(found.groupBy("class").agg(F.min(place).alias("k")).select("k.doc_id", "k.digest"), "kept")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id"), _digest("text").alias("digest"))
+    kept = rows.join(
+        keep, rows["doc_id"].eqNullSafe(keep["doc_id"]) & (rows["digest"] == keep["digest"]), "left_semi"
     )
-    if found.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
-        return kept
-    return kept.withColumn("_kept_digest", _digest("text")).dropDuplicates(["doc_id", "_kept_digest"]).drop("_kept_digest")
+    if not found.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "digest"])
+    return kept.select("row.*")
