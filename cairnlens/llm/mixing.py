@@ -95,28 +95,19 @@ def leaf_budgets(leaves: DataFrame, budget: int | None, max_epochs: int, domain_
     return share(origins, ["domain", "language"], "origin").select(*LEVELS, "tokens", "part")
 
 
-def decide(
+def _decided(
     docs: DataFrame, budget: int | None = None, max_epochs: int = MAX_EPOCHS, seed: str = SEED,
     domain=default_domain, domain_weights: Mapping[str, int] = DOMAIN_WEIGHTS,
     language_weights: Mapping[str, int] = LANGUAGE_WEIGHTS,
 ) -> DataFrame:
-    """``docs`` plus a struct ``mix`` (domain, language, origin, n_tokens, part, copies).
-
-    Tokens are white-space words. ``budget`` None: as many as the table has. copies is
-    how often the mixture takes the document, 0 to ``max_epochs``: once per whole
-    epoch of its leaf, once more if it lies in the prefix of the last epoch whose
-    tokens do not exceed the rest. Order in the last epoch: MD5 of seed, epoch and
-    doc_id, then doc_id (null first), then tokens; equal rows stand or fall together.
-    Null lang and source count as empty names, null text as empty. A leaf without
-    tokens takes part with all its documents once. ``mix`` is the only added name.
-    """
+    """row (all columns of ``docs``) and mix, see ``decide``."""
     source = F.coalesce(F.col("source"), F.lit(""))
-    named = docs.withColumn("mix", F.struct(
+    named = docs.select(F.struct("*").alias("row"), F.struct(
         domain(source).alias("domain"), F.coalesce(F.col("lang"), F.lit("")).alias("language"),
         source.alias("origin"), n_words(text_or_empty()).alias("n_tokens"),
-    ))
+    ).alias("mix"))
     slim = written(named.select(
-        "doc_id", *[F.col(f"mix.{name}").alias(name) for name in LEVELS], F.col("mix.n_tokens").alias("n_tokens")
+        "row.doc_id", *[F.col(f"mix.{name}").alias(name) for name in LEVELS], F.col("mix.n_tokens").alias("n_tokens")
     ), "mix-tokens")
     leaves = written(slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), "mix-leaves")
     parts = written(leaf_budgets(leaves, budget, max_epochs, domain_weights, language_weights).select(
@@ -145,19 +136,34 @@ def decide(
     joined = named.join(ends, [F.col(f"mix.{name}") == F.col(f"_{name}") for name in LEVELS])
     own = F.struct(
         F.conv(F.substring(F.md5(F.concat_ws(
-            "|", F.lit(seed), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+            "|", F.lit(seed), F.col("epochs").cast("string"), F.coalesce(F.col("row.doc_id").cast("string"), F.lit(""))
         )), 1, ORDER_BITS // 4), 16, 10).cast("bigint").alias("place"),
-        F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), F.col("mix.n_tokens").alias("n_tokens"),
+        F.coalesce("row.doc_id", F.lit(-(1 << 63))).alias("doc_id"), F.col("mix.n_tokens").alias("n_tokens"),
     )
     inside = F.coalesce((own <= F.col("end")) & (F.col("beyond").isNull() | (own < F.col("beyond"))), F.lit(False))
     copies = (F.col("epochs") + inside.cast("bigint")).cast("int")
-    return joined.withColumn("mix", F.struct(
+    return joined.select("row", F.struct(
         *[F.col(f"mix.{name}").alias(name) for name in LEVELS], F.col("mix.n_tokens").alias("n_tokens"),
         F.col("part"), copies.alias("copies"),
-    )).select(*docs.columns, "mix")
+    ).alias("mix"))
+
+
+def decide(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` plus a struct ``mix`` (domain, language, origin, n_tokens, part, copies).
+
+    Tokens are white-space words. ``budget`` None: as many as the table has. copies is
+    how often the mixture takes the document, 0 to ``max_epochs``: once per whole
+    epoch of its leaf, once more if it lies in the prefix of the last epoch whose
+    tokens do not exceed the rest. Order in the last epoch: MD5 of seed, epoch and
+    doc_id, then doc_id (null first), then tokens; equal rows stand or fall together.
+    Null lang and source count as empty names, null text as empty. A leaf without
+    tokens takes part with all its documents once. ``mix`` is the only added name.
+    """
+    return _decided(docs, **options).select("row.*", "mix")
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mixture takes it."""
-    rows = decide(docs, **options).where("mix.copies > 0")
-    return rows.withColumn("mix", F.explode(F.sequence(F.lit(1), F.col("mix.copies")))).select(*docs.columns)
+    """The rows of ``docs``, each as often as the mixture takes it. Options and edge
+    cases: see ``decide``; columns may have any names."""
+    rows = _decided(docs, **options).where("mix.copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("mix.copies")))).select("row.*")

@@ -45,9 +45,18 @@ def encoder(path: str | None = None):
         special_tokens={SPECIAL: SPECIAL_ID},
     )
 
+    whole = []
+
     def encode(text: str) -> np.ndarray:
         special = {SPECIAL} if SPECIAL in text else set()
-        return tool.encode_to_numpy(text, allowed_special=special, disallowed_special=())
+        try:
+            return tool.encode_to_numpy(text, allowed_special=special, disallowed_special=())
+        except ValueError:  # its pattern gives up on very long runs of white space
+            if not whole:
+                from tokenizers import Tokenizer
+
+                whole.append(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
+            return np.array(whole[0].encode(text, add_special_tokens=False).ids, np.uint32)
 
     return encode
 
@@ -195,6 +204,7 @@ def sequences(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False,
     """Pieces of all documents with their sequence and place.
 
     Repeated rows are packed as documents of their own. An empty table gives no
-    rows. Only doc_id and text are read, whatever further columns are called.
+    rows. Only doc_id and text are read, whatever further columns are called. A text is
+    tokenized whole, however long; its pieces are rows of their own.
     """
     return pack(pieces(docs, capacity, with_ids, path), capacity)

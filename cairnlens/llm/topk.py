@@ -78,8 +78,11 @@ def _batches(batches: Iterator[pa.RecordBatch], ids: np.ndarray, matrix: np.ndar
         for at in range(0, whole.num_rows, step):
             batch = whole.slice(at, step)
             row_ids = batch.column("id").to_numpy()
-            s = _scores(matrix, _matrix(batch.column("v"), matrix.shape[1]))
-            yield row_ids, s, ids[:, None] != row_ids[None, :]
+            rows = _matrix(batch.column("v"), matrix.shape[1])
+            other = ids[:, None] != row_ids[None, :]
+            for i, j in zip(*np.nonzero(~other)):  # of rows with the id, the query's own has its vector
+                other[i, j] = (matrix[i] != rows[j]).any()
+            yield row_ids, _scores(matrix, rows), other
 
 
 def _extremes(ids, matrix):
@@ -130,10 +133,10 @@ def _at_least(ids, matrix, floor_, k):
                 at = np.flatnonzero(other[i] & (s[i] >= floor_[i]))
                 if len(at) > k:
                     at = at[np.lexsort((row_ids[at], -s[i][at]))[:k]]
-                found.append((np.full(len(at), ids[i]), row_ids[at], s[i][at]))
+                found.append((np.full(len(at), i), np.full(len(at), ids[i]), row_ids[at], s[i][at]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([f[j] for f in found]).astype(np.int64)) for j in range(3)],
-                ["query_id", "vec_id", "score"],
+                [pa.array(np.concatenate([f[j] for f in found]).astype(np.int64)) for j in range(4)],
+                ["q", "query_id", "vec_id", "score"],
             )
 
     return run
@@ -175,9 +178,9 @@ def _block(rows: DataFrame, queries: list, k: int) -> DataFrame:
             low[q] += r["bin"] * step[q]
             high[q] = min(high[q], low[q] + step[q] - 1)
             want[q] -= r["above"]
-    near = rows.mapInArrow(_at_least(ids, matrix, low, k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    near = rows.mapInArrow(_at_least(ids, matrix, low, k), "q long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("q")
 
 
 def search(
@@ -186,9 +189,10 @@ def search(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of ``vectors`` per query.
 
-    A row with the query's own id is no candidate. Fewer candidates than k: all of
-    them. Equal scores: the smaller id first. Null, empty-table and clashing extra
-    columns: see ``usable``; only the two named columns are read. Queries with the
+    A row with the query's own id and vector is no candidate. Queries of one id with
+    unlike vectors have a ranking each. Fewer candidates than k: all of them. Equal scores: the smaller id first. Unusable rows:
+    see ``usable``; an empty table gives no rows; only the two named columns are read,
+    whatever further ones are called. Scores beyond 64 bits are not told apart. Queries with the
     same id and vector count once.
     """
     rows = usable(vectors, id_column, vector_column)

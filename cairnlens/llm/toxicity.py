@@ -22,6 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairnlens.llm.common import fold, text_or_empty
 
@@ -98,12 +99,10 @@ def _figure_batches(model: ToxicityModel, keep: list[str]):
 
 
 def with_figures(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
-    types = dict(docs.dtypes)
-    schema = ", ".join(f"`{name}` {types[name]}" for name in keep)
     columns = keep if "text" in keep else [*keep, "text"]
-    return docs.select(*columns).mapInArrow(
-        _figure_batches(model, keep), f"{schema}, figures array<double>"
-    )
+    figures = T.StructField("figures", T.ArrayType(T.DoubleType()))
+    schema = T.StructType([*(docs.schema[name] for name in keep), figures])
+    return docs.select(*columns).mapInArrow(_figure_batches(model, keep), schema)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,6 +248,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """The rows of ``docs`` with a score below 0.5, unchanged. The column name
-    ``figures`` is reserved."""
-    return with_figures(docs, model, docs.columns).where(_value(model) < 0.5).select(*docs.columns)
+    """The rows of ``docs`` with a score below 0.5, unchanged, as often as they are given;
+    columns may have any names. An empty table stays empty."""
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    return with_figures(rows, model, ["row"]).where(_value(model) < 0.5).select("row.*")
