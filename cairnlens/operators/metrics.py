@@ -141,13 +141,11 @@ def analyzer_failure_rates(runs: DataFrame, as_of) -> DataFrame:
 
 
 def observed_analyzers(runs: DataFrame) -> DataFrame:
-    """Newest run per analyzer."""
-    newest = (
-        runs.select("id", "analyzer_name", "analyzer_version", "created_at")
-        .withColumn("analyzer_key", F.lower(trim_space("analyzer_name")))
-        .filter(F.col("analyzer_key") != "")
-    )
-    return first_per_key(newest, ["analyzer_key"], [F.desc("created_at"), F.desc("id")])
+    """Newest run per analyzer, by an aggregate that meets few rows of a name a task."""
+    named = runs.withColumn("analyzer_key", F.lower(trim_space("analyzer_name"))).filter("analyzer_key <> ''")
+    run = F.struct("id", "analyzer_name", "analyzer_version", "created_at")
+    newest = F.max_by(run, F.struct("created_at", "id")).alias("run")
+    return named.groupBy("analyzer_key").agg(newest).select("run.*", "analyzer_key")
 
 
 def latest_bundle(bundles: DataFrame) -> DataFrame:

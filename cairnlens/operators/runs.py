@@ -129,9 +129,10 @@ def finding_in_function(
     """Hits with the functions of their project that enclose their lines.
 
     Functions are listed in line bins whose size grows fourfold per level, each at the
-    level where it touches two bins at most; a hit looks into its bin of every level.
-    So hits meet only functions near them, and a range with a broken end costs two
-    rows. Ranges that end before they start enclose nothing.
+    level where it touches two bins at most; a hit looks into its bin of every level
+    that its project's functions stand on, mostly one. So hits meet only functions near
+    them, and a range with a broken end costs two rows. Ranges that end before they
+    start enclose nothing.
     """
     levels = 16  # the widest bins hold more lines than an integer counts
 
@@ -151,7 +152,8 @@ def finding_in_function(
             ))).alias("line_bin"),
         )
     )
-    looking = hits.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn(
+    used = spread.groupBy("project_id").agg(F.collect_set("level").alias("levels"))
+    looking = hits.join(used, "project_id").withColumn("level", F.explode("levels")).drop("levels").withColumn(
         "line_bin", bin_of("start_line", F.col("level"))
     )
     return (

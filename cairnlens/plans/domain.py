@@ -681,6 +681,28 @@ VIEWS: dict[str, str] = {
                  '","name":"c"},{"key":"m', p_size % 5, '","name":"',
                  CASE WHEN p_partkey % 6 = 0 THEN ' ' ELSE 'd' END, '"}]}') AS diagnostics_json
         FROM part""",
+    "checker_messages": """
+        SELECT line_key AS id, CASE l_partkey % 5 WHEN 0 THEN 'c' WHEN 1 THEN 'java' WHEN 2 THEN 'python'
+                                    WHEN 3 THEN 'diagnostic' ELSE 'other' END AS checker,
+               CASE l_suppkey % 9 WHEN 0 THEN 'cwe-78-command' WHEN 1 THEN 'java-weak-cipher'
+                    WHEN 2 THEN 'python-insecure-request' WHEN 3 THEN 'syntax_error'
+                    WHEN 4 THEN 'parser_no_ast' WHEN 5 THEN 'cwe-732-permissions' WHEN 6 THEN ''
+                    WHEN 7 THEN 'cwe-000' ELSE 'java-insecure-cookie' END AS code,
+               CASE l_linenumber % 5 WHEN 0 THEN '' WHEN 1 THEN '  ' WHEN 2 THEN concat(' line ', l_partkey, ' ')
+                    WHEN 3 THEN '使用弱加密算法' ELSE l_returnflag END AS message
+        FROM lines""",
+    "evidence_documents": """
+        SELECT line_key AS id, l_partkey AS k, l_partkey % 8 AS kind,
+               CASE l_partkey % 8
+               WHEN 0 THEN concat('{"b": 1.50, "a":"<x>&", "storage_key":"', l_partkey, '"}')
+               WHEN 1 THEN concat('[{"Pass-Word":"p","n":12345678901234567890', l_partkey, '},null, true]')
+               WHEN 2 THEN concat('{"a":', l_partkey)
+               WHEN 3 THEN '{} {}'
+               WHEN 4 THEN concat('{"k":{"API key":{"deep":1},"v":[1,2.0,1e5,', l_partkey, ']},"Secret":[]}')
+               WHEN 5 THEN concat('"text é ', l_partkey, '"')
+               WHEN 6 THEN ''
+               ELSE concat('{"z":{},"y":[ ],"é":-0.10,"Z":', l_partkey, '}') END AS document
+        FROM lines""",
     "source_files": """
         SELECT p_partkey AS file_id,
                CASE p_partkey % 3 WHEN 0 THEN 'c' WHEN 1 THEN 'java' ELSE 'python' END AS language,

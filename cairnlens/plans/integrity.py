@@ -15,20 +15,29 @@ AS_OF = "1999-06-15 00:00:00"
 NOW = f"TIMESTAMP '{AS_OF}'"
 
 
-BUSY_JOBS = ['leased', 'running', 'cancel_requested']
-SETTLED = f"CASE status WHEN 'completed' THEN true WHEN 'cleaning' THEN lease_until > {NOW} ELSE false END"
+# --- fixed values: states that keep a task, its sample or an upload -----------------
+FINISHED_TASKS = "('SUCCEEDED', 'PARTIAL_SUCCEEDED', 'FAILED', 'CANCELLED')"
+RUNNING_JOBS = "('leased', 'running', 'cancel_requested')"
+OPEN_JOBS = "('queued', 'leased', 'running', 'cancel_requested')"
+OPEN_REPORTS = "('queued', 'generating')"
+OPEN_WORK = "('queued', 'running')"
+OPEN_ENTRIES = "('eligible', 'failed')"
+OPEN_DELETIONS = "('pending', 'cancelling', 'deleting', 'failed')"
+# --- end of fixed values
+
+SETTLED = f"status = 'completed' OR status = 'cleaning' AND lease_until > {NOW}"
 
 
 @query("expired_samples", f"""
 WITH busy AS (
-  SELECT task_id FROM jobs WHERE list_contains({BUSY_JOBS}, status)
-  UNION SELECT task_id FROM jobs WHERE (status, kind <> 'decompile') = ('queued', true)
-  UNION SELECT task_id FROM reports WHERE list_contains(['queued', 'generating'], status)
-  UNION SELECT task_id FROM decompile_results WHERE list_contains(['queued', 'running'], status)
+  SELECT task_id FROM jobs WHERE status IN {RUNNING_JOBS}
+  UNION SELECT task_id FROM jobs WHERE status = 'queued' AND kind <> 'decompile'
+  UNION SELECT task_id FROM reports WHERE status IN {OPEN_REPORTS}
+  UNION SELECT task_id FROM decompile_results WHERE status IN {OPEN_WORK}
   UNION SELECT task_id FROM retention_operations WHERE {SETTLED}
 ), due AS (
-  SELECT id FROM tasks WHERE list_contains(['SUCCEEDED', 'PARTIAL_SUCCEEDED', 'FAILED', 'CANCELLED'], status)
-  INTERSECT SELECT id FROM tasks WHERE coalesce(sample_deleted_at, deleted_at) IS NULL
+  SELECT id FROM tasks WHERE status IN {FINISHED_TASKS}
+  INTERSECT SELECT id FROM tasks WHERE sample_deleted_at IS NULL AND deleted_at IS NULL
   INTERSECT SELECT id FROM tasks WHERE sample_expires_at <= {NOW}
   EXCEPT SELECT task_id FROM busy
 )
@@ -41,11 +50,10 @@ def _(d):
 
 @query("ready_for_deletion", f"""
 WITH busy AS (
-  SELECT task_id FROM jobs WHERE list_contains({['queued'] + BUSY_JOBS}, status)
+  SELECT task_id FROM jobs WHERE status IN {OPEN_JOBS}
   UNION SELECT jobs.task_id FROM jobs SEMI JOIN job_slots ON job_slots.job_id = jobs.id
-  UNION SELECT task_id FROM reports WHERE list_contains(['queued', 'generating'], status)
-  UNION SELECT task_id FROM project_deletions
-        WHERE list_contains(['pending', 'cancelling', 'deleting', 'failed'], status)
+  UNION SELECT task_id FROM reports WHERE status IN {OPEN_REPORTS}
+  UNION SELECT task_id FROM project_deletions WHERE status IN {OPEN_DELETIONS}
   UNION SELECT task_id FROM deletion_operations WHERE {SETTLED}
 ), free AS (
   SELECT id FROM tasks WHERE deleted_at IS NULL AND status = 'DELETING' EXCEPT SELECT task_id FROM busy
@@ -57,26 +65,34 @@ def _(d):
     ).select("id", "updated_at")
 
 
-@query("uploads_without_task", """
-SELECT u.id, p.input_category, p.detected_format FROM uploads u
-JOIN intake_profiles p ON p.upload_id = u.id JOIN blobs b ON b.id = u.blob_id
-WHERE u.status = 'completed' AND p.source_kind = 'direct' AND p.validation_status = 'valid'
-  AND p.input_category IN ('binary', 'container') AND p.detected_category = p.input_category
-  AND p.detected_format IS NOT NULL AND b.state = 'available'
-  AND NOT EXISTS (SELECT 1 FROM tasks t WHERE t.upload_id = u.id)""")
+# Completed uploads with what their intake found; usable ones can still be worked on.
+PROFILE = """profile AS (
+  SELECT u.id, p.source_kind, p.input_category, p.source_parent_upload_id, p.source_entry_path,
+         p.source_archive_name, p.archive_import_id, p.detected_format, u.declared_size_bytes,
+         u.actual_sha256, u.blob_id, p.validation_status = 'valid' AS valid,
+         p.validation_status = 'valid' AND p.source_kind = 'direct' AND b.state = 'available'
+           AND p.detected_format IS NOT NULL AND p.detected_category = p.input_category AS usable
+  FROM uploads u JOIN intake_profiles p ON p.upload_id = u.id LEFT JOIN blobs b ON b.id = u.blob_id
+  WHERE u.status = 'completed'
+)"""
+
+
+@query("uploads_without_task", f"""
+WITH {PROFILE}, open AS (
+  SELECT id FROM profile WHERE usable AND input_category <> 'archive' EXCEPT SELECT upload_id FROM tasks
+)
+SELECT id, input_category, detected_format FROM open JOIN profile USING (id)
+WHERE input_category IN ('binary', 'container')""")
 def _(d):
     return retention.unclaimed_uploads(d.uploads, d.intake_profiles, d.blobs, d.tasks).select(
         "id", "input_category", "detected_format"
     )
 
 
-@query("archives_without_import", """
-SELECT u.id, p.detected_format, u.actual_sha256 FROM uploads u
-JOIN intake_profiles p ON p.upload_id = u.id JOIN blobs b ON b.id = u.blob_id
-WHERE u.status = 'completed' AND p.source_kind = 'direct' AND p.validation_status = 'valid'
-  AND p.input_category = 'archive' AND p.detected_category = 'archive'
-  AND p.detected_format IS NOT NULL AND p.archive_import_id IS NULL
-  AND u.actual_sha256 IS NOT NULL AND b.state = 'available'""")
+@query("archives_without_import", f"""
+WITH {PROFILE}
+SELECT id, detected_format, actual_sha256 FROM profile
+WHERE usable AND input_category = 'archive' AND archive_import_id IS NULL AND actual_sha256 IS NOT NULL""")
 def _(d):
     return retention.archives_without_import(d.uploads, d.intake_profiles, d.blobs).select(
         "id", "detected_format", "actual_sha256"
@@ -84,24 +100,16 @@ def _(d):
 
 
 @query("expired_uploads", f"""
-WITH profile AS (
-  SELECT u.id, p.source_kind, p.input_category, p.source_parent_upload_id, p.source_entry_path,
-         p.source_archive_name, p.archive_import_id, p.detected_format, u.declared_size_bytes,
-         u.actual_sha256, u.blob_id, p.validation_status = 'valid' AS valid,
-         p.validation_status = 'valid' AND p.source_kind = 'direct' AND b.state = 'available'
-           AND p.detected_format IS NOT NULL AND p.detected_category = p.input_category AS usable
-  FROM uploads u JOIN intake_profiles p ON p.upload_id = u.id LEFT JOIN blobs b ON b.id = u.blob_id
-  WHERE u.status = 'completed'
-), open_entry AS (
+WITH {PROFILE}, open_entry AS (
   SELECT e.*, a.upload_id AS parent_id, parent.display_name AS parent_name
   FROM archive_import_entries e LEFT JOIN archive_imports a ON a.id = e.archive_import_id
   LEFT JOIN uploads parent ON parent.id = a.upload_id
-  WHERE list_contains(['eligible', 'failed'], e.status)
+  WHERE e.status IN {OPEN_ENTRIES}
 ), running AS (
   SELECT id AS archive_import_id, upload_id FROM archive_imports
-  WHERE list_contains(['queued', 'running'], status)
+  WHERE status IN {OPEN_WORK}
 ), kept AS (
-  (SELECT id FROM profile WHERE usable AND list_contains(['binary', 'container'], input_category)
+  (SELECT id FROM profile WHERE usable AND input_category IN ('binary', 'container')
    EXCEPT SELECT upload_id FROM tasks)
   UNION SELECT id FROM profile WHERE usable AND input_category = 'archive' AND archive_import_id IS NULL
   UNION SELECT p.id FROM profile p JOIN running r

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairnlens import vocab
-from cairnlens.functions import text
+from cairnlens.functions import report_text, text
 from cairnlens.operators import nested, reports
 from cairnlens.plans.registry import query
 from cairnlens.session import shared_folder
@@ -95,10 +95,22 @@ def _(d):
     return sinks.snapshot_counts(_records(d), 6)
 
 
-@query("write_snapshot", f"SELECT task_id, section, records FROM ({SNAPSHOT})")
+PARTS = """
+SELECT task_id, 'findings' AS section, record, row_number() OVER (PARTITION BY task_id ORDER BY id) - 1 AS position
+FROM (SELECT task_id, id, concat('{"id":"', id, '","severity":"', severity, '","vulnerability_id":"', vulnerability_id, '"}') AS record
+      FROM vulnerability_findings)
+UNION ALL
+SELECT task_id, 'failed', record, row_number() OVER (PARTITION BY task_id ORDER BY id) - 1
+FROM (SELECT task_id, id, concat('{"id":', id, ',"status":"', status, '"}') AS record
+      FROM analyzer_runs WHERE status IN ('failed', 'timed_out'))"""
+
+
+@query("write_snapshot", f"""
+SELECT task_id, section, (position // 3)::INTEGER AS part, concat('[', string_agg(record, ',' ORDER BY position), ']') AS records
+FROM ({PARTS}) GROUP BY ALL""")
 def _(d):
     path = shared_folder(d.spark)
-    sinks.write_snapshot(sinks.snapshot_documents(_records(d)), path)
+    sinks.write_snapshot(sinks.snapshot_documents(_records(d), part_records=3), path)
     return sinks.stored_snapshot(d.spark, path)
 
 
@@ -132,12 +144,21 @@ def _(d):
     rows = sinks.event_rows(
         d.tasks.filter("deleted_at IS NULL"), "task.updated", "Updated.", "1999-06-15 00:00:00"
     )
-    sinks.append_events(rows, path)
-    return d.spark.read.schema(rows.schema).parquet(path).select(
+    for _ in range(2):  # the second time must change nothing
+        sinks.append_events(rows, path, "updated")
+    return sinks.stored_events(d.spark, path, rows.schema).select(
         "task_id", "event_sequence", "event_type", "severity"
     )
 
 
+@query("numbered_events", """
+SELECT a.task_id, a.id, a.status, coalesce(e.last, 0) + row_number() OVER (PARTITION BY a.task_id ORDER BY a.id) AS event_sequence
+FROM analyzer_runs a LEFT JOIN (SELECT task_id, max(event_sequence) AS last FROM task_events GROUP BY 1) e ON e.task_id = a.task_id""")
+def _(d):
+    """Each analyzer run as a further event of its task."""
+    return sinks.numbered_events(d.analyzer_runs.select("task_id", "id", "status"), d.task_events, ["id"])
+
+
 @query("scan_table", """
 SELECT 'lineitem' AS table_name, count(*) AS row_count, sum(l_partkey)::BIGINT AS key_sum FROM lineitem
 UNION ALL SELECT 'orders', count(*), sum(o_orderkey)::BIGINT FROM orders
@@ -250,3 +271,39 @@ def _(d):
         "class_key", F.col("method_key").cast("int").alias("method_number"), "name",
         F.col("code.offset_bytes").alias("offset_bytes"),
     )
+
+
+_TITLES = ", ".join(
+    f"('{checker}', '{code}', '{title}')" for checker, pairs in vocab.MESSAGE_TITLES.items() for code, title in pairs
+)
+
+
+@query("display_messages", f"""
+SELECT m.id, CASE WHEN t.title IS NULL THEN m.message WHEN trim(m.message) IN ('', t.title) THEN t.title
+                  ELSE t.title || ' — ' || trim(m.message) END AS message
+FROM checker_messages m LEFT JOIN (VALUES {_TITLES}) t(checker, code, title) ON t.checker = m.checker AND t.code = m.code""")
+def _(d):
+    return d.checker_messages.select("id", report_text.display_message("checker", "code", "message").alias("message"))
+
+
+@query("clean_report_json", r"""
+SELECT id, CASE kind WHEN 0 THEN '{"a":"\u003cx\u003e\u0026","b":1.50}'
+                     WHEN 1 THEN '[{"n":12345678901234567890' || k || '},null,true]'
+                     WHEN 4 THEN '{"k":{"v":[1,2.0,1e5,' || k || ']}}'
+                     WHEN 5 THEN '"text é ' || k || '"'
+                     WHEN 7 THEN '{"Z":' || k || ',"y":[],"z":{},"é":-0.10}' ELSE 'null' END AS document
+FROM evidence_documents""")
+def _(d):
+    return d.evidence_documents.select("id", report_text.clean_json("document").alias("document"))
+
+
+@query("readable_report_json", r"""
+SELECT id, replace(CASE kind WHEN 0 THEN '{|  "b": 1.50,|  "a": "<x>&",|  "storage_key": "' || k || '"|}'
+                     WHEN 1 THEN '[|  {|    "Pass-Word": "p",|    "n": 12345678901234567890' || k || '|  },|  null,|  true|]'
+                     WHEN 4 THEN '{|  "k": {|    "API key": {|      "deep": 1|    },|    "v": [|      1,|      2.0,|      1e5,|      '
+                                 || k || '|    ]|  },|  "Secret": []|}'
+                     WHEN 5 THEN '"text é ' || k || '"'
+                     WHEN 7 THEN '{|  "z": {},|  "y": [],|  "é": -0.10,|  "Z": ' || k || '|}' ELSE 'null' END, '|', chr(10)) AS document
+FROM evidence_documents""")
+def _(d):
+    return d.evidence_documents.select("id", report_text.readable_json("document").alias("document"))

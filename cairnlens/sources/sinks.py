@@ -5,16 +5,19 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnlens.functions.keyed import numbered
 from cairnlens.functions.predicates import event_severity, instant
 from cairnlens.operators.nested import event_payload
+from cairnlens.session import shared_folder
 
 BUCKET = "run_bucket"
 LIST = "buckets-"
 SPREAD = 64  # tasks that may share the rows of one bucket
 PART_RECORDS = 20000
+BATCH, DONE = "batch", "_SUCCESS"
 
 
 def replace_findings(
@@ -99,28 +102,63 @@ def event_rows(tasks: DataFrame, event_type: str, message: str, now) -> DataFram
     )
 
 
-def append_events(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+def append_events(rows: DataFrame, path: str, batch: str) -> None:
+    """Append the rows of one batch; repeating the call with its name changes nothing.
+
+    A batch has a folder of its own, which counts from its completion mark on. One that
+    was left unfinished is written anew.
+    """
+    folder = f"{path}/{BATCH}={batch}"
+    if DONE not in _names(rows.sparkSession, folder):
+        rows.write.mode("overwrite").parquet(folder)
+
+
+def stored_events(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The rows of all batches that were written to their end."""
+    folders = [f"{path}/{n}" for n in _names(spark, path) if n.startswith(f"{BATCH}=")]
+    whole = [f for f in folders if DONE in _names(spark, f)]
+    return spark.read.schema(schema).parquet(*whole) if whole else spark.createDataFrame([], schema)
+
+
+def append_stream(stream: DataFrame, path: str, checkpoint: str):
+    """Append a stream's micro-batches; one that is run again after a failure is not
+    appended twice. Returns the started query, which ends with the data present."""
+    return (
+        stream.writeStream.foreachBatch(lambda rows, number: append_events(rows, path, f"{number:012d}"))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def numbered_events(new: DataFrame, stored: DataFrame, order: list[str]) -> DataFrame:
+    """``new`` events, any number a task, with the sequence numbers that follow the
+    stored ones of their task, in ``order``."""
+    last = stored.groupBy("task_id").agg(F.max("event_sequence").alias("_last"))
+    counted = numbered(new, "task_id", order, "_at", shared_folder(new.sparkSession))
+    return counted.join(last, "task_id", "left").withColumn(
+        "event_sequence", F.coalesce("_last", F.lit(0)) + F.col("_at") + 1
+    ).drop("_last", "_at")
 
 
 def snapshot_records(sections: dict[str, tuple[DataFrame, list[Column]]]) -> DataFrame:
     """Records of all report sections as (task_id, section, position, JSON).
 
     ``sections`` maps a name to its rows (with ``task_id``) and their order columns, of
-    any number and type; position counts a task's records of the section from 0.
+    any number and type; position counts a task's records of the section from 0. A task
+    with most of a section's rows is numbered by many tasks of the job.
     """
     parts = []
     for name, (df, order) in sections.items():
         fields = [column for column in df.columns if column != "task_id"]
-        place = F.row_number().over(Window.partitionBy("task_id").orderBy(*order)) - 1
-        parts.append(
-            df.select(
-                "task_id",
-                F.lit(name).alias("section"),
-                place.alias("position"),
-                F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("record"),
-            )
+        places = [f"_order{i}" for i in range(len(order))]
+        rows = df.select(
+            "task_id",
+            F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("record"),
+            *[column.alias(place) for column, place in zip(order, places)],
         )
+        counted = numbered(rows, "task_id", places, "position", shared_folder(df.sparkSession))
+        parts.append(counted.select("task_id", F.lit(name).alias("section"), "position", "record"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -156,10 +194,7 @@ def write_snapshot(documents: DataFrame, path: str) -> None:
 
 
 def stored_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """task_id, section, records: each section whole, its parts joined in order."""
-    stored = spark.read.schema("task_id BIGINT, part INT, records STRING, section STRING").json(path)
-    inner = F.expr("substring(records, 2, char_length(records) - 2)")
-    parts = F.array_sort(F.collect_list(F.struct("part", inner.alias("inner"))))
-    return stored.groupBy("task_id", "section").agg(
-        F.concat(F.lit("["), F.array_join(F.transform(parts, lambda p: p["inner"]), ","), F.lit("]")).alias("records")
+    """task_id, section, part, records: the parts of each section, from 0."""
+    return spark.read.schema("task_id BIGINT, part INT, records STRING, section STRING").json(path).select(
+        "task_id", "section", "part", "records"
     )

@@ -218,13 +218,63 @@ def test_snapshot_keeps_all_records_in_typed_order(spark):
     assert got == {(1, 0): '[{"id":9},{"id":10}]', (1, 1): '[{"id":11}]', (2, 0): '[{"id":9}]'}
 
 
-def test_stored_snapshot_joins_all_parts(spark, tmp_path):
+def test_stored_snapshot_gives_all_parts(spark, tmp_path):
     rows = spark.createDataFrame([(1, i) for i in range(25)] + [(2, 9)], "task_id BIGINT, id INT")
     records = sinks.snapshot_records({"s": (rows, [F.col("id")])})
-    sinks.write_snapshot(sinks.snapshot_documents(records, 2), str(tmp_path / "parts"))
-    got = {(r.task_id, r.section): r.records for r in sinks.stored_snapshot(spark, str(tmp_path / "parts")).collect()}
-    whole = "[" + ",".join(f'{{"id":{i}}}' for i in range(25)) + "]"
-    assert got == {(1, "s"): whole, (2, "s"): '[{"id":9}]'}
+    sinks.write_snapshot(sinks.snapshot_documents(records, 10), str(tmp_path / "parts"))
+    got = {(r.task_id, r.section, r.part): json.loads(r.records) for r in sinks.stored_snapshot(spark, str(tmp_path / "parts")).collect()}
+    assert {k: len(v) for k, v in got.items()} == {(1, "s", 0): 10, (1, "s", 1): 10, (1, "s", 2): 5, (2, "s", 0): 1}
+    assert [r["id"] for part in range(3) for r in got[1, "s", part]] == list(range(25))
+
+
+def test_rows_of_a_hot_key_are_numbered_by_many_tasks(spark):
+    from cairnlens.functions.keyed import numbered
+
+    rows = [(1, i % 500, str(i)) for i in range(4000)] + [(k, 0, "x") for k in range(2, 30)] + [(None, None, None), (None, 3, "")]
+    df = spark.createDataFrame(rows, "k INT, a INT, b STRING").repartition(7)
+    folder = shared_folder(spark)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = numbered(df, "k", ["a", "b"], "n", folder).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    hot = sorted((r.n, r.a, r.b) for r in got if r.k == 1)
+    assert [n for n, _, _ in hot] == list(range(4000))
+    assert [(a, b) for _, a, b in hot] == sorted((r[1], r[2]) for r in rows if r[0] == 1)
+    assert sorted(r.n for r in got if r.k is None) == [0, 1] and len(got) == len(rows)
+    parts = spark.read.parquet(folder).filter("k = 1").groupBy("_part").count().collect()
+    assert len(parts) > 1 and max(r["count"] for r in parts) < 4000
+
+
+def test_events_are_appended_once(spark, tmp_path):
+    path, schema = str(tmp_path / "log"), "task_id BIGINT, event_sequence BIGINT"
+    first = spark.createDataFrame([(1, 1), (1, 2), (2, 7)], schema)
+    for _ in range(2):
+        sinks.append_events(first, path, "a")
+    (tmp_path / "log" / "batch=broken").mkdir()
+    first.coalesce(1).write.parquet(f"{path}/batch=half")
+    for name in (tmp_path / "log" / "batch=half").iterdir():
+        if name.name in ("_SUCCESS", "._SUCCESS.crc"):
+            name.unlink()  # as if the writer had been lost
+    stored = sinks.stored_events(spark, path, schema)
+    assert sorted(stored.collect()) == [(1, 1), (1, 2), (2, 7)]
+    new = spark.createDataFrame([(1, "b"), (1, "a"), (3, "a")], "task_id BIGINT, name STRING")
+    more = sinks.numbered_events(new, stored, ["name"])
+    assert sorted((r.task_id, r.name, r.event_sequence) for r in more.collect()) == [(1, "a", 3), (1, "b", 4), (3, "a", 1)]
+    sinks.append_events(more.select("task_id", "event_sequence"), path, "half")
+    assert sinks.stored_events(spark, path, schema).count() == 6
+    assert sinks.stored_events(spark, str(tmp_path / "none"), schema).count() == 0
+
+
+def test_micro_batches_are_appended_once(spark, tmp_path):
+    from cairnlens.streaming import live
+
+    source, path, schema = str(tmp_path / "in"), str(tmp_path / "log"), "task_id BIGINT, event_sequence BIGINT"
+    for n in range(2):
+        spark.createDataFrame([(n, 1), (n, 2)], schema).coalesce(1).write.mode("append").parquet(source)
+        for checkpoint in ("c1", "c2"):  # a lost checkpoint runs the same batches again
+            sinks.append_stream(live.tail_events(spark, source, schema), path, str(tmp_path / checkpoint)).awaitTermination()
+    assert sorted(sinks.stored_events(spark, path, schema).collect()) == [(0, 1), (0, 2), (1, 1), (1, 2)]
 
 
 def test_redaction_reaches_into_arrays(spark):
@@ -399,3 +449,45 @@ def test_blobs_are_read_in_blocks(spark, tmp_path):
     found = documents.scan_blobs(spark, str(tmp_path / "a")).collect()
     assert [(r.size_bytes, r.sha256) for r in found] == [(0, hashlib.sha256(b"").hexdigest())]
     assert documents.scan_blobs(spark, str(tmp_path), "none*").count() == 0
+
+
+CLEANED = [
+    ('{"b":2,"a":{"Storage_Key":"x","api key":1,"ok":[{"PASS-PHRASE":1,"é":null}]}}', '{"a":{"ok":[{"é":null}]},"b":2}'),
+    ('{"n":1.500,"big":123456789012345678901234567890,"e":1E+5}', '{"big":123456789012345678901234567890,"e":1E+5,"n":1.500}'),
+    ('{"a":1,"a":2}', '{"a":2}'), ('"<\u2028\ud800\t"', '"\\u003c\\u2028\ufffd\\t"'), (" [ ] ", "[]"), ("-0", "-0"),
+    ("[" * 32 + "1" + "]" * 32, "[" * 32 + "1" + "]" * 32), ("[" * 33 + "1" + "]" * 33, "null"), ("[" * 5000, "null"),
+    ('["' + "x" * 65536 + '"]', '["' + "x" * 65536 + '"]'), ('["' + "x" * 65537 + '"]', "null"),
+    ('["' + "x" * (1 << 20) + '"]', "null"), ("[" + ",".join("1" * 10001) + "]", "null"), ("NaN", "null"), ("{} {}", "null"),
+    ("", "null"), (None, "null"), ("{'a':1}", "null"), ('{"' + "k" * 1025 + '":1}', "null"),
+]
+
+
+def test_report_json_is_cleaned(spark):
+    from cairnlens.functions.report_text import clean_json
+
+    texts = [t.replace("\u2028", "\\u2028").replace("\ud800", "\\ud800").replace("\t", "\\t") if t else t for t, _ in CLEANED]
+    df = spark.createDataFrame(list(enumerate(texts)), "id INT, t STRING").select("id", clean_json("t").alias("c"))
+    got = {r.id: r.c for r in df.collect()}
+    assert [got[i] for i in range(len(CLEANED))] == [want for _, want in CLEANED]
+    assert df.select(clean_json(F.lit("x"), "[]")).first()[0] == "[]"
+
+
+def test_report_json_is_indented(spark):
+    from cairnlens.functions.report_text import readable_json
+
+    texts = ['{"b":[1,{"x":"a,{\\"}b"}],"a":{}}', '[[],{"k":[[]]}]', " 1.50 ", "tru", None, '"a:b"']
+    want = ['{\n  "b": [\n    1,\n    {\n      "x": "a,{\\"}b"\n    }\n  ],\n  "a": {}\n}',
+            '[\n  [],\n  {\n    "k": [\n      []\n    ]\n  }\n]', "1.50", "null", "null", '"a:b"']
+    df = spark.createDataFrame(list(enumerate(texts)), "id INT, t STRING")
+    got = {r.id: r.c for r in df.select("id", readable_json("t").alias("c")).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_messages_get_titles(spark):
+    from cairnlens.functions.report_text import display_message
+
+    rows = [("c", "cwe-78-command", " system() "), ("c", "cwe-78-command", " "), ("java", "cwe-78-command", " as is "),
+            ("diagnostic", "parser_no_ast", "解析器未生成语法树"), ("python", None, "m"), (None, "x", None)]
+    df = spark.createDataFrame(rows, "checker STRING, code STRING, message STRING")
+    got = [r[0] for r in df.select(display_message("checker", "code", "message")).collect()]
+    assert got == ["命令注入风险（外部输入未净化） — system()", "命令注入风险（外部输入未净化）", " as is ", "解析器未生成语法树", "m", ""]
