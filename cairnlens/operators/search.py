@@ -304,44 +304,72 @@ def image_structures(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _cut_from(functions: DataFrame, sources: DataFrame, first: str, last: str, cut) -> DataFrame:
-    """Each function's part of its project's source.
+CHUNK_BYTES = 1 << 20
+CHUNK_LINES = 4096
 
-    A project's ranges are gathered first, so its source is met once, however many
-    functions it has; their ranges are small beside the source they are cut from.
+
+def _assembled(ranges: DataFrame, chunks: DataFrame, size: int, cut, joined: str) -> DataFrame:
+    """project_id, result_id, fragment: the ranges (first, count) put together from the
+    chunks they touch.
+
+    A range meets chunk 0 besides, of which it may take nothing, so that one that lies
+    behind the source gives an empty fragment. ``cut(start, count)`` is a chunk's part.
     """
-    ranges = functions.groupBy("project_id").agg(
-        F.collect_list(F.struct("result_id", F.col(first).alias("a"), F.col(last).alias("b"))).alias("_ranges")
-    )
-    met = ranges.join(sources, "project_id")
-    parts = F.transform(
-        "_ranges", lambda r: F.struct(r["result_id"].alias("result_id"), cut(r["a"], r["b"]).alias("fragment"))
+    chunk = lambda at: F.floor(at / F.lit(size)).cast("int")
+    last = F.col("first") + F.greatest(F.col("count"), F.lit(1)) - 1
+    touched = F.array_union(F.array(F.lit(0)), F.sequence(chunk(F.col("first")), chunk(last)))
+    met = ranges.withColumn("_range", F.monotonically_increasing_id()).withColumn(
+        "chunk", F.explode(touched)
+    ).join(chunks, ["project_id", "chunk"])
+    start = F.greatest(F.col("first") - F.col("chunk") * size, F.lit(0))
+    stop = F.least(F.col("first") + F.col("count") - F.col("chunk") * size, F.lit(size))
+    parts = met.select(
+        "project_id", "result_id", "_range", "chunk",
+        F.when(stop > start, cut(start.cast("int"), (stop - start).cast("int"))).alias("part"),
     )
-    return met.select("project_id", F.inline(parts))
+    return parts.groupBy("project_id", "result_id", "_range").agg(
+        F.expr(f"listagg(part, {joined}) WITHIN GROUP (ORDER BY chunk)").alias("fragment")
+    ).drop("_range")
 
 
-def source_fragments(functions: DataFrame, sources: DataFrame) -> DataFrame:
+def source_fragments(functions: DataFrame, sources: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Bytes of each function cut from its project's canonical source.
 
-    ``sources`` holds (project_id, content BINARY).
+    ``sources`` holds (project_id, content BINARY). Sources are cut into chunks, and
+    functions meet only those they touch, so no row holds a whole source or all the
+    functions of a project.
     """
-    def cut(offset: Column, length: Column) -> Column:
-        return F.substring(F.col("content"), offset.cast("int") + 1, length.cast("int"))
-
-    return _cut_from(functions, sources, "offset_bytes", "length_bytes", cut)
+    number = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.octet_length("content") / chunk_bytes), F.lit(1)).cast("int") - 1))
+    chunks = sources.select("project_id", "content", number.alias("chunk")).select(
+        "project_id", "chunk", F.substring(F.col("content"), F.col("chunk") * chunk_bytes + 1, F.lit(chunk_bytes)).alias("piece")
+    )
+    ranges = functions.select("project_id", "result_id", F.col("offset_bytes").alias("first"), F.col("length_bytes").alias("count"))
+    found = _assembled(
+        ranges, chunks, chunk_bytes, lambda start, count: F.substring(F.col("piece"), start + 1, count), "X''"
+    )
+    return found.withColumn("fragment", F.coalesce("fragment", F.lit("").cast("binary")))
 
 
-def source_line_slices(functions: DataFrame, sources: DataFrame) -> DataFrame:
-    """Lines of each function cut from its project's text.
+def source_line_slices(functions: DataFrame, sources: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    """Lines of each function cut from its project's text, which is met in chunks of
+    lines.
 
     ``sources`` holds (project_id, text); lines count from 1, both ends inclusive.
     """
-    lines = sources.select("project_id", F.split("text", "\n").alias("_lines"))
-
-    def cut(start: Column, end: Column) -> Column:
-        return F.array_join(F.slice(F.col("_lines"), start, end - start + 1), "\n")
+    number = F.explode(F.sequence(F.lit(0), F.floor((F.size("_lines") - 1) / chunk_lines).cast("int")))
+    chunks = sources.select("project_id", F.split("text", "\n").alias("_lines")).select("project_id", "_lines", number.alias("chunk")).select(
+        "project_id", "chunk", F.slice("_lines", F.col("chunk") * chunk_lines + 1, F.lit(chunk_lines)).alias("piece")
+    )
+    ranges = functions.select(
+        "project_id", "result_id", (F.col("start_line") - 1).alias("first"),
+        (F.col("end_line") - F.col("start_line") + 1).alias("count"),
+    )
+    def cut(start: Column, count: Column) -> Column:
+        taken = F.slice(F.col("piece"), start + 1, count)
+        return F.when(F.size(taken) > 0, F.array_join(taken, "\n"))
 
-    return _cut_from(functions, lines, "start_line", "end_line", cut)
+    found = _assembled(ranges, chunks, chunk_lines, cut, "'\\n'")
+    return found.withColumn("fragment", F.coalesce("fragment", F.lit("")))
 
 
 def _scalars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -491,3 +491,22 @@ def test_messages_get_titles(spark):
     df = spark.createDataFrame(rows, "checker STRING, code STRING, message STRING")
     got = [r[0] for r in df.select(display_message("checker", "code", "message")).collect()]
     assert got == ["命令注入风险（外部输入未净化） — system()", "命令注入风险（外部输入未净化）", " as is ", "解析器未生成语法树", "m", ""]
+
+
+def test_fragments_from_small_chunks(spark):
+    import random
+
+    from cairnlens.operators import search
+
+    draw = random.Random(4)
+    texts = {1: "".join(draw.choice("ab\né") for _ in range(500)), 2: "", 3: "one line"}
+    sources = spark.createDataFrame(list(texts.items()), "project_id INT, text STRING")
+    ranges = [(p, n, draw.randrange(600), draw.randrange(0, 200)) for p in (1, 2, 3, 4) for n in range(30)] + [(1, 0, 3, 5), (1, 0, 3, 5)]
+    functions = spark.createDataFrame(ranges, "project_id INT, result_id INT, offset_bytes INT, length_bytes INT")
+    binary = sources.select("project_id", F.col("text").cast("binary").alias("content"))
+    got = sorted((r.project_id, r.result_id, bytes(r.fragment)) for r in search.source_fragments(functions, binary, 7).collect())
+    assert got == sorted((p, n, texts[p].encode()[a:a + m]) for p, n, a, m in ranges if p in texts)
+    spans = [(p, n, 1 + draw.randrange(150), draw.randrange(0, 60)) for p in (1, 2, 3) for n in range(30)]
+    lines = spark.createDataFrame([(p, n, a, a + m - 1) for p, n, a, m in spans], "project_id INT, result_id INT, start_line INT, end_line INT")
+    got = sorted((r.project_id, r.result_id, r.fragment) for r in search.source_line_slices(lines, sources, 4).collect())
+    assert got == sorted((p, n, "\n".join(texts[p].split("\n")[a - 1:a - 1 + m])) for p, n, a, m in spans)
