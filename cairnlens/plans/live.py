@@ -8,6 +8,7 @@ from cairnlens import schemas, vocab
 from cairnlens.functions.text import mean_millis, micros_between
 from cairnlens.plans.metrics import EVENTS_AS_OF, STAGE_DURATIONS
 from cairnlens.plans.registry import query
+from cairnlens.session import shared_folder
 from cairnlens.streaming import live
 
 
@@ -84,6 +85,21 @@ def _(d):
     return live.run_available(alerts.select("task_id", "event_sequence", "severity"))
 
 
+@query("late_events", """
+WITH cut AS (SELECT max(created_at) FILTER (event_sequence % 3 <> 0) AS newest FROM task_events)
+SELECT task_id, event_sequence, event_sequence % 3 = 0 AND created_at < newest - INTERVAL 10 DAY AS late
+FROM task_events, cut""")
+def _(d):
+    """Two thirds of the log, then the rest, of which old events are late."""
+    folder = shared_folder(d.spark)
+    log = d.task_events.select("task_id", "event_sequence", "created_at")
+    for rest in ("event_sequence % 3 <> 0", "event_sequence % 3 = 0"):
+        log.filter(rest).write.mode("append").parquet(f"{folder}/log")
+        stream = live.tail_events(d.spark, f"{folder}/log", log.schema)
+        in_time, late = live.split_late(stream, "created_at", 10 * 86400, folder)
+    return in_time.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True))).drop("created_at")
+
+
 @query("stage_duration_stream", STAGE_DURATIONS)
 def _(d):
     visits = _run(d, live.stage_visits(_event_stream(d), EVENTS_AS_OF))

@@ -14,6 +14,7 @@ from cairnlens import schemas, vocab
 from cairnlens.functions.keyed import ranked_per_key
 from cairnlens.functions.predicates import recent
 from cairnlens.session import shared_folder
+from cairnlens.sources.sinks import append_events, stored_events
 from cairnlens.streaming.state import FailureBursts, OrderedBatches, StageVisits, WorkerFreshness
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -119,6 +120,43 @@ def risk_alerts(events: DataFrame) -> DataFrame:
     return events.filter(F.col("severity").isin("warning", "error"))
 
 
+def split_late(
+    events: DataFrame, time_column: str, delay_seconds: int, folder: str
+) -> tuple[DataFrame, DataFrame]:
+    """(rows in time, late rows) of everything present, each event in one of the two.
+
+    The rule is that of a watermark: a micro-batch's rows are late if they are older than
+    the newest row of all batches before, less the delay. Both outputs and the newest
+    time of each batch are kept by batch, so a batch that is run again after a failure
+    changes nothing. A stateful stream with the same delay that reads the rows in time
+    (below ``folder``/in_time) drops none of them.
+    """
+    spark, schema = events.sparkSession, events.schema
+    seen = f"{folder}/newest"
+
+    def split(rows: DataFrame, number: int) -> None:
+        own = rows.sparkSession
+        before = stored_events(own, seen, "newest TIMESTAMP, number BIGINT").filter(F.col("number") < number)
+        newest = before.agg(F.max("newest")).first()[0]
+        late = F.lit(False) if newest is None else (
+            F.col(time_column) < F.lit(newest) - F.expr(f"INTERVAL {int(delay_seconds)} SECONDS")
+        )
+        late = F.coalesce(late, F.lit(False))
+        name = f"{number:012d}"
+        append_events(rows.filter(late), f"{folder}/late", name)
+        append_events(rows.filter(~late), f"{folder}/in_time", name)
+        append_events(rows.agg(F.max(time_column).alias("newest")).withColumn("number", F.lit(number).cast("bigint")), seen, name)
+
+    query = (
+        events.writeStream.foreachBatch(split)
+        .option("checkpointLocation", f"{folder}/split")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return stored_events(spark, f"{folder}/in_time", schema), stored_events(spark, f"{folder}/late", schema)
+
+
 def _stateful(spark: SparkSession) -> None:
     if spark.conf.get(STATE_STORE, "") != ROCKSDB:
         spark.conf.set(STATE_STORE, ROCKSDB)

@@ -510,3 +510,23 @@ def test_fragments_from_small_chunks(spark):
     lines = spark.createDataFrame([(p, n, a, a + m - 1) for p, n, a, m in spans], "project_id INT, result_id INT, start_line INT, end_line INT")
     got = sorted((r.project_id, r.result_id, r.fragment) for r in search.source_line_slices(lines, sources, 4).collect())
     assert got == sorted((p, n, "\n".join(texts[p].split("\n")[a - 1:a - 1 + m])) for p, n, a, m in spans)
+
+
+def test_late_events_come_out_once(spark):
+    import datetime
+
+    from cairnlens.streaming import live
+
+    folder = shared_folder(spark)
+    at = datetime.datetime(2024, 1, 1)
+    schema = "task_id BIGINT, event_sequence BIGINT, stage STRING, created_at TIMESTAMP"
+    batches = [[(1, 100), (2, 90)], [(3, 79), (4, 81), (5, 200)], [(6, 150), (7, 185), (8, None)], [(9, 10)]]
+    for rows in batches:
+        data = [(1, n, "SCANNING", None if s is None else at + datetime.timedelta(seconds=s)) for n, s in rows]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(f"{folder}/log")
+        stream = live.tail_events(spark, f"{folder}/log", schema)
+        in_time, late = live.split_late(stream, "created_at", 20, folder)
+    assert sorted(r.event_sequence for r in late.collect()) == [3, 6, 9]
+    assert sorted(r.event_sequence for r in in_time.collect()) == [1, 2, 4, 5, 7, 8]
+    counts = spark.read.parquet(f"{folder}/late").groupBy("batch").count()
+    assert sum(r["count"] for r in counts.collect()) == 3
