@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from cairnlens.session import shared_folder
 
 BUCKET = "run_bucket"
 LIST = "buckets-"
+COMMIT, ASIDE = "commit-", ".list-"
 SPREAD = 64  # tasks that may share the rows of one bucket
 PART_RECORDS = 20000
 BATCH, DONE = "batch", "_SUCCESS"
@@ -22,7 +25,7 @@ BATCH, DONE = "batch", "_SUCCESS"
 
 def replace_findings(
     spark: SparkSession, path: str, findings: DataFrame, runs: DataFrame, buckets: int = 1024,
-    run_column: str = "run_id",
+    run_column: str = "run_id", attempts: int = 10,
 ) -> None:
     """Replace all findings of the given runs; repeating the call changes nothing.
 
@@ -31,8 +34,17 @@ def replace_findings(
     other runs' rows carried over, to a folder of its own, then a new list of which
     folder holds each bucket (at most ``buckets`` entries). Readers follow the newest
     list, so a commit shows whole or not at all, and an emptied bucket is not listed.
-    Within a bucket rows are spread over tasks by their content.
+    A writer that finds its number taken by another one starts anew from that one's
+    list, up to ``attempts`` times. Within a bucket rows are spread over tasks by their
+    content.
     """
+    for _ in range(attempts):
+        if _committed(spark, path, findings, runs, buckets, run_column):
+            return
+    raise RuntimeError(f"other commits were faster {attempts} times")
+
+
+def _committed(spark, path, findings, runs, buckets, run_column) -> bool:
     bucket = F.pmod(F.xxhash64(run_column), F.lit(buckets)).cast("int")
     named = runs.select(run_column).distinct()
     touched = {r[0] for r in named.select(bucket).distinct().collect()}
@@ -42,12 +54,34 @@ def replace_findings(
     if old:
         kept = spark.read.schema(findings.schema).parquet(*old).join(named, run_column, "left_anti")
         new = kept.select(*findings.columns).withColumn(BUCKET, bucket).unionByName(new)
-    folder = f"commit-{uuid.uuid4().hex}"
+    folder = f"{COMMIT}{uuid.uuid4().hex}"
     spread = F.pmod(F.xxhash64(*findings.columns), F.lit(SPREAD))
     new.repartition(F.col(BUCKET), spread).write.partitionBy(BUCKET).parquet(f"{path}/{folder}")
     written = {int(name.split("=")[1]) for name in _names(spark, f"{path}/{folder}") if name.startswith(f"{BUCKET}=")}
     places = {b: f for b, f in places.items() if b not in touched} | dict.fromkeys(written, folder)
-    _publish(spark, path, number + 1, places)
+    return _publish(spark, path, number + 1, places)
+
+
+def expire_findings(spark: SparkSession, path: str, keep: int = 1, older_than_seconds: int = 86400) -> list[str]:
+    """Delete what no longer counts; returns the names that went.
+
+    Kept are the newest ``keep`` lists with the folders they name, which readers may be
+    at, and all that is younger than ``older_than_seconds``, which writers may be at.
+    """
+    target, files = _file_system(spark, path)
+    found = {s.getPath().getName(): s for s in files.listStatus(target)} if files.exists(target) else {}
+    numbers = sorted(int(n[len(LIST):]) for n in found if n.startswith(LIST))[-keep:]
+    wanted = {f"{LIST}{n}" for n in numbers}
+    for n in numbers:
+        wanted |= set(_listed(spark, path, n).values())
+    last = time.time() * 1000 - older_than_seconds * 1000
+    gone = [
+        name for name, status in found.items()
+        if name.startswith((LIST, COMMIT, ASIDE)) and name not in wanted and status.getModificationTime() < last
+    ]
+    for name in gone:
+        files.delete(found[name].getPath(), True)
+    return sorted(gone)
 
 
 def stored_findings(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -68,24 +102,37 @@ def _names(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in files.listStatus(target)] if files.exists(target) else []
 
 
+def _listed(spark: SparkSession, path: str, number: int) -> dict[int, str]:
+    rows = spark.read.schema("bucket INT, folder STRING").json(f"{path}/{LIST}{number}").collect()
+    return {r["bucket"]: r["folder"] for r in rows}
+
+
 def _current(spark: SparkSession, path: str) -> tuple[int, dict[int, str]]:
     """Number of the newest list of buckets and its content."""
     numbers = [int(n[len(LIST):]) for n in _names(spark, path) if n.startswith(LIST)]
-    if not numbers:
-        return 0, {}
-    rows = spark.read.schema("bucket INT, folder STRING").json(f"{path}/{LIST}{max(numbers)}").collect()
-    return max(numbers), {r["bucket"]: r["folder"] for r in rows}
+    return (max(numbers), _listed(spark, path, max(numbers))) if numbers else (0, {})
 
 
-def _publish(spark: SparkSession, path: str, number: int, places: dict[int, str]) -> None:
-    """Write the list aside, then rename it into place."""
+def _publish(spark: SparkSession, path: str, number: int, places: dict[int, str]) -> bool:
+    """Write the list aside, then rename it into place; false if the number is taken."""
     rows = spark.createDataFrame(sorted(places.items()), "bucket INT, folder STRING")
-    aside = f"{path}/.list-{uuid.uuid4().hex}"
+    aside = f"{path}/{ASIDE}{uuid.uuid4().hex}"
     rows.coalesce(1).write.json(aside)
     source, files = _file_system(spark, aside)
     target, _ = _file_system(spark, f"{path}/{LIST}{number}")
-    if not files.rename(source, target):
-        raise RuntimeError(f"another commit has taken number {number}")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    kind = getattr(hadoop, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.valueOf("NONE")
+    try:  # unlike FileSystem.rename, this one never moves into a folder that is there
+        hadoop.FileContext.getFileContext(source.toUri(), spark._jsc.hadoopConfiguration()).rename(
+            files.makeQualified(source), files.makeQualified(target), options
+        )
+    except Py4JJavaError:
+        if not files.exists(target):
+            raise
+        return False
+    return True
 
 
 def event_rows(tasks: DataFrame, event_type: str, message: str, now) -> DataFrame:

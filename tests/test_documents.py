@@ -530,3 +530,25 @@ def test_late_events_come_out_once(spark):
     assert sorted(r.event_sequence for r in in_time.collect()) == [1, 2, 4, 5, 7, 8]
     counts = spark.read.parquet(f"{folder}/late").groupBy("batch").count()
     assert sum(r["count"] for r in counts.collect()) == 3
+
+
+def test_two_writers_at_once_both_succeed_and_old_folders_go(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path, schema = shared_folder(spark), "run_id BIGINT, id STRING"
+
+    def write(run):
+        for n in range(3):
+            rows = spark.createDataFrame([(run, f"{run}-{n}")], schema)
+            sinks.replace_findings(spark, path, rows, rows, buckets=2)
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(write, [1, 2, 3]))
+    want = [(1, "1-2"), (2, "2-2"), (3, "3-2")]
+    assert sorted(sinks.stored_findings(spark, path, schema).collect()) == want
+    assert sinks.expire_findings(spark, path) == []
+    gone = sinks.expire_findings(spark, path, older_than_seconds=-5)
+    assert len([n for n in gone if n.startswith(sinks.LIST)]) == 8
+    assert sorted(sinks.stored_findings(spark, path, schema).collect()) == want
+    left = [n for n in sinks._names(spark, path) if n.startswith(sinks.COMMIT)]
+    assert 1 <= len(left) <= 2 and sinks.expire_findings(spark, f"{path}-none") == []
