@@ -1,17 +1,18 @@
 """Near-duplicate documents by Order MinHash and banded alignment.
 
 Equal texts are one node with a number. Each node gets ``SKETCHES`` order-min-hash
-values: of the occurrence-labelled word pairs (2-mers), the ``PICKED`` smallest under
-one hash function, kept in text order. Unlike plain MinHash this feels moved and
-repeated passages; 2-mers are left even where every fifth word is another one. Texts
-of at most ``SHORT`` words, of which one change can touch most 2-mers, also get a value
+values: of its occurrence-labelled k-mers of words, the smallest under one hash
+function, ``PICKED`` of each length, kept in text order. Unlike plain MinHash this
+feels moved and repeated passages; short k-mers are left even where every fifth word is
+another one, and single words tell texts that are similar as a whole from those that
+share a passage: if it fills a third of both, one sketch in a thousand agrees. Texts
+of at most ``SHORT`` words, of which one change can touch many k-mers, also get a value
 for each text that is left when as many words are deleted as the similarity allows:
 two short texts that are similar have one of these in common with certainty. Nodes that
 share a value meet in a bucket. A bucket is not paired off: each node is aligned with
 the bucket's first node, and classes are formed. Only nodes of one bucket that are
 still in different classes are then aligned with each other, if their lengths allow
-similarity. Three 2-mers a sketch keep texts apart that share no more than a passage:
-if it fills a sixth of both, one sketch in a thousand agrees.
+similarity.
 
 Similarity of two texts: 1 - (word edit distance) / (words of the longer one).
 """
@@ -28,10 +29,9 @@ from pyspark.sql import functions as F
 
 from cairnlens.llm.common import mix, shingle_hashes, text_or_empty, word_hashes, written
 
-MER = 2
 SIMILARITY = 0.8
-SKETCHES = 40  # texts of which every fifth word is another one meet with 0.95
-PICKED = 3
+SKETCHES = 36  # texts of which every fifth word is another one meet with 0.95
+PICKED = (4, 1)  # single words, and word pairs
 SHORT = 15
 FIRST_BAND = 8
 BATCH_CELLS = 1 << 21
@@ -49,20 +49,30 @@ def labelled(shingles: np.ndarray) -> np.ndarray:
     return mix(shingles + occurrence * np.uint64(0xD6E8FEB86659FD93))
 
 
-def order_min_hashes(words: np.ndarray, sketches: int = SKETCHES, picked: int = PICKED) -> np.ndarray:
-    """One value per sketch; none for a text without words."""
-    keys = labelled(shingle_hashes(words, MER))
-    if not len(keys):
-        return np.zeros(0, np.uint64)
+def _lowest(keys: np.ndarray, factors: np.ndarray, picked: int) -> np.ndarray:
+    """Places of the ``picked`` smallest keys under each hash function, in text order."""
     n = min(picked, len(keys))
-    factors = mix(np.arange(1, sketches + 1, dtype=np.uint64)) | np.uint64(1)
     values = keys[None, :] * factors[:, None]  # each row orders the keys anew
     values ^= values >> np.uint64(32)
     values *= factors[:, None]
-    places = np.argpartition(values, n - 1, axis=1)[:, :n] if n < len(keys) else np.tile(np.arange(n), (sketches, 1))
+    if n == len(keys):
+        return np.tile(np.arange(n), (len(factors), 1))
+    if n == 1:
+        return values.argmin(axis=1)[:, None]
+    return np.sort(np.argpartition(values, n - 1, axis=1)[:, :n], axis=1)
+
+
+def order_min_hashes(words: np.ndarray, sketches: int = SKETCHES, picked: tuple[int, ...] = PICKED) -> np.ndarray:
+    """One value per sketch, of ``picked[k - 1]`` k-mers for each k; none for a text
+    without words."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    factors = mix(np.arange(1, sketches + 1, dtype=np.uint64)) | np.uint64(1)
     out = factors
-    for column in np.sort(places, axis=1).T:  # text order
-        out = mix(out * np.uint64(31) + keys[column])
+    for k, count in enumerate(picked, 1):
+        keys = labelled(shingle_hashes(words, k))
+        for column in _lowest(keys, factors, count).T:  # text order
+            out = mix(out * np.uint64(31) + keys[column])
     return out
 
 
