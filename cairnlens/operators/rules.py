@@ -159,7 +159,8 @@ def marked_calls(source: Column, names: str, dialect: Dialect) -> Column:
     def mark_line(line: Column, number: Column) -> Column:
         found = F.regexp_extract_all(line, F.lit(f"({head})"), 1)
         gaps = F.split(line, head)
-        start = F.struct(F.lit("").alias("out"), F.lit(1).alias("column"))
+        # pieces are listed and joined at the end, so a long line is written once
+        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(1).alias("column"))
 
         def step(state: Column, piece: Column) -> Column:
             gap, name = piece["0"], piece["1"]
@@ -168,19 +169,20 @@ def marked_calls(source: Column, names: str, dialect: Dialect) -> Column:
                 F.lit(MARK_START), number.cast("string"), F.lit(":"), at.cast("string"),
                 F.lit(MARK_END),
             )
-            out = F.concat(state["out"], gap, F.when(name.isNull(), "").otherwise(F.concat(name, mark)))
+            own = F.when(name.isNull(), F.array(gap)).otherwise(F.array(gap, name, mark))
             return F.struct(
-                out.alias("out"), (at + F.coalesce(F.char_length(name), F.lit(0))).alias("column")
+                F.concat(state["out"], own).alias("out"),
+                (at + F.coalesce(F.char_length(name), F.lit(0))).alias("column"),
             )
 
-        joined = F.aggregate(F.arrays_zip(gaps, found), start, step, lambda s: s["out"])
+        joined = F.aggregate(F.arrays_zip(gaps, found), start, step, lambda s: F.array_join(s["out"], ""))
         return F.when(F.rlike(line, F.lit(head)), joined).otherwise(line)
 
     lines = F.transform(F.split(source, "\n"), lambda line, i: mark_line(line, i + 1))
     return F.when(F.rlike(source, F.lit(head)), F.array_join(lines, "\n")).otherwise(F.lit(""))
 
 
-def _balanced(string: str, depth: int = 4) -> str:
+def _balanced(string: str, depth: int = 12) -> str:
     """Text with parentheses nested up to ``depth``: the usual case, in one pattern."""
     inner = rf"(?:[^()\"']++|{string}|[\"'])*+" if string else r"[^()]*+"
     for _ in range(depth):
@@ -208,12 +210,13 @@ def _until_closed(rest: Column, string: str) -> Column:
         depth = F.when(state["depth"] > 0, _deeper(state["depth"], piece)).otherwise(0)
         return F.struct(
             depth.alias("depth"),
-            F.when(depth > 0, F.concat(state["out"], piece)).otherwise(state["out"]).alias("out"),
+            F.when(depth > 0, F.concat(state["out"], F.array(piece))).otherwise(state["out"]).alias("out"),
         )
 
-    start = F.struct(F.lit(1).alias("depth"), F.lit("").alias("out"))
+    start = F.struct(F.lit(1).alias("depth"), F.array().cast("array<string>").alias("out"))
     return F.aggregate(
-        _pieces(rest, string, "()"), start, step, lambda s: F.when(s["depth"] == 0, s["out"]).otherwise("")
+        _pieces(rest, string, "()"), start, step,
+        lambda s: F.when(s["depth"] == 0, F.array_join(s["out"], "")).otherwise(""),
     )
 
 
@@ -234,7 +237,7 @@ def call_sites(files: DataFrame, language: str, names: list[str]) -> DataFrame:
     marked = clean.withColumn("_marked", marked_calls(F.col("_clean"), pattern, dialect))
     # the lines are a column of their own, so a text is split once for all its sites
     sites = marked.select(
-        "file_id", "language", "logical_path", F.split("text", "\n").alias("_lines"),
+        "file_id", "language", "logical_path", line_index(F.col("text")).alias("_lines"),
         F.filter(
             F.regexp_extract_all("_marked", F.lit(token), 1), lambda s: s != ""
         ).alias("_sites"),
@@ -280,13 +283,23 @@ def call_sites(files: DataFrame, language: str, names: list[str]) -> DataFrame:
     )
 
 
+def line_index(source: Column) -> Column:
+    """The lines of a text with what snippets ask of them: ``size`` in bytes and ``head``,
+    the beginning that a snippet can show. Lines that fit are whole in it."""
+    return F.transform(F.split(source, "\n"), lambda line: F.struct(
+        F.octet_length(line).alias("size"), F.substring(line, 1, vocab.SNIPPET_BYTES).alias("head")
+    ))
+
+
 def snippet(
     lines: Column, line: Column, context: int = vocab.SNIPPET_CONTEXT_LINES,
     maximum: int = vocab.SNIPPET_BYTES,
 ) -> Column:
-    """The hit line with as many lines around it as fit.
+    """The hit line with as many lines around it as fit, from a ``line_index``.
 
     Lines are given up one by one from the longer side, the following ones first.
+    Windows are weighed by the sizes of their lines; only the one that fits is put
+    together, of lines that are then no longer than it.
     """
     windows = []
     before = after = context
@@ -298,11 +311,17 @@ def snippet(
             before -= 1
     windows.append((0, 0))
 
-    def joined(window) -> Column:
+    def taken(window) -> Column:
         first = F.greatest(line - window[0], F.lit(1))
-        return F.array_join(F.slice(lines, first, line + window[1] - first + 1), "\n")
+        return F.slice(lines, first, line + window[1] - first + 1)
+
+    def joined(window) -> Column:
+        return F.array_join(F.transform(taken(window), lambda x: x["head"]), "\n")
+
+    def size(window) -> Column:
+        return F.aggregate(taken(window), F.lit(-1), lambda total, x: total + x["size"] + 1)
 
-    fits = [F.when(F.octet_length(joined(w)) <= maximum, joined(w)) for w in windows]
+    fits = [F.when(size(w) <= maximum, joined(w)) for w in windows]
     return F.coalesce(*fits, text.cut_bytes(joined((0, 0)), maximum))
 
 
@@ -429,7 +448,7 @@ def _import_findings(files: DataFrame) -> DataFrame:
     names = "|".join(PYTHON_IMPORTS)
     python = files.filter(F.col("language") == "python")
     split = python.select(
-        "file_id", "language", "logical_path", F.split("text", "\n").alias("_lines"),
+        "file_id", "language", "logical_path", line_index(F.col("text")).alias("_lines"),
         F.split(blank_comments(F.col("text"), DIALECTS["python"]), "\n").alias("_code"),
     )
     lines = F.col("_lines")

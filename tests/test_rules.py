@@ -136,3 +136,33 @@ def test_calls_of_any_nesting_depth(spark):
     assert found == [(2, deep("x", 12)), (3, deep("p", 10) + ", 0777"), (4, deep("p", 10) + ", 0700"), (5, "")]
     lines = {r.start_line for r in rules.source_rule_scan(files).collect()}
     assert 2 in lines and 3 in lines and 4 not in lines
+
+
+def test_long_lines_and_deep_calls_take_time_in_proportion(spark):
+    """Ten thousand calls of depth ten in one line of a megabyte."""
+    import time
+
+    def seconds(calls):
+        deep = "f(" * 9 + "g" + ")" * 9
+        text = "".join(f"gets(s{i}, {deep}, 'pad pad pad pad pad pad pad pad pad'); " for i in range(calls)) + "\nend"
+        started = time.perf_counter()
+        rows = _scan(spark, "c", text)
+        return time.perf_counter() - started, rows
+
+    seconds(10)
+    few, rows = seconds(2500)
+    many, found = seconds(10000)
+    assert len(rows) == 2500 and len(found) == 10000
+    assert many < 8 * few + 5
+    assert {r.start_line for r in found} == {1} and found[0].snippet.startswith("gets(s0")
+    assert max(len(r.snippet.encode()) for r in found) <= 1024
+    assert len({r.start_column for r in found}) == 10000
+
+
+def test_snippets_weigh_their_lines(spark):
+    lines = ["a" * 10, "é" * 300, "b" * 10, "gets(s);", "c" * 10, "d" * 600, "e" * 10]
+    hit, = _scan(spark, "c", "\n".join(lines))
+    assert hit.start_line == 4 and hit.snippet == "\n".join(lines[1:5])
+    wide = "x" * 2000
+    hit, = _scan(spark, "c", f"{wide}\ngets(s); {wide}\n{wide}")
+    assert hit.snippet == ("gets(s); " + wide)[:1024]
