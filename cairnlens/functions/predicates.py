@@ -104,9 +104,6 @@ def recent(column: str, as_of, hours: int = vocab.RECENT_HOURS) -> Column:
     return F.col(column) >= instant(as_of) - F.expr(f"INTERVAL {hours} HOURS")
 
 
-def json_text(column: str, path: str) -> Column:
-    return F.get_json_object(F.col(column), path)
-
 
 def account_status(as_of) -> Column:
     """An active account whose lock has not run out shows as locked."""

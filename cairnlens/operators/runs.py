@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnlens import vocab
-from cairnlens.functions.keyed import drop_matching, first_per_key, keep_matching
+from cairnlens.functions.keyed import drop_matching, first_per_key
 
 
 def project_runs(runs: DataFrame, projects: DataFrame, analyzers: DataFrame) -> DataFrame:
@@ -408,8 +408,3 @@ def import_skip_reasons(entries: DataFrame) -> DataFrame:
         .groupBy("archive_import_id", "skip_reason")
         .agg(F.count("*").alias("n"))
     )
-
-
-def projects_with_runs(projects: DataFrame, runs: DataFrame) -> DataFrame:
-    keys = runs.select("task_id", F.col("source_project_id").alias("id"))
-    return keep_matching(projects, keys, ["task_id", "id"])

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairnlens import vocab
 from cairnlens.functions import text
 from cairnlens.functions.predicates import blank_to
 from cairnlens.operators import nested

@@ -11,8 +11,3 @@ def scan_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Read one table with its declared schema, so no file is opened to infer it."""
     path = f"{folder.rstrip('/')}/{name}.parquet"
     return spark.read.schema(schemas.TABLE_SCHEMAS[name]).parquet(path)
-
-
-def scan_frame(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
-    """Read any fixed-schema table of the domain (Parquet, ORC or JSON lines)."""
-    return spark.read.format(fmt).schema(schema).load(path)
