@@ -1,7 +1,7 @@
 """Threshold-scaled sketches: all shingle hashes below a fixed fraction are kept.
 
 The sketch of a text has about ``1 / FRACTION`` of its shingles, so sketches of
-texts of very unequal length compare, merge by union and estimate containment.
+texts of very unequal length compare, merge (``merged``) and estimate containment.
 Shingles are runs of five words (shorter texts: all their words). Hashes are the
 first 16 hex digits of MD5, compared as text: the fraction is the share of hash
 values below ``LIMIT``. DataFrame functions only.
@@ -50,6 +50,28 @@ def sketch(text: Column) -> Column:
     )).otherwise(F.array().cast("array<string>")))
 
 
+def merged(sketches: Column) -> Column:
+    """The sketch of all shingles of several texts, from the array of their sketches.
+
+    It is the one that the texts' shingles taken together would give: the kept hashes
+    are those that any text kept; only if no text has a hash below the limit is it the
+    smallest of the smallest ones. So merging in any order and grouping agrees.
+    """
+    every = F.array_distinct(F.flatten(sketches))
+    return _bound(every, lambda e: F.when(F.size(e) > 0, _kept(e)).otherwise(e))
+
+
+def merge_sketches(rows: DataFrame, keys: list[str], column: str = "sketch") -> DataFrame:
+    """keys and the merged sketch of their rows. Hashes meet one by one, map-side first;
+    a group is held as its distinct kept hashes. Groups of empty sketches stay, empty."""
+    values = rows.select(*keys, F.explode_outer(column).alias("_hash"))
+    kept = F.array_sort(F.collect_set(F.when(F.col("_hash") < LIMIT, F.col("_hash"))))
+    smallest = F.array_compact(F.array(F.min("_hash")))
+    return values.groupBy(*keys).agg(kept.alias("_kept"), smallest.alias("_smallest")).select(
+        *keys, F.when(F.size("_kept") > 0, F.col("_kept")).otherwise(F.col("_smallest")).alias(column)
+    )
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Estimated Jaccard similarity; two empty sketches are alike (1)."""
     common = F.size(F.array_intersect(a, b))
@@ -101,7 +123,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has its last quarter (rounded down) replaced by as many leading
     code points of the next document. Null texts count as empty; extra columns are
-    not read.
+    not read; an empty table gives no rows. Texts are taken whole, however long.
     """
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")

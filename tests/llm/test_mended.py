@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairnlens.llm import grammar_store, language_model, mixing, near_dedup, packing, passages, periodic_runs, topk, toxicity
+from cairnlens.llm import fingerprint, grammar_store, language_model, mixing, near_dedup, packing, passages, periodic_runs, topk, toxicity
 
 NAMES = ["end", "part", "epochs", "beyond", "mix", "figures", "row", "rest", "digest", "node", "class", "doc id", "_kept_id"]
 
@@ -229,3 +229,28 @@ def test_windows_of_one_repeated_word_take_linear_time():
     low, centre, high = passages.compact_windows(np.zeros(200_000, np.uint64))
     assert len(centre) == 200_000 - passages.LEAST + 1 and high == [199_999] * len(high) and low == centre
     assert periodic_runs.LEAST == 12 and grammar_store.END == 2
+
+
+def test_merged_sketches_are_those_of_all_shingles(spark):
+    import hashlib
+
+    draw = random.Random(15)
+    texts = [" ".join(words(draw.choice([0, 1, 3, 5, 6, 7, 9, 40]), draw)) for _ in range(120)]
+
+    def shingles(text):
+        w = text.split()
+        return {hashlib.md5(" ".join(w[i : i + 5]).encode()).hexdigest()[:16] for i in range(max(len(w) - 4, 1))} if w else set()
+
+    def plain(hashes):
+        return sorted(h for h in hashes if h < fingerprint.LIMIT) or sorted(hashes)[:1]
+
+    df = spark.createDataFrame([(i % 37 if i % 5 else None, t) for i, t in enumerate(texts)], "g long, text string")
+    sketched = df.select("g", fingerprint.sketch(F.col("text")).alias("sketch"))
+    groups = {}
+    for i, t in enumerate(texts):
+        groups.setdefault(i % 37 if i % 5 else None, set()).update(shingles(t))
+    want = {g: plain(h) for g, h in groups.items()}
+    assert any(len(s) == 1 and s[0] >= fingerprint.LIMIT for s in want.values()) and any(len(s) > 1 for s in want.values())
+    assert {r["g"]: r["sketch"] for r in fingerprint.merge_sketches(sketched, ["g"]).collect()} == want
+    listed = sketched.groupBy("g").agg(fingerprint.merged(F.collect_list("sketch")).alias("sketch"))
+    assert {r["g"]: r["sketch"] for r in listed.collect()} == want
