@@ -11,8 +11,8 @@ for each text that is left when as many words are deleted as the similarity allo
 two short texts that are similar have one of these in common with certainty. Nodes that
 share a value meet in a bucket. A bucket is not paired off: each node is aligned with
 the bucket's first node, and classes are formed. Only nodes of one bucket that are
-still in different classes are then aligned with each other, if their lengths allow
-similarity.
+still in different classes are then aligned with each other, if their lengths and a
+bit map of their words allow similarity.
 
 Similarity of two texts: 1 - (word edit distance) / (words of the longer one).
 """
@@ -35,6 +35,7 @@ PICKED = (4, 1)  # single words, and word pairs
 SHORT = 15
 FIRST_BAND = 8
 BATCH_CELLS = 1 << 21
+BITS = 512
 
 
 def labelled(shingles: np.ndarray) -> np.ndarray:
@@ -76,6 +77,13 @@ def order_min_hashes(words: np.ndarray, sketches: int = SKETCHES, picked: tuple[
     return out
 
 
+def word_bits(words: np.ndarray) -> np.ndarray:
+    """``BITS`` bits as 64-bit numbers; a word sets the bit that its hash names."""
+    bits = np.zeros(BITS, bool)
+    bits[(words % np.uint64(BITS)).astype(np.int64)] = True
+    return np.packbits(bits).view("<i8")
+
+
 def left_over(n: int, similarity: float) -> tuple[np.ndarray, ...]:
     """Places of the words that stay, one array per number of words.
 
@@ -111,16 +119,17 @@ def _sketched(similarity: float):
         places: dict = {}
         with np.errstate(over="ignore"):
             for batch in batches:
-                values, counts = [], []
+                values, counts, bits = [], [], []
                 for text in batch.column("text").to_pylist():
                     words = word_hashes(text.encode("utf-8", "surrogatepass"))[0]
                     counts.append(len(words))
                     keys = np.concatenate([order_min_hashes(words), short_keys(words, similarity, places)])
                     values.append(np.unique(keys).view(np.int64))
+                    bits.append(word_bits(words))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("digest"), pa.array(counts, pa.int32()),
-                     pa.array(values, pa.list_(pa.int64()))],
-                    ["doc_id", "digest", "n", "keys"],
+                     pa.array(values, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                    ["doc_id", "digest", "n", "keys", "bits"],
                 )
 
     return run
@@ -257,6 +266,18 @@ def _length_allows(n: str, m: str, similarity: float) -> Column:
     return longer - F.least(F.col(n), F.col(m)) <= (1 - similarity) * longer + 1e-9
 
 
+def _words_allow(a: str, b: str, n: str, m: str, similarity: float) -> Column:
+    """Whether the words of each text that the other lacks are few enough: each takes a
+    change, and a bit that one has and the other has not stands for at least one."""
+    allowed = (1 - similarity) * F.greatest(F.col(n), F.col(m)) + 1e-9
+
+    def lacking(x: str, y: str) -> Column:
+        parts = [F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i]))) for i in range(BITS // 64)]
+        return sum(parts[1:], parts[0])
+
+    return (lacking(a, b) <= allowed) & (lacking(b, a) <= allowed)
+
+
 def aligned(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """The pairs (node, other) that are similar."""
     texts = pairs.join(words, "node").join(
@@ -295,13 +316,13 @@ def assigned(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, digest, class (a node number), n_links: one row per row of ``docs``."""
     texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("digest", _digest("text"))
     sketched = written(
-        texts.mapInArrow(_sketched(similarity), f"doc_id {dict(docs.dtypes)['doc_id']}, digest string, n int, keys array<bigint>"),
+        texts.mapInArrow(_sketched(similarity), f"doc_id {dict(docs.dtypes)['doc_id']}, digest string, n int, keys array<bigint>, bits array<bigint>"),
         "sketches",
     )
     # Distinct texts are numbered once and written, so that rows that are shuffled hold
     # a number for a text.
     nodes = written(
-        sketched.groupBy("digest").agg(F.first("keys").alias("keys"), F.first("n").alias("n"))
+        sketched.groupBy("digest").agg(F.first("keys").alias("keys"), F.first("n").alias("n"), F.first("bits").alias("bits"))
         .withColumn("node", F.monotonically_increasing_id()), "nodes",
     )
     entries = nodes.select("node", "n", F.explode("keys").alias("key"))
@@ -322,12 +343,16 @@ def assigned(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         "class", F.coalesce("class", "node")
     )
     mixed = marked.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("key")
-    open_ = written(marked.join(mixed, "key", "left_semi"), "open")
-    others = open_.select("key", F.col("node").alias("other"), F.col("class").alias("other_class"), F.col("n").alias("m"))
+    open_ = written(marked.join(mixed, "key", "left_semi").join(nodes.select("node", "bits"), "node"), "open")
+    others = open_.select(
+        "key", F.col("node").alias("other"), F.col("class").alias("other_class"), F.col("n").alias("m"),
+        F.col("bits").alias("other_bits"),
+    )
     tested = stars.select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other"))
     crossing = (
         open_.join(others, (open_["key"] == others["key"]) & (F.col("class") != F.col("other_class"))
-                   & (F.col("node") < F.col("other")) & _length_allows("n", "m", similarity))
+                   & (F.col("node") < F.col("other")) & _length_allows("n", "m", similarity)
+                   & _words_allow("bits", "other_bits", "n", "m", similarity))
         .select("node", "other").distinct().join(tested, ["node", "other"], "left_anti")
     )
     links = written(links.unionByName(aligned(crossing, words, similarity)), "links")

@@ -254,3 +254,21 @@ def test_merged_sketches_are_those_of_all_shingles(spark):
     assert {r["g"]: r["sketch"] for r in fingerprint.merge_sketches(sketched, ["g"]).collect()} == want
     listed = sketched.groupBy("g").agg(fingerprint.merged(F.collect_list("sketch")).alias("sketch"))
     assert {r["g"]: r["sketch"] for r in listed.collect()} == want
+
+
+def test_word_bits_refuse_no_similar_pair(spark):
+    draw = random.Random(16)
+    rows, want = [], []
+    for i in range(400):
+        n = draw.choice([1, 4, 9, 30, 120, 700])
+        a = words(n, draw)
+        b = changed(a, "random", draw) if i % 2 else a[: n // 2] + words(n - n // 2, draw)
+        with np.errstate(over="ignore"):
+            x, y = (near_dedup.word_hashes(" ".join(t).encode())[0] for t in (a, b))
+        rows.append((i, near_dedup.word_bits(x).tolist(), near_dedup.word_bits(y).tolist(), len(x), len(y)))
+        want.append(bool(near_dedup.similar([(x >> np.uint64(32), y >> np.uint64(32))])[0]))
+    df = spark.createDataFrame(rows, "i int, a array<bigint>, b array<bigint>, n int, m int")
+    allowed = {r[0]: r[1] for r in df.select("i", near_dedup._words_allow("a", "b", "n", "m", 0.8)).collect()}
+    assert all(allowed[i] for i in range(400) if want[i])
+    refused = [i for i in range(0, 400, 2) if rows[i][3] in (30, 120)]
+    assert sum(not allowed[i] for i in refused) > 0.9 * len(refused)
