@@ -1,4 +1,11 @@
-"""Corpus pipeline: from raw documents to packed training sequences."""
+"""Corpus pipeline: from raw documents to packed training sequences.
+
+Each stage works on all rows its predecessor kept and takes columns of any name besides
+doc_id, text, lang and source (names that begin with ``_cut_`` are kept for the third
+stage). Null texts count as empty, null ids are kept; an empty table stays empty. Texts
+are taken whole, however long. Rows that are repeated are one document's copies for the
+second stage, which keeps one of them.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +16,30 @@ from cairnlens.llm.common import read_table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learnt from ``labels``, does not call toxic."""
+    """Documents that the classifier, learnt from ``labels``, does not call toxic.
+    Without labels every score is 0.5, which is refused."""
     return toxicity.accepted(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates: the smallest id, null last."""
     return near_dedup.without_near_duplicates(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words and more stay in one document only."""
+    """Passages of 50 words and more stay in one document only, that of the smallest id;
+    documents of which nothing is left go."""
     return passages.without_repeats(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights take them."""
+    """Documents as often as the target weights take them; a leaf without words takes part
+    with all its documents once."""
     return mixing.mixture(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their sequence and place."""
+    """Pieces of all documents with their sequence and place; an empty text is its end id."""
     return packing.sequences(docs)
 
 
