@@ -198,7 +198,9 @@ SELECT count(*) AS report_count,
 FROM report_documents""")
 def _(d):
     path = shared_folder(d.spark)
-    d.report_documents.select(F.col("document").alias("value")).write.text(path)
+    # packed files cannot be split, so none holds too much for one task
+    packed = {"compression": "gzip", "maxRecordsPerFile": 200_000}
+    d.report_documents.select(F.col("document").alias("value")).write.options(**packed).text(path)
     found = documents.scan_reports(d.spark, path, one_per_file=False)
     # the whole row is read, as a projection without data columns would skip parsing
     return found.select(
