@@ -236,8 +236,8 @@ def snapshot_documents(records: DataFrame, part_records: int = PART_RECORDS) ->
 
 
 def write_snapshot(documents: DataFrame, path: str) -> None:
-    """JSON lines, one folder per section, one line per task and part."""
-    documents.write.mode("overwrite").partitionBy("section").json(path)
+    """Packed JSON lines, one folder per section, one line per task and part."""
+    documents.write.mode("overwrite").partitionBy("section").option("compression", "gzip").json(path)
 
 
 def stored_snapshot(spark: SparkSession, path: str) -> DataFrame:

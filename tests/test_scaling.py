@@ -19,3 +19,22 @@ def test_reports_are_stored_packed(spark, folder, tmp_path, monkeypatch):
     assert catalogue.run("scan_reports", spark, folder).first()["report_count"] > 0
     files = glob.glob(f"{tmp_path}/r/part-*")
     assert files and all(f.endswith(".gz") for f in files)
+
+
+def test_snapshots_are_stored_packed(spark, tmp_path):
+    rows = [(t, "s", i, f'{{"id":"{t}-{i}"}}') for t in (1, None) for i in range(7)]
+    records = spark.createDataFrame(rows, "task_id long, section string, position long, record string")
+    sinks.write_snapshot(sinks.snapshot_documents(records, 3), str(tmp_path / "s"))
+    files = glob.glob(f"{tmp_path}/s/section=s/part-*")
+    assert files and all(f.endswith(".gz") for f in files)
+    assert sinks.stored_snapshot(spark, str(tmp_path / "s")).count() == 6
+
+
+def test_rows_are_numbered_without_a_window_over_them(spark, tmp_path):
+    draw = random.Random(3)
+    rows = [(draw.choice([None, 1, 1, 1, 2, 3]), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k long, v long").repartition(3)
+    found = keyed.numbered(df, "k", ["v"], "n", str(tmp_path / "n"))
+    assert "row_number" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = {(k, v): sum(a == k and b < v for a, b in rows) for k, v in rows}
+    assert {(r["k"], r["v"]): r["n"] for r in found.collect()} == want
