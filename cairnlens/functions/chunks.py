@@ -29,6 +29,18 @@ def with_chunk(df: DataFrame, order: str, span: int = DEFAULT_SPAN) -> DataFrame
     return df.withColumn(CHUNK, F.floor(F.col(order) / F.lit(span)).cast("bigint"))
 
 
+def parted(df: DataFrame, key: str, span: int = DEFAULT_SPAN) -> tuple[DataFrame, DataFrame]:
+    """Rows of the keys with at most ``span`` rows, and those of the others.
+
+    There is one key of the second kind for each ``span`` rows at most, so their list is
+    sent to all tasks.
+    """
+    many = df.groupBy(F.col(key).alias("_many")).agg(F.count("*").alias("_n")).where(F.col("_n") > span)
+    listed = F.broadcast(many.select("_many"))
+    same = F.col(key).eqNullSafe(F.col("_many"))
+    return df.join(listed, same, "left_anti"), df.join(listed, same, "left_semi")
+
+
 def _neighbour(
     df: DataFrame,
     keys: list[str],
@@ -71,6 +83,19 @@ def lead_value(
     return _neighbour(df, keys, order, value, out, span, following=True)
 
 
+def key_totals(
+    df: DataFrame, keys: list[str], order: str, totals: dict[str, Column], ties: list[str] | None = None
+) -> DataFrame:
+    """``prefix_totals`` for keys of few rows: one window over each whole key."""
+    before = (
+        Window.partitionBy(*keys)
+        .orderBy(order, *(ties or []))
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    sums = [F.coalesce(F.sum(e.cast("bigint")).over(before), F.lit(0)).alias(name) for name, e in totals.items()]
+    return df.select("*", *sums)
+
+
 def prefix_totals(
     df: DataFrame,
     keys: list[str],

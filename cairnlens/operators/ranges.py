@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,22 +94,35 @@ def extraction_budget(
     """Bytes each entry may still expand to, and the limit that cut it.
 
     Limits on the whole task (bytes, ratio to the root, nodes) stop all later
-    entries; the ratio of one container only cuts entries of that container.
+    entries; the ratio of one container only cuts entries of that container. Tasks of
+    at most ``span`` entries are dealt out once, whole; only larger ones are cut.
     """
+    limits = (max_expanded, max_ratio, max_nodes, max_depth)
+    small, large = chunks.parted(entries, "task_id", span)
+
+    def whole(rows, keys, order, totals, ties):
+        return chunks.key_totals(rows, keys, order, totals, ties)
+
+    def cut(rows, keys, order, totals, ties):
+        return chunks.prefix_totals(rows, keys, order, totals, ties, span)
+
+    return _budget(small.repartition("task_id"), whole, *limits).unionByName(_budget(large, cut, *limits))
+
+
+def _budget(
+    entries: DataFrame, prefix: Callable[..., DataFrame], max_expanded: int, max_ratio: int, max_nodes: int, max_depth: int
+) -> DataFrame:
     ties = ["entry_key"]
     size = F.col("expanded_bytes")
-    local = chunks.prefix_totals(
-        entries, ["task_id", "container_id"], "ordinal", {"_container_before": size}, ties, span
-    )
+    local = prefix(entries, ["task_id", "container_id"], "ordinal", {"_container_before": size}, ties)
     container_left = F.greatest(
         F.col("container_size_bytes") * max_ratio - F.col("_container_before"), F.lit(0)
     )
     cut = local.withColumn("_container_left", container_left).withColumn(
         "_granted", F.least(size, F.col("_container_left"))
     )
-    whole = chunks.prefix_totals(
-        cut, ["task_id"], "ordinal", {"_total_before": F.col("_granted"), "_nodes_before": F.lit(1)},
-        ties, span,
+    whole = prefix(
+        cut, ["task_id"], "ordinal", {"_total_before": F.col("_granted"), "_nodes_before": F.lit(1)}, ties
     )
     total_left = F.greatest(F.lit(max_expanded) - F.col("_total_before"), F.lit(0))
     ratio_left = F.greatest(

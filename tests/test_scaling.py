@@ -38,3 +38,22 @@ def test_rows_are_numbered_without_a_window_over_them(spark, tmp_path):
     assert "row_number" not in found._jdf.queryExecution().optimizedPlan().toString()
     want = {(k, v): sum(a == k and b < v for a, b in rows) for k, v in rows}
     assert {(r["k"], r["v"]): r["n"] for r in found.collect()} == want
+
+
+def entries(spark, draw, n):
+    rows = []
+    for i in range(n):
+        task = draw.choice([None, 1, 1, 1, 1, 2, 3])
+        rows.append((task, draw.randint(1, 3), i * 3, f"e{i}", draw.randint(0, 900), draw.randint(1, 8), 400, 20))
+    return spark.createDataFrame(
+        rows, "task_id long, container_id long, ordinal long, entry_key string, expanded_bytes long, depth int,"
+        " root_size_bytes long, container_size_bytes long")
+
+
+def test_budgets_agree_whether_tasks_are_cut_or_dealt_whole(spark):
+    df = entries(spark, random.Random(4), 300)
+    small, large = chunks.parted(df, "task_id", 60)
+    assert {r[0] for r in large.select("task_id").distinct().collect()} == {1}
+    assert small.count() + large.count() == 300
+    found = [sorted(map(str, ranges.extraction_budget(df, 9000, 50, 40, 6, span=s).collect())) for s in (1, 60, 1 << 20)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 300
