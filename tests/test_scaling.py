@@ -57,3 +57,12 @@ def test_budgets_agree_whether_tasks_are_cut_or_dealt_whole(spark):
     assert small.count() + large.count() == 300
     found = [sorted(map(str, ranges.extraction_budget(df, 9000, 50, 40, 6, span=s).collect())) for s in (1, 60, 1 << 20)]
     assert found[0] == found[1] == found[2] and len(found[0]) == 300
+
+
+def test_entries_meet_derived_uploads_before_other_tables(spark):
+    shape = "logical_path string, detected_category string, detected_format string, size_bytes long, sha256 string, blob_id long"
+    rows = [("a", "binary", "elf64", 1, "s", 3), ("b", "binary", "elf64", 1, "s", 3), ("a", "binary", "elf64", 1, "s", None)]
+    derived = spark.createDataFrame([("a", "binary", "elf64", 1, "s", 3)] * 2 + [("a", "binary", "elf64", 1, "s", None)], shape).toDF(
+        "source_entry_path", "input_category", "detected_format", "declared_size_bytes", "actual_sha256", "blob_id")
+    kept = retention._matching_entries(spark.createDataFrame(rows, shape), derived).collect()
+    assert [tuple(r) for r in kept] == rows[:1]
