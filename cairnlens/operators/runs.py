@@ -123,6 +123,9 @@ def finding_rule_cwe(findings: DataFrame) -> DataFrame:
     return findings.join(rules, ["rule_id", "cwe"], "left_anti")
 
 
+LISTED_PROJECTS = 10_000
+
+
 def finding_in_function(
     hits: DataFrame, functions: DataFrame, lines_per_bin: int = 256
 ) -> DataFrame:
@@ -132,7 +135,8 @@ def finding_in_function(
     level where it touches two bins at most; a hit looks into its bin of every level
     that its project's functions stand on, mostly one. So hits meet only functions near
     them, and a range with a broken end costs two rows. Ranges that end before they
-    start enclose nothing.
+    start enclose nothing. Hits are dealt out once: the projects of a level are sent to
+    all tasks, and a level of more than ``LISTED_PROJECTS`` is looked into by every hit.
     """
     levels = 16  # the widest bins hold more lines than an integer counts
 
@@ -152,10 +156,17 @@ def finding_in_function(
             ))).alias("line_bin"),
         )
     )
-    used = spread.groupBy("project_id").agg(F.collect_set("level").alias("levels"))
-    looking = hits.join(used, "project_id").withColumn("level", F.explode("levels")).drop("levels").withColumn(
-        "line_bin", bin_of("start_line", F.col("level"))
-    )
+    used = spread.select("project_id", "level").distinct()
+    found = {r["level"]: r["n"] for r in used.groupBy("level").agg(F.count("*").alias("n")).collect()}
+    common = sorted(level for level, n in found.items() if n > LISTED_PROJECTS)
+    listed = F.broadcast(
+        used.where(~F.col("level").isin(common)).groupBy("project_id").agg(F.collect_set("level").alias("levels"))
+    )
+    looking = hits.join(listed, "project_id").withColumn("level", F.explode("levels")).drop("levels")
+    if common:
+        every = hits.withColumn("level", F.explode(F.array(*map(F.lit, common))))
+        looking = every.unionByName(looking)
+    looking = looking.withColumn("line_bin", bin_of("start_line", F.col("level")))
     return (
         looking.join(spread, ["project_id", "level", "line_bin"])
         .filter(

@@ -59,6 +59,20 @@ def test_budgets_agree_whether_tasks_are_cut_or_dealt_whole(spark):
     assert found[0] == found[1] == found[2] and len(found[0]) == 300
 
 
+@pytest.mark.parametrize("listed", [0, 1, 10_000])
+def test_hits_meet_functions_of_listed_and_common_levels(spark, monkeypatch, listed):
+    monkeypatch.setattr(runs, "LISTED_PROJECTS", listed)
+    draw = random.Random(5)
+    functions = [(draw.randint(1, 3), i, a, a + draw.choice([3, 40, 700, 90_000])) for i in range(60) for a in [draw.randint(1, 2000)]]
+    functions += [(4, 60, 10, 20)]
+    hits = [(i, draw.randint(1, 5), a, a + 1) for i in range(200) for a in [draw.randint(1, 3000)]]
+    got = runs.finding_in_function(
+        spark.createDataFrame(hits, "hit_id long, project_id long, start_line long, end_line long"),
+        spark.createDataFrame(functions, "project_id long, result_id long, start_line long, end_line long"), 64)
+    want = [(h[0], f[1]) for h in hits for f in functions if h[1] == f[0] and h[2] >= f[2] and h[3] <= f[3]]
+    assert sorted((r["hit_id"], r["result_id"]) for r in got.collect()) == sorted(want) and want
+
+
 def test_entries_meet_derived_uploads_before_other_tables(spark):
     shape = "logical_path string, detected_category string, detected_format string, size_bytes long, sha256 string, blob_id long"
     rows = [("a", "binary", "elf64", 1, "s", 3), ("b", "binary", "elf64", 1, "s", 3), ("a", "binary", "elf64", 1, "s", None)]
