@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cairnlens import vocab
 from cairnlens.functions import text
-from cairnlens.functions.keyed import first_per_key
+from cairnlens.functions.keyed import first_per_key, spread
 
 # --- fixed values: rules as (language, module, name, test, argument, rule, CWE, severity)
 C_ANY = [
@@ -491,6 +491,7 @@ def source_rule_scan(files: DataFrame, rows=RULES) -> DataFrame:
     finding per rule and start position; Python reports every call.
     """
     languages = sorted({row[0] for row in rows})
+    files = spread(files.select("file_id", "language", "logical_path", "text"))
     parts = []
     for language in languages:
         found = _call_findings(files, language, rows)

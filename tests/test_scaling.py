@@ -40,6 +40,18 @@ def test_rows_are_numbered_without_a_window_over_them(spark, tmp_path):
     assert {(r["k"], r["v"]): r["n"] for r in found.collect()} == want
 
 
+def test_small_files_are_spread_and_parts_stay_small(spark, tmp_path, monkeypatch):
+    spark.range(4000).selectExpr("id", "repeat('x', 200) text").coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    cores = spark.sparkContext.defaultParallelism
+    assert keyed.spread(df).rdd.getNumPartitions() == cores
+    monkeypatch.setattr(keyed, "SPLIT_BYTES", 256)
+    assert keyed.spread(df).rdd.getNumPartitions() > 2 * cores
+    files = df.select(F.col("id").alias("file_id"), F.lit("c").alias("language"), F.lit("p").alias("logical_path"), "text")
+    plan = rules.source_rule_scan(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
+
+
 def entries(spark, draw, n):
     rows = []
     for i in range(n):
