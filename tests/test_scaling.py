@@ -92,3 +92,16 @@ def test_entries_meet_derived_uploads_before_other_tables(spark):
         "source_entry_path", "input_category", "detected_format", "declared_size_bytes", "actual_sha256", "blob_id")
     kept = retention._matching_entries(spark.createDataFrame(rows, shape), derived).collect()
     assert [tuple(r) for r in kept] == rows[:1]
+
+
+def test_cheap_tests_change_no_text(spark):
+    values = ["", " ", "a", "a b", "a  b", " a\tb ", "a\x01b", "é x", "x" * 40, "https://a.example/x?y#z", "HTTP://a.example", "http://a b",
+              "https://u:p@h/", "http://[::1]:80/x", "http://a.example/%zz", "http://a.example/%41", "https://a.example:80", "http://" + "a" * 5000]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    trimmed = text.trim_space("v")
+    one_line = F.regexp_replace(trimmed, f"[{text.SPACE}]+", " ")
+    slow = F.when(~F.rlike(trimmed, F.lit(text.CONTROL_BUT_BREAKS)), text.cut_bytes(one_line, 20))
+    usable = (F.octet_length(trimmed) <= 4096) & F.rlike(trimmed, F.lit(text.HTTP_URL)) & ~F.rlike(trimmed, F.lit(text.BAD_ESCAPE))
+    for r in df.select("v", slow.alias("a"), text.display_text("v", 20).alias("b"), usable.alias("c"), text.http_url("v", 4096).alias("d")).collect():
+        assert r["a"] == r["b"] and r["c"] == (r["d"] != ""), r
+    assert text.PLAIN_URL in df.select(text.http_url("v"))._jdf.queryExecution().optimizedPlan().toString()
