@@ -3,10 +3,12 @@
 import glob
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cairnlens.functions import chunks, keyed, text
+from cairnlens.llm import passages
 from cairnlens.operators import ranges, retention, rules, runs
 from cairnlens.plans import catalogue
 from cairnlens.sources import sinks
@@ -105,3 +107,48 @@ def test_cheap_tests_change_no_text(spark):
     for r in df.select("v", slow.alias("a"), text.display_text("v", 20).alias("b"), usable.alias("c"), text.http_url("v", 4096).alias("d")).collect():
         assert r["a"] == r["b"] and r["c"] == (r["d"] != ""), r
     assert text.PLAIN_URL in df.select(text.http_url("v"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def plain_path(same, similarity):
+    """One pair, a word and a column at a time."""
+    n, width = same.shape
+    up, down = round((1 - similarity) * 1000), round(similarity * 1000)
+    table = [[0] * width]
+    for i in range(n):
+        row = []
+        for k in range(width):
+            best = table[i][k] + (up if same[i][k] else -down)
+            if k + 1 < width:
+                best = max(best, table[i][k + 1] - down)
+            row.append(max(best, row[-1] - down) if k else best)
+        table.append(row)
+    i, k, path = n, max(range(width), key=lambda k: (table[n][k], -k)), []
+    while i:
+        if table[i][k] == table[i - 1][k] + (up if same[i - 1][k] else -down):
+            i -= 1
+            path.append((bool(same[i][k]), i, k))
+        elif k + 1 < width and table[i][k] == table[i - 1][k + 1] - down:
+            i -= 1
+            path.append((False, i, k))
+            k += 1
+        else:
+            path.append((False, i, k))
+            k -= 1
+    return path[::-1]
+
+
+def test_pairs_are_aligned_together_as_one_by_one():
+    draw = np.random.default_rng(6)
+    pairs = []
+    for i in range(60):
+        a = draw.integers(0, 40, int(draw.integers(1, 160))).astype(np.uint32)
+        b = np.delete(a, draw.integers(0, len(a), len(a) // 12))
+        b = np.where(draw.random(len(b)) < 0.1, 99, b).astype(np.uint32)
+        pairs.append((a, b, int(draw.integers(-2, 3)), int(draw.integers(1, 9)) if i % 7 == 0 else None))
+    tables = [passages._equal_words(a, b, shift, apart, 10) for a, b, shift, apart in pairs if len(b)]
+    for table, (flags, own, column) in zip(tables, passages._best_paths(tables, 0.8)):
+        path = plain_path(table, 0.8)
+        assert [(f, i) for f, i, _ in path] == list(zip(flags.tolist(), own.tolist()))
+        assert [k for f, _, k in path if f] == column[flags].tolist()
+    together = passages.stretches_of_pairs(pairs)
+    assert any(together) and together == [passages.matching_stretches(a, b, s, apart=x) for a, b, s, x in pairs]
