@@ -11,8 +11,8 @@ for each text that is left when as many words are deleted as the similarity allo
 two short texts that are similar have one of these in common with certainty. Nodes that
 share a value meet in a bucket. A bucket is not paired off: each node is aligned with
 the bucket's first node, and classes are formed. Only nodes of one bucket that are
-still in different classes are then aligned with each other, if their lengths and a
-bit map of their words allow similarity.
+still in different classes are then aligned with each other, if their lengths and the
+words they have in common allow similarity.
 
 Similarity of two texts: 1 - (word edit distance) / (words of the longer one).
 """
@@ -119,17 +119,16 @@ def _sketched(similarity: float):
         places: dict = {}
         with np.errstate(over="ignore"):
             for batch in batches:
-                values, counts, bits = [], [], []
+                values, counts = [], []
                 for text in batch.column("text").to_pylist():
                     words = word_hashes(text.encode("utf-8", "surrogatepass"))[0]
                     counts.append(len(words))
                     keys = np.concatenate([order_min_hashes(words), short_keys(words, similarity, places)])
                     values.append(np.unique(keys).view(np.int64))
-                    bits.append(word_bits(words))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("digest"), pa.array(counts, pa.int32()),
-                     pa.array(values, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-                    ["doc_id", "digest", "n", "keys", "bits"],
+                     pa.array(values, pa.list_(pa.int64()))],
+                    ["doc_id", "digest", "n", "keys"],
                 )
 
     return run
@@ -146,6 +145,18 @@ def _word_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(data, pa.binary())], ["node", "words"])
 
 
+def _word_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with their occurrence numbers as 32-bit numbers, and the bit map of these."""
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            marks = [labelled(np.frombuffer(w.as_buffer(), "<u4").astype(np.uint64)) for w in batch.column("words")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array([word_bits(m) for m in marks], pa.list_(pa.int64())),
+                 pa.array([m.astype(np.uint32).view(np.int32) for m in marks], pa.list_(pa.int32()))],
+                ["node", "bits", "marks"],
+            )
+
+
 def _band_distances(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> np.ndarray:
     """Cost of the best alignment of each pair that stays within ``band`` of the main
     diagonal: the edit distance, or more if the best one leaves the band.
@@ -278,6 +289,13 @@ def _words_allow(a: str, b: str, n: str, m: str, similarity: float) -> Column:
     return (lacking(a, b) <= allowed) & (lacking(b, a) <= allowed)
 
 
+def _marks_allow(a: str, b: str, n: str, m: str, similarity: float) -> Column:
+    """The same by the marks, which do not run full as the bits do in a long text: a word
+    counts as often as it occurs, as in the edit distance."""
+    longer = F.greatest(F.col(n), F.col(m))
+    return longer - F.size(F.array_intersect(a, b)) <= (1 - similarity) * longer + 1e-9
+
+
 def aligned(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """The pairs (node, other) that are similar."""
     texts = pairs.join(words, "node").join(
@@ -316,13 +334,13 @@ def assigned(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, digest, class (a node number), n_links: one row per row of ``docs``."""
     texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("digest", _digest("text"))
     sketched = written(
-        texts.mapInArrow(_sketched(similarity), f"doc_id {dict(docs.dtypes)['doc_id']}, digest string, n int, keys array<bigint>, bits array<bigint>"),
+        texts.mapInArrow(_sketched(similarity), f"doc_id {dict(docs.dtypes)['doc_id']}, digest string, n int, keys array<bigint>"),
         "sketches",
     )
     # Distinct texts are numbered once and written, so that rows that are shuffled hold
     # a number for a text.
     nodes = written(
-        sketched.groupBy("digest").agg(F.first("keys").alias("keys"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+        sketched.groupBy("digest").agg(F.first("keys").alias("keys"), F.first("n").alias("n"))
         .withColumn("node", F.monotonically_increasing_id()), "nodes",
     )
     entries = nodes.select("node", "n", F.explode("keys").alias("key"))
@@ -343,16 +361,21 @@ def assigned(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         "class", F.coalesce("class", "node")
     )
     mixed = marked.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("key")
-    open_ = written(marked.join(mixed, "key", "left_semi").join(nodes.select("node", "bits"), "node"), "open")
+    open_ = written(marked.join(mixed, "key", "left_semi"), "open")
+    marks = words.join(open_.select("node").distinct(), "node", "left_semi").mapInArrow(
+        _word_marks, "node long, bits array<bigint>, marks array<int>"
+    )
+    open_ = written(open_.join(marks, "node"), "open-marks")
     others = open_.select(
         "key", F.col("node").alias("other"), F.col("class").alias("other_class"), F.col("n").alias("m"),
-        F.col("bits").alias("other_bits"),
+        F.col("bits").alias("other_bits"), F.col("marks").alias("other_marks"),
     )
     tested = stars.select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other"))
     crossing = (
         open_.join(others, (open_["key"] == others["key"]) & (F.col("class") != F.col("other_class"))
                    & (F.col("node") < F.col("other")) & _length_allows("n", "m", similarity)
-                   & _words_allow("bits", "other_bits", "n", "m", similarity))
+                   & _words_allow("bits", "other_bits", "n", "m", similarity)
+                   & _marks_allow("marks", "other_marks", "n", "m", similarity))
         .select("node", "other").distinct().join(tested, ["node", "other"], "left_anti")
     )
     links = written(links.unionByName(aligned(crossing, words, similarity)), "links")

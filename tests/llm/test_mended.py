@@ -5,6 +5,7 @@ import subprocess
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -272,3 +273,27 @@ def test_word_bits_refuse_no_similar_pair(spark):
     assert all(allowed[i] for i in range(400) if want[i])
     refused = [i for i in range(0, 400, 2) if rows[i][3] in (30, 120)]
     assert sum(not allowed[i] for i in refused) > 0.9 * len(refused)
+
+
+def test_marks_refuse_long_texts_of_like_words_and_no_similar_pair(spark):
+    """Copies of one long text with an eighth of the words replaced: a bit map allows each pair."""
+    draw = np.random.default_rng(5)
+    base, texts = draw.integers(0, 1 << 32, 740), []
+    for _ in range(12):
+        text = base.copy()
+        text[draw.choice(740, 92, replace=False)] = draw.integers(0, 1 << 32, 92)
+        texts.append(text.astype("<u4"))
+    texts += [np.repeat(texts[0][:70], 10), np.tile(texts[0][:70], 10), texts[0][60:], np.zeros(740, "<u4"), texts[0][:0]]
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(texts))), pa.array([t.tobytes() for t in texts], pa.binary())], ["node", "words"])
+    marked = pa.Table.from_batches(near_dedup._word_marks([rows])).to_pylist()
+    one = spark.createDataFrame(
+        [(r["node"], r["bits"], r["marks"], len(texts[r["node"]])) for r in marked],
+        "node long, bits array<long>, marks array<int>, n int")
+    other = one.toDF("other", "other_bits", "other_marks", "m")
+    tests = (near_dedup._words_allow("bits", "other_bits", "n", "m", 0.8), near_dedup._marks_allow("marks", "other_marks", "n", "m", 0.8))
+    found = one.crossJoin(other).where("node < other").select("node", "other", tests[0].alias("a"), tests[1].alias("b")).collect()
+    similar = near_dedup.similar([(texts[r["node"]], texts[r["other"]]) for r in found])
+    assert all(r["a"] and r["b"] for r, same in zip(found, similar) if same) and similar.sum() >= 1
+    copies = [r for r in found if r["other"] < 12]
+    assert all(r["a"] for r in copies) and sum(r["b"] for r in copies) <= 0.05 * len(copies)
