@@ -7,8 +7,9 @@ import uuid
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from cairnlens.functions.keyed import numbered
 from cairnlens.functions.predicates import event_severity, instant
@@ -19,6 +20,9 @@ BUCKET = "run_bucket"
 LIST = "buckets-"
 COMMIT, ASIDE = "commit-", ".list-"
 SPREAD = 64  # tasks that may share the rows of one bucket
+LARGE_RUN = 1 << 17  # rows; larger runs are spread over the tasks of their bucket
+NAMED, NEW, OLD = 0, 1, 2
+KIND, PLACE, LARGE = "_kind", "_place", "_large"
 PART_RECORDS = 20000
 BATCH, DONE = "batch", "_SUCCESS"
 
@@ -35,8 +39,8 @@ def replace_findings(
     folder holds each bucket (at most ``buckets`` entries). Readers follow the newest
     list, so a commit shows whole or not at all, and an emptied bucket is not listed.
     A writer that finds its number taken by another one starts anew from that one's
-    list, up to ``attempts`` times. Within a bucket rows are spread over tasks by their
-    content.
+    list, up to ``attempts`` times. Rows are shuffled once, together with the names of the
+    runs: within a bucket by run, those of a run of more than ``LARGE_RUN`` rows by content.
     """
     for _ in range(attempts):
         if _committed(spark, path, findings, runs, buckets, run_column):
@@ -46,17 +50,37 @@ def replace_findings(
 
 def _committed(spark, path, findings, runs, buckets, run_column) -> bool:
     bucket = F.pmod(F.xxhash64(run_column), F.lit(buckets)).cast("int")
-    named = runs.select(run_column).distinct()
+    kind = findings.schema[run_column].dataType
+    named = runs.select(F.col(run_column).cast(kind)).dropna()
     touched = {r[0] for r in named.select(bucket).distinct().collect()}
-    new = findings.join(named, run_column, "left_semi").select(*findings.columns).withColumn(BUCKET, bucket)
     number, places = _current(spark, path)
     old = [f"{path}/{folder}/{BUCKET}={b}" for b, folder in places.items() if b in touched]
+    rows = findings.withColumn(KIND, F.lit(NEW))
     if old:
-        kept = spark.read.schema(findings.schema).parquet(*old).join(named, run_column, "left_anti")
-        new = kept.select(*findings.columns).withColumn(BUCKET, bucket).unionByName(new)
+        stored = spark.read.schema(findings.schema).parquet(*old).select(*findings.columns)
+        rows = rows.unionByName(stored.withColumn(KIND, F.lit(OLD)))
+    rows = rows.dropna(subset=[run_column])
+    sizes = rows.groupBy(run_column).agg(F.count("*").alias(LARGE))
+    large = spark.createDataFrame(  # few: each stands for LARGE_RUN rows
+        [(r[0], True) for r in sizes.where(F.col(LARGE) > LARGE_RUN).collect()],
+        StructType([StructField(run_column, kind), StructField(LARGE, BooleanType())]),
+    )
+    by_run = F.array(F.pmod(F.xxhash64(run_column, F.lit(SPREAD)), F.lit(SPREAD)).cast("int"))
+    by_content = F.array(F.pmod(F.xxhash64(*findings.columns), F.lit(SPREAD)).cast("int"))
+
+    def placed(df: DataFrame, of_large: Column) -> DataFrame:
+        held = df.join(F.broadcast(large), run_column, "left").withColumn(BUCKET, bucket)
+        return held.withColumn(PLACE, F.explode(F.when(F.col(LARGE), of_large).otherwise(by_run))).drop(LARGE)
+
+    names = placed(named.distinct().withColumn(KIND, F.lit(NAMED)), F.array(*map(F.lit, range(SPREAD))))
+    together = placed(rows, by_content).unionByName(names, allowMissingColumns=True).repartition(BUCKET, PLACE)
+    # The name of a run, if it is there, comes before the run's rows.
+    so_far = Window.partitionBy(BUCKET, PLACE, run_column).orderBy(KIND).rowsBetween(Window.unboundedPreceding, 0)
+    new = together.withColumn(PLACE, F.min(KIND).over(so_far)).where(
+        F.when(F.col(PLACE) == NAMED, F.col(KIND) == NEW).otherwise(F.col(KIND) == OLD)
+    ).select(*findings.columns, BUCKET)
     folder = f"{COMMIT}{uuid.uuid4().hex}"
-    spread = F.pmod(F.xxhash64(*findings.columns), F.lit(SPREAD))
-    new.repartition(F.col(BUCKET), spread).write.partitionBy(BUCKET).parquet(f"{path}/{folder}")
+    new.write.option("compression", "zstd").partitionBy(BUCKET).parquet(f"{path}/{folder}")
     written = {int(name.split("=")[1]) for name in _names(spark, f"{path}/{folder}") if name.startswith(f"{BUCKET}=")}
     places = {b: f for b, f in places.items() if b not in touched} | dict.fromkeys(written, folder)
     return _publish(spark, path, number + 1, places)

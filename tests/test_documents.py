@@ -187,6 +187,39 @@ def test_replace_findings_empties_a_bucket_and_survives_a_failed_commit(spark):
     assert sinks.stored_findings(spark, path, schema).count() == 0
 
 
+def test_replace_findings_keeps_a_run_together_and_spreads_a_large_one(spark, monkeypatch):
+    schema, mode, seen = "run_id BIGINT, id STRING, severity STRING", "spark.sql.adaptive.coalescePartitions.enabled", []
+    monkeypatch.setattr(sinks, "LARGE_RUN", 100)
+    path, was = shared_folder(spark), spark.conf.get(mode)
+    rows = [(run, f"{run}-{i}", "LOW") for run in range(1, 30) for i in range(400 if run == 7 else 3)] + [(None, "none", "LOW")]
+    runs = spark.createDataFrame([(r,) for r in [*range(1, 29), None, 99]], "run_id BIGINT")
+    again = [(7, f"new-{i}", "HIGH") for i in range(300)] + [(8, "8-0", "HIGH"), (9, "not named", "HIGH")]
+    named = spark.createDataFrame([(7,), (8,), (10,)], "run_id BIGINT")
+    plain = sinks._names
+
+    def names(session, folder):  # once a commit's folder is written: its rows by task
+        if sinks.COMMIT in folder:
+            files = spark.read.schema(schema).parquet(folder).where("run_id = 7").groupBy(F.input_file_name()).count().collect()
+            seen.append(len(files))
+        return plain(session, folder)
+
+    monkeypatch.setattr(sinks, "_names", names)
+    spark.conf.set(mode, "false")
+    try:
+        sinks.replace_findings(spark, path, spark.createDataFrame(rows, schema), runs, buckets=2)
+        sinks.replace_findings(spark, path, spark.createDataFrame(again, schema), named, buckets=2)
+    finally:
+        spark.conf.set(mode, was)
+    want = [r for r in rows if r[0] and r[0] not in (7, 8, 10, 29)] + [r for r in again if r[0] != 9]
+    assert sorted(map(tuple, sinks.stored_findings(spark, path, schema).collect())) == sorted(want)
+    assert len(seen) == 2 and min(seen) > 1
+    large = [n for n in plain(spark, path) if n.startswith(sinks.COMMIT)]
+    for folder in large:  # the rows of any other run lie in one task's file
+        files = spark.read.schema(schema).parquet(f"{path}/{folder}").where("run_id <> 7").groupBy("run_id").agg(
+            F.count_distinct(F.input_file_name()).alias("n"))
+        assert files.where("n > 1").isEmpty()
+
+
 def test_finding_in_function_against_all_pairs(spark):
     functions = [(p, f, f * 37 % 900, f * 37 % 900 + f * 11 % 700) for p in (1, 2) for f in range(60)]
     hits = [(f"h{i}", i % 2 + 1, i * 13 % 1500, i * 13 % 1500 + i % 4) for i in range(200)]
