@@ -10,9 +10,10 @@ of at most ``SHORT`` words, of which one change can touch many k-mers, also get
 for each text that is left when as many words are deleted as the similarity allows:
 two short texts that are similar have one of these in common with certainty. Nodes that
 share a value meet in a bucket. A bucket is not paired off: each node is aligned with
-the bucket's first node, and classes are formed. Only nodes of one bucket that are
-still in different classes are then aligned with each other, if their lengths and the
-words they have in common allow similarity.
+the smallest of its buckets' first nodes, classes are formed, and it is aligned with
+those other first nodes that are still in another class. Only nodes of one bucket that
+are still in different classes are then aligned with each other, if their lengths and
+the words they have in common allow similarity.
 
 Similarity of two texts: 1 - (word edit distance) / (words of the longer one).
 """
@@ -355,7 +356,17 @@ def assigned(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     stars = met.where("node <> leader.node").where(_length_allows("n", "leader.n", similarity)).select(
         "node", F.col("leader.node").alias("other")
     ).distinct()
-    links = written(aligned(stars, words, similarity), "links")
+    stars = written(stars, "stars")
+    # Each node meets one leader first; in a large group most others are then in its class.
+    first = stars.groupBy("node").agg(F.min("other").alias("other"))
+    links = written(aligned(first, words, similarity), "links")
+    labels = classes(links)
+    own, others = labels.select("node", "class"), labels.select(F.col("node").alias("other"), F.col("class").alias("other_class"))
+    rest = (
+        stars.join(first, ["node", "other"], "left_anti").join(own, "node", "left").join(others, "other", "left")
+        .where(F.coalesce("class", "node") != F.coalesce("other_class", "other")).select("node", "other")
+    )
+    links = written(links.unionByName(aligned(rest, words, similarity)), "links")
     # Buckets that still hold several classes: their nodes meet across classes.
     marked = met.select("node", "n", "key").join(classes(links), "node", "left").withColumn(
         "class", F.coalesce("class", "node")
