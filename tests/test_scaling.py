@@ -1,6 +1,7 @@
 """Steps that move, write or hold less for the same rows."""
 
 import glob
+import json
 import random
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cairnlens.functions import chunks, keyed, text
 from cairnlens.llm import passages
-from cairnlens.operators import ranges, retention, rules, runs
+from cairnlens.operators import nested, ranges, retention, rules, runs
 from cairnlens.plans import catalogue
 from cairnlens.sources import sinks
 
@@ -64,6 +65,19 @@ def entries(spark, draw, n):
         " root_size_bytes long, container_size_bytes long")
 
 
+def test_large_files_are_not_shuffled_to_spread_them(spark, tmp_path):
+    spark.range(4000).selectExpr("id", "uuid() text").coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    shuffled = lambda: "RepartitionByExpression" in keyed.spread(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert shuffled()
+    whole = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096b")
+    try:
+        assert not shuffled() and keyed.spread(df).count() == 4000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", whole)
+
+
 def test_budgets_agree_whether_tasks_are_cut_or_dealt_whole(spark):
     df = entries(spark, random.Random(4), 300)
     small, large = chunks.parted(df, "task_id", 60)
@@ -109,6 +123,51 @@ def test_cheap_tests_change_no_text(spark):
     assert text.PLAIN_URL in df.select(text.http_url("v"))._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_joined_reference_lists_give_what_single_addresses_give(spark):
+    draw = random.Random(8)
+    parts = ["http://a.example", "https://a.example/x?y=%zz#z", "http://a.example/%41", "http://a.example/%4", "1", " ", "\n", "é",
+             "HTTP://A.example/B", "hTTps://b", "http://u:p@h/", "http://[::1]:80/x", "http://[x]", "ftp://c", "http://a b", "", "\x01",
+             "http://a:80", "http://a:8x", "http://" + "a" * 2041, "http://" + "a" * 2042, "http:///x", "https://", " http://d ", "\u00a0http://e", "http://q?%"]
+    one = lambda: draw.choice([None, draw.choice(parts), draw.choice(parts) + draw.choice(["", "", draw.choice(parts)])])
+    rows = [(one(), draw.choice([None, [one() for _ in range(draw.randint(0, 4))]]), one()) for _ in range(1500)] + [("https://c", [p], None) for p in parts]
+    df = spark.createDataFrame(rows, "p string, l array<string>, s string")
+    single = F.array_distinct(text._usable_urls("p", "l", "s"))
+    found = df.select("*", single.alias("a"), text.merged_references("p", "l", "s").alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in found) and any(len(r["b"]) > 2 for r in found)
+    assert "regexp_extract_all" in df.select(text.merged_references("p", "l", "s"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_trimmed_columns_are_trimmed_texts(spark):
+    ends = ["", " ", "\t", "\n", "\x01", "\x7f", "\x85", "\xa0", "\u1680", "\u2003", "\u3000", "é", "~", "!", "x"]
+    df = spark.createDataFrame([(a + m + b,) for a in ends for b in ends for m in ("", "a", " b ")] + [(None,)], "v string")
+    assert all(r["a"] == r["b"] for r in df.select(text.trim_space("v").alias("a"), text.trim_column("v").alias("b")).collect())
+
+
+def test_reports_tested_together_get_the_reasons_of_their_parts(spark):
+    draw = random.Random(9)
+    odd = [None, "", " ", "x", " x ", "é", "x" * 129, "x" * 600, "a\nb", "\x01", "\u3000", "LOW", "low ", "LOW\nHIGH", "SEVERE"]
+    pick = lambda usual: draw.choice(odd) if draw.random() < 0.04 else usual
+    def vulnerability():
+        if draw.random() < 0.02:
+            return None
+        v = {"VulnerabilityID": pick(" CVE "), "PkgName": pick("p"), "InstalledVersion": pick("1"), "Severity": pick("high"), "FixedVersion": pick(""),
+             "PkgPath": pick(None), "Title": pick(" a\n"), "DataSource": draw.choice([None, {"ID": pick("d"), "Name": pick(None)}])}
+        return {k: x for k, x in v.items() if x is not None}
+    def result():
+        r = {"Target": pick("t"), "Class": pick("c"), "Type": pick("d"), "Secrets": draw.choice([None, [], [], pick("x" if draw.random() < 0.1 else ""), {}]),
+             "Vulnerabilities": draw.choice([None, [], *([[vulnerability() for _ in range(draw.randint(1, 3))]] * 4)])}
+        return draw.choice([r, {k: x for k, x in r.items() if x is not None}]) if draw.random() > 0.02 else None
+    bodies = [json.dumps({"SchemaVersion": 2, "ArtifactName": "a", "ArtifactType": "i", "Results": draw.choice([None, [], *([[result() for _ in range(draw.randint(1, 3))]] * 6)])})
+              for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(bodies)), "report_id INT, document STRING")
+    each = F.get(F.array_compact(F.transform("report.Results", lambda r: nested._result_reason(r))), F.lit(0))
+    rows = nested.parse_reports(df).select("report_id", each.alias("reason"), nested._surely_fine(F.col("report.Results")).alias("fine")).collect()
+    assert not [r for r in rows if r["fine"] and r["reason"]]
+    fine = [r for r in rows if r["reason"] is None]
+    assert 2 * sum(bool(r["fine"]) for r in fine) > len(fine) and len({r["reason"] for r in rows}) > 8
+    assert {r["report_id"]: r["reason"] for r in nested.checked_reports(df).collect()} == {r["report_id"]: r["reason"] for r in rows}
+
+
 def plain_path(same, similarity):
     """One pair, a word and a column at a time."""
     n, width = same.shape
